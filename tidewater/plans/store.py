@@ -88,19 +88,19 @@ def materialize(spark: SparkSession, sf_dir: str, as_of: str, *, partition_raw_b
         staging = f"{path}.staging-{uuid.uuid4().hex[:8]}"
         t = load_tables(spark, sf_dir)
         raw_ecc, raw_bw = raw_from_tpch(t)
+        n = _files(spark)
         for name, df in (("raw_ecc", raw_ecc), ("raw_bw", raw_bw)):
-            w = df.withColumn("processed_day", F.to_date("processed_date"))
             if partition_raw_by:
-                w.write.partitionBy(partition_raw_by).parquet(f"{staging}/{name}")
+                df.withColumn("processed_day", F.to_date("processed_date")) \
+                  .write.partitionBy(partition_raw_by).parquet(f"{staging}/{name}")
             else:
-                w.sortWithinPartitions("processed_date").drop("processed_day") \
-                 .write.parquet(f"{staging}/{name}")
+                _by_range(df, n, "processed_date").write.parquet(f"{staging}/{name}")
         ecc = _read(spark, f"{staging}/raw_ecc", "raw_ecc")
         bw = _read(spark, f"{staging}/raw_bw", "raw_bw")
         wh = Warehouse(ecc, bw, as_of=as_of, lookback_days=None)
-        wh.sales.sortWithinPartitions("sales_date").write.parquet(f"{staging}/sales")
-        wh.customers.write.parquet(f"{staging}/customers")
-        wh.products.write.parquet(f"{staging}/products")
+        _by_range(wh.sales, n, "sales_date").write.parquet(f"{staging}/sales")
+        wh.customers.repartition(n, "customer_id").write.parquet(f"{staging}/customers")
+        wh.products.repartition(n, "product_code").write.parquet(f"{staging}/products")
         sfs, sp, _ = _fs(spark, staging)
         sfs.create(jvm.org.apache.hadoop.fs.Path(sp, "_SUCCESS")).close()
         if not fs.rename(sp, p):          # someone else finished first: use theirs
@@ -108,6 +108,19 @@ def materialize(spark: SparkSession, sf_dir: str, as_of: str, *, partition_raw_b
         return path
 
 
+def _files(spark: SparkSession) -> int:
+    """Files per table: one per shuffle partition (sized by the deployment
+    to the data), at least one per core so a scan uses the whole cluster."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               spark.sparkContext.defaultParallelism)
+
+
+def _by_range(df: DataFrame, n: int, col: str) -> DataFrame:
+    """Files holding disjoint, sorted ranges of ``col``: parquet min/max
+    statistics then let date filters skip whole files and row groups."""
+    return df.repartitionByRange(n, col).sortWithinPartitions(col)
+
+
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
     df = spark.read.parquet(path)
     if "processed_day" in df.columns:
