@@ -184,14 +184,12 @@ def conform_raw(df: DataFrame, kind: str, *, rename: dict | None = None,
         elif name in defaults:
             val = F.coalesce(val, defaults[name])
         out.append(val.alias(name))
-    res = df.select(*out)
-    keys = ([c for c in S.ECC_SCAN_COLUMNS] if kind == "ecc" else [c for c in S.BW_SCAN_COLUMNS])
-    res = res.withColumn("id", F.coalesce(F.col("id"), _row_id(*keys)))
-    if errors:
-        err = F.concat_ws(";", *errors)
-        res = res.withColumn("validation_errors",
-                             F.coalesce(F.col("validation_errors"), F.nullif(err, F.lit(""))))
-    return res
+    err = F.nullif(F.concat_ws(";", *errors), F.lit("")) if errors else F.lit(None).cast("string")
+    res = df.select(*out, err.alias("_errors"))
+    keys = S.ECC_SCAN_COLUMNS if kind == "ecc" else S.BW_SCAN_COLUMNS
+    res = res.withColumn("id", F.coalesce(F.col("id"), _row_id(*keys))) \
+             .withColumn("validation_errors", F.coalesce(F.col("validation_errors"), F.col("_errors")))
+    return res.drop("_errors")
 
 
 def _defaults(kind: str, as_of) -> dict:

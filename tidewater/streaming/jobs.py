@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater import schemas as S
 from tidewater.sources import sinks
 from tidewater.sources.tables import conform_raw
 
@@ -99,10 +98,17 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, *, mode: str = "appe
 
 # ---------------------------------------------------------------- ingest
 
-def csv_ingest_stream(spark: SparkSession, path: str, kind: str, *, rename=None, as_of=None) -> DataFrame:
-    """ST5: new CSV export files as a stream, typed into the raw schema."""
-    schema = S.RAW_ECC if kind == "ecc" else S.RAW_BW
-    text = ", ".join(f"`{f.name}` string" for f in schema.fields)
+def csv_ingest_stream(spark: SparkSession, path: str, kind: str, *, columns=None, rename=None,
+                      as_of=None) -> DataFrame:
+    """ST5: new CSV export files as a stream, typed into the raw schema.
+
+    A file stream needs its schema up front: ``columns`` is the export's
+    header (all read as text); when omitted it is taken from the header of
+    the files already present.  Names are then mapped by ``conform_raw``."""
+    if columns is None:
+        columns = (spark.read.option("header", True).option("pathGlobFilter", "*.csv")
+                   .option("recursiveFileLookup", True).csv(path).columns)
+    text = ", ".join(f"`{c}` string" for c in columns)
     raw = (spark.readStream.option("header", True).option("pathGlobFilter", "*.csv")
            .option("recursiveFileLookup", True).schema(text).csv(path))
     return conform_raw(raw, kind, rename=rename, as_of=as_of)
@@ -131,7 +137,6 @@ def refresh_documents(changes: DataFrame, doc_root: str, checkpoint: str):
         spark = batch.sparkSession
         cur = sinks.read_current(spark, doc_root)
         latest = keep_one_per_id(batch)
-        deleted = latest.where(F.col("is_deleted")).select("id")
         upserts = latest.where(~F.col("is_deleted")).drop("is_deleted")
         upserts = sinks.document_records(upserts)
         if cur is None:
@@ -139,7 +144,6 @@ def refresh_documents(changes: DataFrame, doc_root: str, checkpoint: str):
         else:
             merged = (cur.join(latest.select("id"), "id", "left_anti")
                          .unionByName(upserts.select(*cur.columns)))
-        del deleted
         sinks.publish(merged, doc_root, max_records_per_file=1000)
 
     return (changes.writeStream.foreachBatch(apply)
