@@ -97,3 +97,36 @@ def test_observed_count(spark, tmp):  # A29
     df, obs = H.observed_count(spark.range(42), "rows")
     df.write.parquet(f"{tmp}/o")
     assert obs.get["rows"] == 42
+
+
+def test_case_insensitive_collation(spark):  # N13
+    from decimal import Decimal
+    from tidewater.operators import queries as Q
+    rows = [("C1", "East", Decimal("1.00")), ("C2", "EAST ", Decimal("2.00")), ("C3", "West", Decimal("4.00"))]
+    s = spark.createDataFrame(rows, "customer_id string, region string, sales_amount decimal(18,2)") \
+        .selectExpr("*", "true AS is_active", "CAST(1 AS DECIMAL(18,2)) AS sales_quantity",
+                    "timestamp_ntz'2001-01-01' AS sales_date")
+    assert Q.regional_sales(s).count() == 3
+    ci = Q.regional_sales(s, collation="UTF8_LCASE_RTRIM").collect()
+    assert sorted(r.total_sales for r in ci) == [1, 2]
+    from tidewater.functions import exprs as X
+    assert s.where(X.sales_filter(region="east", collation="UTF8_LCASE_RTRIM")).count() == 2
+
+
+def test_api_catalogue(spark):  # §2.13
+    import json
+    from tidewater.plans import api
+    t = api.Tables.from_store(spark, "/root/testdata/sf0.001", "2001-11-05")
+    top = api.call(t, "GetTopCustomers", limit=3).collect()
+    assert len(top) == 3 and "total_sales_amount" in json.loads(top[0].json)
+    assert api.call(t, "GetDateRange", days=7) == {"startDate": "2001-10-29", "endDate": "2001-11-05"}
+    assert api.call(t, "GetSalesData", region="ASIA", start_date="", end_date=None).count() > 0
+    assert api.call(t, "GetSalesRepPerformance").count() > 0
+
+
+def test_rebuild_documents_counts(spark, tmp):  # K11
+    from tidewater.plans import api
+    from tidewater.sources import sinks as K
+    t = api.Tables.from_store(spark, "/root/testdata/sf0.001", "2001-11-05")
+    v, n = K.rebuild_documents(t.customers, t.sales, t.products, tmp + "/docs", as_of=t.as_of)
+    assert v == 1 and n == K.read_current(spark, tmp + "/docs").count() > 0

@@ -60,23 +60,30 @@ def where_opt(df, pred):
     return df if pred is None else df.where(pred)
 
 
+def collated(x, collation: str | None) -> Column:
+    """A string column under ``collation`` (None: binary).  With
+    ``"UTF8_LCASE_RTRIM"`` comparisons, joins and groups ignore case and
+    trailing spaces, as a case-insensitive database collation does."""
+    c = _c(x)
+    return c if not collation else F.collate(c, collation)
+
+
 def sales_filter(prefix: str = "", *, start=None, end=None, region=None,
-                 customer_id=None, product_code=None, date_col="sales_date") -> Column | None:
+                 customer_id=None, product_code=None, date_col="sales_date",
+                 collation: str | None = None) -> Column | None:
     """Conjunction of the optional filters.  Falsy values (None, '') mean
     "no filter"; both date bounds are inclusive and a bare date means
-    midnight, so ``end`` excludes later rows of that day."""
+    midnight, so ``end`` excludes later rows of that day.  ``collation``
+    applies to the text keys (see :func:`collated`)."""
     p = prefix
     preds = []
     if start:
         preds.append(F.col(p + date_col) >= ts_lit(start))
     if end:
         preds.append(F.col(p + date_col) <= ts_lit(end))
-    if region:
-        preds.append(F.col(p + "region") == F.lit(region))
-    if customer_id:
-        preds.append(F.col(p + "customer_id") == F.lit(customer_id))
-    if product_code:
-        preds.append(F.col(p + "product_code") == F.lit(product_code))
+    for name, val in (("region", region), ("customer_id", customer_id), ("product_code", product_code)):
+        if val:
+            preds.append(collated(F.col(p + name), collation) == F.lit(val))
     return and_all(preds)
 
 

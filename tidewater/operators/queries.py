@@ -63,7 +63,7 @@ ENRICHED_COLUMNS = ["customer_id", "product_code", "order_number", "sales_date",
 
 def sales_enriched(sales: DataFrame, customers: DataFrame, products: DataFrame, *,
                    start=None, end=None, region=None, customer_id=None,
-                   order: bool = False) -> DataFrame:
+                   order: bool = False, collation: str | None = None) -> DataFrame:
     """J1 + F4: sales with the customer's segment and the product's category.
 
     Filters are applied to the sales rows before the joins, so they reach
@@ -71,7 +71,7 @@ def sales_enriched(sales: DataFrame, customers: DataFrame, products: DataFrame,
     caller does not need an ordered result (a global sort is a full shuffle).
     """
     s = X.where_opt(_active(sales), X.sales_filter(start=start, end=end, region=region,
-                                                   customer_id=customer_id))
+                                                   customer_id=customer_id, collation=collation))
     c = customers.select("customer_id", "customer_segment")
     p = products.select("product_code", "product_category")
     out = s.join(c, "customer_id", "left").join(p, "product_code", "left").select(*ENRICHED_COLUMNS)
@@ -131,7 +131,9 @@ def product_performance(sales: DataFrame, products: DataFrame, *, product_code=N
              .orderBy(F.col("total_sales_amount").desc_nulls_last(), "product_code"))
 
 
-def _group_performance(s: DataFrame, key: str) -> DataFrame:
+def _group_performance(s: DataFrame, key: str, collation: str | None = None) -> DataFrame:
+    if collation:
+        s = s.withColumn(key, X.collated(key, collation))
     return (s.groupBy(key)
              .agg(F.count(F.lit(1)).alias("total_sales"),
                   F.count_distinct("customer_id").alias("unique_customers"),
@@ -141,17 +143,18 @@ def _group_performance(s: DataFrame, key: str) -> DataFrame:
              .orderBy(F.col("total_sales_amount").desc_nulls_last(), F.col(key).asc_nulls_last()))
 
 
-def regional_sales(sales: DataFrame, *, start=None, end=None) -> DataFrame:
-    """Per region, the NULL region kept as its own group."""
+def regional_sales(sales: DataFrame, *, start=None, end=None, collation: str | None = None) -> DataFrame:
+    """Per region, the NULL region kept as its own group.  With a
+    case-insensitive ``collation`` 'East' and 'EAST ' form one group."""
     s = X.where_opt(_active(sales), X.sales_filter(start=start, end=end))
-    return _group_performance(s, "region")
+    return _group_performance(s, "region", collation)
 
 
-def rep_performance(sales: DataFrame, *, start=None, end=None) -> DataFrame:
+def rep_performance(sales: DataFrame, *, start=None, end=None, collation: str | None = None) -> DataFrame:
     """Per sales rep (rows without a rep are left out)."""
     s = X.where_opt(_active(sales).where(F.col("sales_rep").isNotNull()),
                     X.sales_filter(start=start, end=end))
-    return _group_performance(s, "sales_rep")
+    return _group_performance(s, "sales_rep", collation)
 
 
 def top_customers(sales: DataFrame, customers: DataFrame, *, limit: int = 10,

@@ -207,3 +207,19 @@ def write_documents(docs: DataFrame, root: str, *, batch_size: int = 1000) -> in
     stays readable until the new one is complete), at most ``batch_size``
     documents per file."""
     return publish(document_records(docs), root, max_records_per_file=batch_size)
+
+
+def rebuild_documents(customers: DataFrame, sales: DataFrame, products: DataFrame, root: str, *,
+                      as_of, days: int | None = 30, batch_size: int = 1000) -> tuple[int, int]:
+    """Build the whole document set (one job), publish it as a new
+    version and return (version, documents written).  The count is observed
+    while writing, not by a second pass.  An empty set publishes nothing."""
+    from pyspark.sql import Observation
+    from tidewater.operators.documents import all_documents
+    docs = all_documents(customers, sales, products, as_of=as_of, days=days)
+    obs = Observation("documents")
+    observed = docs.observe(obs, F.count(F.lit(1)).alias("n"))
+    if docs.isEmpty():
+        return current_version(docs.sparkSession, root) or 0, 0
+    v = write_documents(observed, root, batch_size=batch_size)
+    return v, int(obs.get["n"])
