@@ -116,9 +116,12 @@ def _files(spark: SparkSession) -> int:
 
 
 def _by_range(df: DataFrame, n: int, col: str) -> DataFrame:
-    """Files holding disjoint, sorted ranges of ``col``: parquet min/max
-    statistics then let date filters skip whole files and row groups."""
-    return df.repartitionByRange(n, col).sortWithinPartitions(col)
+    """Files holding sorted ranges of ``col``: parquet min/max statistics
+    then let date filters skip whole files and row groups.  A hash of the
+    row is the second range key, so one date holding a large share of the
+    rows is cut across many files instead of landing in one task."""
+    tie = F.xxhash64(*df.columns)
+    return df.repartitionByRange(n, F.col(col), tie).sortWithinPartitions(col)
 
 
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
