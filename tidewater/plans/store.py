@@ -88,19 +88,18 @@ def materialize(spark: SparkSession, sf_dir: str, as_of: str, *, partition_raw_b
         staging = f"{path}.staging-{uuid.uuid4().hex[:8]}"
         t = load_tables(spark, sf_dir)
         raw_ecc, raw_bw = raw_from_tpch(t)
-        n = _files(spark)
         for name, df in (("raw_ecc", raw_ecc), ("raw_bw", raw_bw)):
             if partition_raw_by:
                 df.withColumn("processed_day", F.to_date("processed_date")) \
                   .write.partitionBy(partition_raw_by).parquet(f"{staging}/{name}")
             else:
-                _by_range(df, n, "processed_date").write.parquet(f"{staging}/{name}")
+                _by_range(df, "processed_date").write.parquet(f"{staging}/{name}")
         ecc = _read(spark, f"{staging}/raw_ecc", "raw_ecc")
         bw = _read(spark, f"{staging}/raw_bw", "raw_bw")
         wh = Warehouse(ecc, bw, as_of=as_of, lookback_days=None)
-        _by_range(wh.sales, n, "sales_date").write.parquet(f"{staging}/sales")
-        wh.customers.repartition(n, "customer_id").write.parquet(f"{staging}/customers")
-        wh.products.repartition(n, "product_code").write.parquet(f"{staging}/products")
+        _by_range(wh.sales, "sales_date").write.parquet(f"{staging}/sales")
+        wh.customers.repartition("customer_id").write.parquet(f"{staging}/customers")
+        wh.products.repartition("product_code").write.parquet(f"{staging}/products")
         sfs, sp, _ = _fs(spark, staging)
         sfs.create(jvm.org.apache.hadoop.fs.Path(sp, "_SUCCESS")).close()
         if not fs.rename(sp, p):          # someone else finished first: use theirs
@@ -108,20 +107,15 @@ def materialize(spark: SparkSession, sf_dir: str, as_of: str, *, partition_raw_b
         return path
 
 
-def _files(spark: SparkSession) -> int:
-    """Files per table: one per shuffle partition (sized by the deployment
-    to the data), at least one per core so a scan uses the whole cluster."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-               spark.sparkContext.defaultParallelism)
-
-
-def _by_range(df: DataFrame, n: int, col: str) -> DataFrame:
+def _by_range(df: DataFrame, col: str) -> DataFrame:
     """Files holding sorted ranges of ``col``: parquet min/max statistics
     then let date filters skip whole files and row groups.  A hash of the
     row is the second range key, so one date holding a large share of the
-    rows is cut across many files instead of landing in one task."""
+    rows is cut across many files instead of landing in one task.  The
+    number of files is left to AQE, which merges neighbouring ranges up to
+    the advisory partition size (so file count follows the data size)."""
     tie = F.xxhash64(*df.columns)
-    return df.repartitionByRange(n, F.col(col), tie).sortWithinPartitions(col)
+    return df.repartitionByRange(F.col(col), tie).sortWithinPartitions(col)
 
 
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
