@@ -78,8 +78,9 @@ def test_save_processed(spark, tmp):  # K6
     c = R.build_customers(ecc, bw, as_of="2001-01-07")
     p = R.build_products(ecc, bw, as_of="2001-01-07")
     s = R.unify_sales(ecc, bw, as_of="2001-01-07")
+    out = K.save_processed(c, p, s, tmp, as_of="2001-01-07")
     K.save_processed(c, p, s, tmp, as_of="2001-01-07")
-    K.save_processed(c, p, s, tmp, as_of="2001-01-07")
+    assert out["sales_rows"] == 2
     assert K.read_current(spark, os.path.join(tmp, "customers")).count() == 2
     assert spark.read.parquet(os.path.join(tmp, "sales")).count() == 2
 

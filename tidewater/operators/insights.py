@@ -268,14 +268,20 @@ def all_insights(sales: DataFrame, customers: DataFrame, products: DataFrame, *,
     """The five reports over ONE scan, as insight rows
     (insight_type, insight_data JSON, generated_date, is_active).
 
-    Each report's summary (scalars + top-k lists) is one row; the per-key
-    breakdowns (segments, categories, region and rep distributions) are
-    written as one row per key under ``<report>.<part>``, so no list of
-    unbounded length is gathered into a single row.  The scan is persisted
-    for the duration of the caller's action and shared by all reports.
-    """
+    The scan is persisted (memory, spilling to disk) and shared by all
+    reports; use :func:`insight_scan` + :func:`insight_rows` to control its
+    lifetime (``jobs.run_insights`` releases it after writing)."""
     scan = insight_scan(sales, customers, products, as_of=as_of, days=days) \
         .persist(StorageLevel.MEMORY_AND_DISK)
+    return insight_rows(scan, as_of=as_of)
+
+
+def insight_rows(scan: DataFrame, *, as_of) -> DataFrame:
+    """The insight rows of one scan.  Each report's summary (scalars +
+    top-k lists) is one row; the per-key breakdowns (segments, categories,
+    region and rep distributions) are one row per key under
+    ``<report>.<part>``, so no list of unbounded length is gathered into a
+    single row."""
     cust = customer_analysis(scan)
     prod = product_analysis(scan)
     reg = region_analysis(scan)

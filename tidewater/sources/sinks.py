@@ -70,11 +70,21 @@ def publish(df: DataFrame, root: str, *, partition_by=None, max_records_per_file
 
 # -------------------------------------------------------------- raw landing
 
-def land_raw(df: DataFrame, path: str, *, fmt: str = "parquet") -> None:
-    """K1: append an export to the lake, partitioned by processing day so a
-    later scan with a look-back window prunes whole directories."""
-    (df.withColumn("processed_day", F.to_date("processed_date"))
-       .write.mode("append").partitionBy("processed_day").format(fmt).save(path))
+def land_raw(df: DataFrame, path: str, *, fmt: str = "parquet", granularity: str = "day") -> None:
+    """K1: append an export to the lake, partitioned by processing day
+    (or month) so a later scan with a look-back window prunes whole
+    directories."""
+    part = _period(F.col("processed_date"), granularity)
+    (df.withColumn("processed_" + granularity, part)
+       .write.mode("append").partitionBy("processed_" + granularity).format(fmt).save(path))
+
+
+def _period(c, granularity: str):
+    if granularity == "day":
+        return F.to_date(c)
+    if granularity == "month":
+        return F.date_format(c, "yyyy-MM")
+    raise ValueError(granularity)
 
 
 # ------------------------------------------------------------------ upserts
@@ -147,38 +157,41 @@ def replace_window(target: DataFrame, new: DataFrame, *, window_col: str = "proc
     return keep.unionByName(new.select(*target.columns))
 
 
-def write_sales(sales: DataFrame, path: str, *, mode: str = "append") -> None:
+def write_sales(sales: DataFrame, path: str, *, mode: str = "append", granularity: str = "day") -> int:
     """K5: ``append`` adds the rows (re-running a window duplicates them, as
     the original load does); ``replace_window`` overwrites only the
-    processing-day partitions present in ``sales`` (dynamic partition
+    processing-period partitions present in ``sales`` (dynamic partition
     overwrite), so re-running a window is idempotent.  Files are partitioned
-    by processing day and sales month."""
-    df = sales.withColumn("processed_day", F.to_date("processed_date")) \
+    by processing day (or month) and sales month (V3).  Returns the number
+    of rows written, observed during the write."""
+    from pyspark.sql import Observation
+    col = "processed_" + granularity
+    df = sales.withColumn(col, _period(F.col("processed_date"), granularity)) \
               .withColumn("sales_month", F.date_format("sales_date", "yyyy-MM"))
-    w = df.write.partitionBy("processed_day", "sales_month")
+    obs = Observation("sales_rows")
+    w = df.observe(obs, F.count(F.lit(1)).alias("n")).write.partitionBy(col, "sales_month")
     if mode == "append":
         w.mode("append").parquet(path)
     elif mode == "replace_window":
         w.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
         raise ValueError(mode)
+    return int(obs.get["n"])
 
 
 def save_processed(customers: DataFrame, products: DataFrame, sales: DataFrame, root: str, *,
-                   as_of, sales_mode: str = "replace_window") -> dict:
+                   as_of, sales_mode: str = "replace_window", granularity: str = "day") -> dict:
     """K6: upsert customers and products into new versions, load sales.
-    Each table is published atomically; empty inputs are skipped."""
+    Each table is published atomically.  (Callers skip empty inputs by
+    checking the raw scans, which costs one row read, not an extra job
+    over the aggregates.)"""
     spark = customers.sparkSession
     out = {}
     for name, df, fn in (("customers", customers, upsert_customers),
                          ("products", products, upsert_products)):
-        if df.isEmpty():
-            continue
         cur = read_current(spark, f"{root}/{name}")
         out[name] = publish(fn(cur, df, as_of=as_of), f"{root}/{name}")
-    if not sales.isEmpty():
-        write_sales(sales, f"{root}/sales", mode=sales_mode)
-        out["sales"] = True
+    out["sales_rows"] = write_sales(sales, f"{root}/sales", mode=sales_mode, granularity=granularity)
     return out
 
 
@@ -213,13 +226,11 @@ def rebuild_documents(customers: DataFrame, sales: DataFrame, products: DataFram
                       as_of, days: int | None = 30, batch_size: int = 1000) -> tuple[int, int]:
     """Build the whole document set (one job), publish it as a new
     version and return (version, documents written).  The count is observed
-    while writing, not by a second pass.  An empty set publishes nothing."""
+    while writing, not by a second pass.  An empty set publishes an empty
+    version: the previous set is replaced (cleared), as a rebuild does."""
     from pyspark.sql import Observation
     from tidewater.operators.documents import all_documents
     docs = all_documents(customers, sales, products, as_of=as_of, days=days)
     obs = Observation("documents")
-    observed = docs.observe(obs, F.count(F.lit(1)).alias("n"))
-    if docs.isEmpty():
-        return current_version(docs.sparkSession, root) or 0, 0
-    v = write_documents(observed, root, batch_size=batch_size)
+    v = write_documents(docs.observe(obs, F.count(F.lit(1)).alias("n")), root, batch_size=batch_size)
     return v, int(obs.get["n"])
