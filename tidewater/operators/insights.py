@@ -40,31 +40,46 @@ def insight_scan(sales: DataFrame, customers: DataFrame | None, products: DataFr
 
 # ------------------------------------------------------------- sales trends
 
+def _day_customer(scan: DataFrame) -> DataFrame:
+    """One shuffle: sales per (day, customer).  Daily totals, daily and
+    overall distinct customers all derive from it, so the trend report
+    reads the sales once."""
+    return scan.groupBy(F.to_date("sales_date").alias("sales_day"), "customer_id").agg(
+        F.sum("sales_amount").alias("amount"), F.sum("sales_quantity").alias("quantity"))
+
+
 def daily_sales(scan: DataFrame) -> DataFrame:
     """Per calendar day with sales."""
-    return scan.groupBy(F.to_date("sales_date").alias("sales_day")).agg(
-        F.sum("sales_amount").alias("total_sales"),
-        F.sum("sales_quantity").alias("total_quantity"),
-        F.count_distinct("customer_id").alias("unique_customers"))
+    return _daily_from(_day_customer(scan))
+
+
+def _daily_from(dc: DataFrame) -> DataFrame:
+    return dc.groupBy("sales_day").agg(
+        F.sum("amount").alias("total_sales"),
+        F.sum("quantity").alias("total_quantity"),
+        F.count("customer_id").alias("unique_customers"))
 
 
-def _halves(daily: DataFrame) -> DataFrame:
-    """Day rows numbered in date order.  The input has one row per calendar
-    day, so the single ordered partition holds a bounded number of rows."""
-    w = Window.orderBy("sales_day")
-    return daily.withColumn("rn", F.row_number().over(w))
+def _day_stats(daily: DataFrame) -> DataFrame:
+    """One aggregate over the day rows numbered in date order: day count,
+    totals and the first-half sum.  The day rows are one per calendar day,
+    so the single ordered window partition holds a bounded number of rows."""
+    h = daily.select("total_sales", "unique_customers",
+                     F.row_number().over(Window.orderBy("sales_day")).alias("rn"),
+                     F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    return h.agg(
+        F.count(F.lit(1)).alias("n_days"),
+        F.sum("total_sales").alias("_all"),
+        F.sum(F.when(F.col("rn") <= F.floor(F.col("n") / 2), F.col("total_sales"))).alias("_s1"),
+        F.sum("unique_customers").alias("_uniq"))
 
 
 def growth(daily: DataFrame) -> DataFrame:
     """Mean daily total of the later days versus the first ``n div 2``
     days, in percent; 0.0 for fewer than 2 days or a zero first half.
-    Computed as ``(S2·n1 − S1·n2) / (S1·n2) · 100`` from exact sums; the day
-    count enters the first-half sum as a scalar subquery."""
-    h = _halves(daily)
-    n_days = daily.agg(F.count(F.lit(1))).scalar()
-    s1 = h.where(F.col("rn") <= F.floor(n_days / 2)).agg(F.sum("total_sales")).scalar()
-    tot = daily.agg(F.count(F.lit(1)).alias("n_days"), F.sum("total_sales").alias("_all"))
-    return _growth_cols(tot.select("*", s1.alias("_s1")))
+    Computed as ``(S2·n1 − S1·n2) / (S1·n2) · 100`` from exact sums."""
+    return _growth_cols(_day_stats(daily)).select(
+        "n_days", "first_half_mean", "second_half_mean", "sales_growth_rate")
 
 
 def _growth_cols(df: DataFrame) -> DataFrame:
@@ -72,12 +87,12 @@ def _growth_cols(df: DataFrame) -> DataFrame:
     n1 = F.floor(n / 2).cast("long")
     n2 = n - n1
     s1 = F.coalesce(F.col("_s1"), F.lit(0).cast("decimal(38,2)"))
-    s2 = F.col("_all") - s1
+    s2 = F.coalesce(F.col("_all"), F.lit(0).cast("decimal(38,2)")) - s1
     num = (s2 * n1 - s1 * n2).cast("double")
     den = (s1 * n2).cast("double")
     rate = F.when((n < 2) | (s1 == 0), F.lit(0.0)).otherwise(num / den * F.lit(100.0))
     return df.select(
-        n.alias("n_days"),
+        "*",
         F.when(n1 > 0, s1.cast("double") / n1).alias("first_half_mean"),
         F.when(n2 > 0, s2.cast("double") / n2).alias("second_half_mean"),
         rate.alias("sales_growth_rate"))
@@ -87,19 +102,17 @@ def sales_trends(scan: DataFrame) -> DataFrame:
     """One row of trend figures.  ``total_unique_customers`` is the sum
     of the daily distinct counts (as reported originally);
     ``distinct_customers`` is the true distinct count."""
-    daily = daily_sales(scan)
-    rate = growth(daily).select("sales_growth_rate").scalar()
-    distinct = scan.agg(F.count_distinct("customer_id")).scalar()
-    d = daily.agg(F.count(F.lit(1)).alias("n"), F.sum("total_sales").alias("total"),
-                  F.sum("unique_customers").alias("uniq"))
-    return d.select(
-        F.col("total").cast("double").alias("total_sales"),
-        (F.col("total").cast("double") / F.col("n")).alias("average_daily_sales"),
-        rate.alias("sales_growth_rate"),
-        F.col("uniq").alias("total_unique_customers"),
-        (F.col("uniq").cast("double") / F.col("n")).alias("average_daily_customers"),
+    dc = _day_customer(scan)
+    distinct = dc.agg(F.count_distinct("customer_id")).scalar()
+    st = _growth_cols(_day_stats(_daily_from(dc)))
+    return st.select(
+        F.col("_all").cast("double").alias("total_sales"),
+        (F.col("_all").cast("double") / F.col("n_days")).alias("average_daily_sales"),
+        "sales_growth_rate",
+        F.col("_uniq").alias("total_unique_customers"),
+        (F.col("_uniq").cast("double") / F.col("n_days")).alias("average_daily_customers"),
         distinct.alias("distinct_customers"),
-        F.col("n").alias("days"))
+        F.col("n_days").alias("days"))
 
 
 def top_days(scan: DataFrame, k: int = 5) -> DataFrame:
