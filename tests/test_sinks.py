@@ -104,3 +104,12 @@ def test_insight_rows_json(spark, tmp):  # K7
     got = {r.insight_type: json.loads(r.insight_data) for r in spark.read.parquet(tmp + "/ins").collect()}
     assert got["sales_trends"]["total_sales"] == 10.0
     assert got["regional_insights"]["best_performing_region"] == "EAST"
+
+
+def test_upsert_paths_agree(spark):  # broadcast path == full outer join path
+    old = _customers(spark, "2001-01-01", [dict(customer_id=f"C{i}", region=f"R{i % 3}") for i in range(30)])
+    new = _customers(spark, "2001-02-01", [dict(customer_id=f"C{i}", region="N") for i in range(20, 45)])
+    a = sorted(K.upsert(old, new, "customer_id", K.CUSTOMER_UPDATE, as_of="2001-02-01").collect())
+    b = sorted(K.upsert(old, new, "customer_id", K.CUSTOMER_UPDATE, as_of="2001-02-01",
+                        max_broadcast_rows=0).collect())
+    assert a == b and len(a) == 45

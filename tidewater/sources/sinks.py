@@ -90,7 +90,8 @@ def _period(c, granularity: str):
 # ------------------------------------------------------------------ upserts
 
 def upsert(target: DataFrame | None, source: DataFrame, key: str, update_cols, *,
-           as_of, keep_cols=("created_date",), insert_defaults: dict | None = None) -> DataFrame:
+           as_of, insert_defaults: dict | None = None,
+           max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """Keyed MERGE as a DataFrame.
 
     matched      -> ``update_cols`` from the source, ``updated_date = as_of``,
@@ -98,20 +99,40 @@ def upsert(target: DataFrame | None, source: DataFrame, key: str, update_cols, *
     not matched  -> source row inserted with created/updated = ``as_of``,
                     is_active = true (plus ``insert_defaults``);
     target only  -> kept unchanged.
-    One shuffle join on the key; both sides are unique by key.
+
+    Both sides are unique by key.  The source of a nightly run is a delta,
+    far smaller than the table: when its size, checked at run time, is at
+    most ``max_broadcast_rows`` it is broadcast, the target rows stream
+    through a left join without being shuffled, and new keys are found with
+    an anti join against the target's key column alone.  A larger source is
+    merged with one full outer join on the key.
     """
-    now = X.ts_lit(as_of)
     cols = target.columns if target is not None else source.columns
-    src = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns])
     if target is None:
         target = source.sparkSession.createDataFrame([], source.schema)
+    src = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns])
     tgt = target.select(*[F.col(c).alias(f"t_{c}") for c in cols])
-    j = tgt.join(src, F.col(f"t_{key}") == F.col(f"s_{key}"), "full_outer")
+    on = F.col(f"t_{key}") == F.col(f"s_{key}")
+    small = source.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    if not small:
+        return _merge_cols(tgt.join(src, on, "full_outer"), target, source, key, update_cols,
+                           as_of, insert_defaults)
+    kept = tgt.join(F.broadcast(src), on, "left")
+    fresh = src.join(target.select(F.col(key).alias(f"t_{key}")), on, "left_anti") \
+               .select(*[F.lit(None).cast(target.schema[c].dataType).alias(f"t_{c}") for c in cols],
+                       *[F.col(f"s_{c}") for c in source.columns])
+    both = kept.unionByName(fresh)
+    return _merge_cols(both, target, source, key, update_cols, as_of, insert_defaults)
+
+
+def _merge_cols(j: DataFrame, target: DataFrame, source: DataFrame, key: str, update_cols,
+                as_of, insert_defaults) -> DataFrame:
+    now = X.ts_lit(as_of)
     matched = F.col(f"t_{key}").isNotNull() & F.col(f"s_{key}").isNotNull()
     new = F.col(f"t_{key}").isNull()
     defaults = dict(insert_defaults or {})
     out = []
-    for c in cols:
+    for c in target.columns:
         t, s = F.col(f"t_{c}"), (F.col(f"s_{c}") if c in source.columns else F.lit(None))
         if c == key:
             v = F.coalesce(t, s)
