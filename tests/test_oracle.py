@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
-from oracle_check import TABLES, key, rows_of  # noqa: E402
+from oracle_check import TABLES, key, rows_of, type_diff  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,6 +44,7 @@ def test_query_matches_oracle(spark, con, name):
     cur = con.execute(E.oracle_sql()[name])
     b, cb = rows_of([c[0] for c in cur.description], cur.fetchall())
     assert ca == cb
+    assert type_diff(df.dtypes, con.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()) == {}
     assert sorted(a, key=key) == sorted(b, key=key)
 
 

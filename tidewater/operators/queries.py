@@ -106,7 +106,8 @@ def latest_orders_per_customer(sales: DataFrame, products: DataFrame, *, limit:
         F.col("sales_date").desc_nulls_last(), F.col("product_code"),
         F.col("order_number").asc_nulls_last(), F.col("sales_amount").desc(),
         F.col("sales_quantity").desc(), F.col("channel"))
-    ranked = _active(sales).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    ranked = _active(sales).withColumn("rank", F.row_number().over(w).cast("long")) \
+                           .where(F.col("rank") <= limit)
     return ranked.join(p, "product_code", "left").select(
         "customer_id", "rank", "order_number", "sales_date", "product_code", "sales_amount",
         "sales_quantity", "unit_price", "region", "channel", "sales_rep", "product_category")

@@ -299,7 +299,7 @@ _TRENDS = """
 SELECT CAST(sum(d.total_sales) AS DOUBLE) AS total_sales,
        CAST(sum(d.total_sales) AS DOUBLE) / count(*) AS average_daily_sales,
        (SELECT sales_growth_rate FROM growth_out) AS sales_growth_rate,
-       sum(d.unique_customers) AS total_unique_customers,
+       CAST(sum(d.unique_customers) AS BIGINT) AS total_unique_customers,
        CAST(sum(d.unique_customers) AS DOUBLE) / count(*) AS average_daily_customers,
        (SELECT count(DISTINCT customer_id) FROM scan) AS distinct_customers,
        count(*) AS days
@@ -506,7 +506,7 @@ FROM ecc GROUP BY product_code"""),
 SELECT product_code, CAST(coalesce(sum(sales_quantity), 0) AS DOUBLE) AS total_quantity_sold,
        CAST(coalesce(sum(sales_amount), 0) AS DOUBLE) AS total_sales_amount,
        arg_max(product_category, row(processed_date, product_category)) FILTER (WHERE product_category IS NOT NULL) AS product_category,
-       0.0 AS unit_price, 'SAP_BW' AS data_source
+       CAST(0 AS DOUBLE) AS unit_price, 'SAP_BW' AS data_source
 FROM bw GROUP BY product_code"""),
     "products": with_wh("", f"SELECT {PRODUCT_COLS} FROM products"),
     "products_ecc_price": with_wh(_products(mode="ecc_only", name="products_e"), f"SELECT {PRODUCT_COLS} FROM products_e"),
