@@ -9,6 +9,10 @@ Groups with a NULL key are dropped, and rounding happens between the two
 aggregation levels, as in the original reports.
 """
 
+# The output column names of the reports (total_sales,
+# average_daily_sales, sales_growth_rate, top_performing_days, ...) are the
+# field names of the original reports and appear as-is in the JSON rows.
+
 from __future__ import annotations
 
 from pyspark import StorageLevel
