@@ -97,9 +97,12 @@ def materialize(spark: SparkSession, sf_dir: str, as_of: str, *, partition_raw_b
         ecc = _read(spark, f"{staging}/raw_ecc", "raw_ecc")
         bw = _read(spark, f"{staging}/raw_bw", "raw_bw")
         wh = Warehouse(ecc, bw, as_of=as_of, lookback_days=None)
-        _by_range(wh.sales, "sales_date").write.parquet(f"{staging}/sales")
-        wh.customers.repartition("customer_id").write.parquet(f"{staging}/customers")
-        wh.products.repartition("product_code").write.parquet(f"{staging}/products")
+        _bloom(_by_range(wh.sales, "sales_date").write, "customer_id", "product_code") \
+            .parquet(f"{staging}/sales")
+        _bloom(wh.customers.repartition("customer_id").write, "customer_id") \
+            .parquet(f"{staging}/customers")
+        _bloom(wh.products.repartition("product_code").write, "product_code") \
+            .parquet(f"{staging}/products")
         sfs, sp, _ = _fs(spark, staging)
         sfs.create(jvm.org.apache.hadoop.fs.Path(sp, "_SUCCESS")).close()
         if not fs.rename(sp, p):          # someone else finished first: use theirs
@@ -118,6 +121,15 @@ def _by_range(df: DataFrame, col: str) -> DataFrame:
     return df.repartitionByRange(F.col(col), tie).sortWithinPartitions(col)
 
 
+def _bloom(writer, *cols):
+    """Parquet bloom filters on key columns: an equality filter on a key
+    (point look-ups, one customer's orders) skips every row group that
+    cannot hold the key, although the files are clustered by date."""
+    for c in cols:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return writer
+
+
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
     df = spark.read.parquet(path)
     if "processed_day" in df.columns:
