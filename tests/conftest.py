@@ -1,7 +1,6 @@
 import datetime as dt
 import os
 import sys
-import tempfile
 from decimal import Decimal
 
 import pytest

@@ -144,10 +144,6 @@ def text_cat(*parts) -> Column:
     return F.concat_ws("", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def lit_s(s: str) -> Column:
-    return F.lit(s)
-
-
 def opt(prefix: str, x, suffix: str = "") -> Column:
     """``prefix + x + suffix`` when x is not NULL, else ''."""
     v = _c(x)
