@@ -62,7 +62,9 @@ def _order_stats(v: DataFrame, lo: int, hi: int, n: int, p: float, max_fetch: in
             return c_lo, c_lo
         if hit and ni < m:
             lower, upper, below, m = c_lo, c_hi, nb, ni
-        else:                   # proposal missed the ranks (or did not shrink): widen
+        elif hit:               # cannot shrink (few distinct values): fetch them grouped
+            break
+        else:                   # proposal missed the ranks: widen
             slack *= 4
     # fetch the bracket as (value, count) pairs: repeated values travel once
     rows = sorted((r["v"], r["n"]) for r in
