@@ -421,6 +421,55 @@ def hourly_events(c: Ctx):
     return ST.hourly_events(c.t["events"])
 
 
+def product_performance_product(c: Ctx):
+    """A7 with the product filter."""
+    return Q.product_performance(c.sales, c.products, product_code=LOOKUP_PRODUCT)
+
+
+def sales_enriched_customer(c: Ctx):
+    """J1 with the customer filter."""
+    return Q.sales_enriched(c.sales, c.customers, c.products, customer_id=LOOKUP_CUSTOMER)
+
+
+def customer_lookup_batch(c: Ctx):
+    """F5 as a batch: every customer that bought in the filter's region and
+    period, looked up with a semi join."""
+    ids = Q.sales_enriched(c.sales, c.customers, c.products, **FILTER).select("customer_id")
+    return Q.customer_lookup(c.customers, ids)
+
+
+def products_recent(c: Ctx):
+    """A6 over the nightly 7-day window."""
+    w = R.Warehouse(c.raw_ecc, c.raw_bw, as_of=c.as_of, lookback_days=RAW_LOOKBACK_DAYS)
+    return w.products
+
+
+def sales_recent(c: Ctx):
+    """P3 over the nightly 7-day window (one night's sales load)."""
+    w = R.Warehouse(c.raw_ecc, c.raw_bw, as_of=c.as_of, lookback_days=RAW_LOOKBACK_DAYS)
+    return w.sales
+
+
+def daily_sales_30d(c: Ctx):
+    return I.daily_sales(c.scan(INSIGHT_DAYS, customers=False, products=False))
+
+
+def customer_analysis_30d(c: Ctx):
+    return _cust(c, INSIGHT_DAYS)
+
+
+def product_analysis_30d(c: Ctx):
+    return _prod(c, INSIGHT_DAYS)
+
+
+def region_analysis_30d(c: Ctx):
+    return I.region_analysis(c.scan(INSIGHT_DAYS, customers=False, products=False))
+
+
+def rep_analysis_30d(c: Ctx):
+    return I.rep_analysis(c.scan(INSIGHT_DAYS, customers=False, products=False))
+
+
 _FNS = [
     scan_raw_ecc, scan_raw_bw, scan_raw_ecc_recent, scan_raw_bw_recent,
     sales_unified, customer_rollup_ecc, customer_rollup_bw, customers, customers_recent,
@@ -438,6 +487,9 @@ _FNS = [
     upsert_customers, upsert_products, replace_window_sales,
     set_totals, unique_keys, rows_by_region, rows_by_customer, display_rows,
     error_alerts_5m, error_alerts_5m_low, failure_alerts_15m, hourly_events,
+    product_performance_product, sales_enriched_customer, customer_lookup_batch,
+    products_recent, sales_recent, daily_sales_30d, customer_analysis_30d,
+    product_analysis_30d, region_analysis_30d, rep_analysis_30d,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _q(f) for f in _FNS}

@@ -474,6 +474,11 @@ GROUP BY ws HAVING count(*) > {threshold}"""
 
 FR = dict(start=FILTER["start"], end=FILTER["end"])
 
+def _recent_wh() -> str:
+    w = lookback('processed_date', RAW_LOOKBACK_DAYS)
+    return f"WITH {_base(w, w)}{_sales()}{_customers()}{_products()}"
+
+
 ORACLE_SQL: dict[str, str] = {
     "scan_raw_ecc": with_wh("", f"SELECT {ECC_COLS} FROM ecc"),
     "scan_raw_bw": with_wh("", f"SELECT {BW_COLS} FROM bw"),
@@ -653,6 +658,30 @@ SELECT customer_id, product_code, order_number, sales_date,
        strftime(sales_date, '%b %-d, %Y') AS date_text,
        strftime(sales_date, '%b %-d, %Y, %I:%M %p') AS datetime_text
 FROM sales"""),
+    "product_performance_product": with_wh("", _product_perf(sales_where(prefix="s.", product_code=LOOKUP_PRODUCT))),
+    "sales_enriched_customer": with_wh("", f"SELECT {ENRICHED} {ENRICHED_FROM} WHERE s.is_active AND s.customer_id = '{LOOKUP_CUSTOMER}'"),
+    "customer_lookup_batch": with_wh("", f"""
+SELECT customer_id, customer_segment, region, sales_rep, total_orders,
+       coalesce(CAST(total_sales_amount AS DOUBLE), 0.0) AS total_sales_amount,
+       last_order_date, created_date, updated_date
+FROM customers
+WHERE is_active AND customer_id IN (SELECT s.customer_id FROM sales s
+                                    WHERE s.is_active AND {sales_where(prefix='s.', **FILTER)})"""),
+    "products_recent": f"{_recent_wh()}\nSELECT {PRODUCT_COLS} FROM products",
+    "sales_recent": f"{_recent_wh()}\nSELECT {SALES_COLS} FROM sales",
+    "daily_sales_30d": with_wh(_scan(INSIGHT_DAYS) + _DAILY, """
+SELECT sales_day, CAST(total_sales AS DOUBLE) AS total_sales, CAST(total_quantity AS DOUBLE) AS total_quantity,
+       unique_customers FROM daily"""),
+    "customer_analysis_30d": with_wh(_scan(INSIGHT_DAYS) + _CA, f"""
+SELECT customer_id, CAST(total_sales AS DOUBLE) AS total_sales, order_count, {dbl_cents('aov_c')} AS avg_order_value,
+       CAST(total_quantity AS DOUBLE) AS total_quantity, first_order, last_order, segment, region FROM ca"""),
+    "product_analysis_30d": with_wh(_scan(INSIGHT_DAYS) + _PA, f"""
+SELECT product_code, CAST(total_sales AS DOUBLE) AS total_sales, order_count, {dbl_cents('aov_c')} AS avg_order_value,
+       CAST(total_quantity AS DOUBLE) AS total_quantity, {dbl_cents('aup_c')} AS avg_unit_price, category FROM pa"""),
+    "region_analysis_30d": with_wh(_scan(INSIGHT_DAYS) + _dim("region", "sales_rep", "sales_reps"),
+                                   f"SELECT region, {_DA_COLS}, sales_reps FROM da"),
+    "rep_analysis_30d": with_wh(_scan(INSIGHT_DAYS) + _dim("sales_rep", "region", "regions"),
+                                f"SELECT sales_rep, {_DA_COLS}, regions FROM da"),
     # streaming batch twins
     "error_alerts_5m": _alerts(5, 1, 5),
     "error_alerts_5m_low": _alerts(5, 1, ALERT_THRESHOLD_LOW),
