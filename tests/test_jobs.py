@@ -30,3 +30,15 @@ def test_nightly_runs(spark, tmp):
     docs = jobs.run_documents(spark, f"{tmp}/wh", f"{tmp}/docs", as_of=AS_OF)
     assert docs["documents"] == K.read_current(spark, f"{tmp}/docs").count() > 0
     assert os.path.isdir(f"{tmp}/raw/raw_ecc")
+
+
+def test_command_line(spark, tmp, capsys):
+    from tidewater.__main__ import main
+    ecc, bw = raw_from_tpch(load_tables(spark, SF))
+    K.land_raw(ecc.where("processed_date >= timestamp_ntz'2001-06-01'"), f"{tmp}/raw/raw_ecc", granularity="month")
+    K.land_raw(bw.where("processed_date >= timestamp_ntz'2001-06-01'"), f"{tmp}/raw/raw_bw", granularity="month")
+    main(["etl", "--raw", f"{tmp}/raw", "--out", f"{tmp}/wh", "--as-of", AS_OF, "--lookback-days", "30"])
+    main(["insights", "--processed", f"{tmp}/wh", "--out", f"{tmp}/ins", "--as-of", AS_OF])
+    main(["documents", "--processed", f"{tmp}/wh", "--out", f"{tmp}/docs", "--as-of", AS_OF])
+    lines = [ln for ln in capsys.readouterr().out.splitlines() if ln.startswith("{")]
+    assert len(lines) == 3 and '"documents"' in lines[2]
