@@ -378,11 +378,11 @@ def _minus_days(d: str, n: int) -> str:
 # ---------------------------------------------------------------- helpers
 
 def set_totals(c: Ctx):
-    return H.set_totals(Q.sales_enriched(c.sales, c.customers, c.products, **FILTER))
+    return H.set_totals(_filtered_sales(c))
 
 
 def unique_keys(c: Ctx):
-    return H.unique_keys(Q.sales_enriched(c.sales, c.customers, c.products, **FILTER))
+    return H.unique_keys(_filtered_sales(c))
 
 
 def rows_by_region(c: Ctx):
@@ -431,11 +431,17 @@ def sales_enriched_customer(c: Ctx):
     return Q.sales_enriched(c.sales, c.customers, c.products, customer_id=LOOKUP_CUSTOMER)
 
 
+def _filtered_sales(c: Ctx):
+    """The rows of the filtered sales-data call (the left joins of the
+    enriched form add columns, never rows, so set-level figures need no
+    join)."""
+    return X.where_opt(c.sales.where(F.col("is_active")), X.sales_filter(**FILTER))
+
+
 def customer_lookup_batch(c: Ctx):
     """F5 as a batch: every customer that bought in the filter's region and
     period, looked up with a semi join."""
-    ids = Q.sales_enriched(c.sales, c.customers, c.products, **FILTER).select("customer_id")
-    return Q.customer_lookup(c.customers, ids)
+    return Q.customer_lookup(c.customers, _filtered_sales(c).select("customer_id"))
 
 
 def products_recent(c: Ctx):
