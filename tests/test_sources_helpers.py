@@ -130,3 +130,12 @@ def test_rebuild_documents_counts(spark, tmp):  # K11
     t = api.Tables.from_store(spark, "/root/testdata/sf0.001", "2001-11-05")
     v, n = K.rebuild_documents(t.customers, t.sales, t.products, tmp + "/docs", as_of=t.as_of)
     assert v == 1 and n == K.read_current(spark, tmp + "/docs").count() > 0
+
+
+def test_sizing():
+    from tidewater.session import sizing
+    big = sizing(100 * 10**12, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) > 300_000
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+    small = sizing(10 << 20, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"

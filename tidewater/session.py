@@ -22,15 +22,40 @@ BASE_CONF = {
 }
 
 
+MB = 1 << 20
+
+
+def sizing(input_bytes: int, cores: int, *, target_partition_bytes: int = 256 * MB) -> dict:
+    """Partition settings for a job reading ``input_bytes`` on ``cores``
+    executor cores.
+
+    Scans split files into ~``target_partition_bytes`` pieces; shuffles
+    start with enough partitions that each holds about that much (at least
+    two waves of tasks), and AQE merges small ones and splits skewed ones
+    around the same size.  At 100 TB on 8,000 cores this gives about
+    400k shuffle partitions of 256 MB, each comfortably inside an
+    executor's memory; at test scale it falls back to two per core.
+    """
+    parts = max(2 * cores, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false" if input_bytes > 64 * target_partition_bytes else "true",
+    }
+
+
 def get_session(master: str | None = None, app: str = "tidewater",
                 shuffle_partitions: int | None = None,
-                extra: dict | None = None) -> SparkSession:
+                extra: dict | None = None, *, input_bytes: int | None = None,
+                cores: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine's settings.
 
     ``master`` defaults to ``local[$BENCH_CPUS or *]`` so tests and the
     bench run in-process; on a cluster pass nothing and let spark-submit
-    decide.  ``shuffle_partitions`` should follow the data size: about
-    one partition per 128-256 MB of shuffled data.
+    decide.  Give ``input_bytes`` (and ``cores``) to size partitions to the
+    data (see :func:`sizing`), or ``shuffle_partitions`` directly.
     """
     builder = SparkSession.builder.appName(app)
     if master is None and not os.environ.get("SPARK_MASTER"):
@@ -39,6 +64,8 @@ def get_session(master: str | None = None, app: str = "tidewater",
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if input_bytes is not None:
+        conf.update(sizing(input_bytes, cores or os.cpu_count() or 8))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
