@@ -15,7 +15,7 @@ from __future__ import annotations
 import argparse
 import json
 
-from tidewater.session import get_session
+from tidewater.session import apply_sizing, get_session
 
 
 def main(argv=None) -> None:
@@ -52,6 +52,9 @@ def main(argv=None) -> None:
     args = ap.parse_args(argv)
 
     spark = get_session(master=args.master)
+    inputs = {"etl": "raw", "insights": "processed", "documents": "processed", "ingest": "src",
+              "alerts": "events"}[args.job]
+    apply_sizing(spark, getattr(args, inputs))
     from tidewater.plans import jobs
     if args.job == "etl":
         out = jobs.run_etl(spark, args.raw, args.out, as_of=args.as_of, lookback_days=args.lookback_days,

@@ -106,3 +106,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)   # for DataFrame.checkpoint()
     return d
+
+
+def apply_sizing(spark: SparkSession, *paths: str) -> dict:
+    """Size the session's partitions to the bytes under ``paths`` (the job's
+    inputs) and the cluster's cores; returns the settings applied."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            total += fs.getContentSummary(path).getLength()
+    out = sizing(total, spark.sparkContext.defaultParallelism)
+    for k, v in out.items():
+        spark.conf.set(k, v)
+    return out
