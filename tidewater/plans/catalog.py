@@ -52,6 +52,7 @@ class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF):
         self.spark = spark
         self.as_of = as_of
+        self.sf_dir = sf_dir
         key = (spark.sparkContext.applicationId, id(spark), sf_dir)
         self.t = _TABLES.setdefault(key, T.load_tables(spark, sf_dir))
         self.path = store.materialize(spark, sf_dir, as_of)
@@ -421,6 +422,29 @@ def hourly_events(c: Ctx):
     return ST.hourly_events(c.t["events"])
 
 
+def _stream_alerts(c: Ctx, size: str, slide: str, threshold: int):
+    """Run the streaming alert job on the events table (file stream,
+    watermark, append mode, availableNow) into a parquet sink under the
+    shared checkpoint folder, and read its output back."""
+    import uuid
+    from tidewater.session import checkpoint_dir
+    root = f"{checkpoint_dir(c.spark).rstrip('/')}/tidewater-streams/{uuid.uuid4().hex}"
+    stream = ST.streaming_alerts(ST.read_table_stream(c.spark, c.sf_dir, "events"),
+                                 size=size, slide=slide, threshold=threshold)
+    ST.run_to_table(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return c.spark.read.parquet(f"{root}/out")
+
+
+def failure_alerts_15m_stream(c: Ctx):
+    """ST2 as a stream: only windows closed by the watermark are emitted."""
+    return _stream_alerts(c, ST.FAILURE_RULE[0], ST.FAILURE_RULE[1], ST.FAILURE_RULE[2])
+
+
+def error_alerts_5m_low_stream(c: Ctx):
+    """ST1 as a stream (threshold 2, see error_alerts_5m_low)."""
+    return _stream_alerts(c, ST.ERROR_RULE[0], ST.ERROR_RULE[1], ALERT_THRESHOLD_LOW)
+
+
 def product_performance_product(c: Ctx):
     """A7 with the product filter."""
     return Q.product_performance(c.sales, c.products, product_code=LOOKUP_PRODUCT)
@@ -496,6 +520,7 @@ _FNS = [
     product_performance_product, sales_enriched_customer, customer_lookup_batch,
     products_recent, sales_recent, daily_sales_30d, customer_analysis_30d,
     product_analysis_30d, region_analysis_30d, rep_analysis_30d,
+    failure_alerts_15m_stream, error_alerts_5m_low_stream,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _q(f) for f in _FNS}

@@ -470,6 +470,14 @@ FROM (
 GROUP BY ws HAVING count(*) > {threshold}"""
 
 
+def _alerts_closed(size_min: int, slide_min: int, threshold: int, delay_min: int = 10) -> str:
+    """The streaming twin in append mode: windows whose end has passed the
+    final watermark (latest error time minus the delay)."""
+    return (f"SELECT * FROM ({_alerts(size_min, slide_min, threshold)}) a "
+            f"WHERE window_end <= (SELECT max(ts) FROM events WHERE event_type = 'error') "
+            f"- INTERVAL {delay_min} MINUTE")
+
+
 # ----------------------------------------------------------------- queries
 
 FR = dict(start=FILTER["start"], end=FILTER["end"])
@@ -686,6 +694,8 @@ SELECT product_code, CAST(total_sales AS DOUBLE) AS total_sales, order_count, {d
     "error_alerts_5m": _alerts(5, 1, 5),
     "error_alerts_5m_low": _alerts(5, 1, ALERT_THRESHOLD_LOW),
     "failure_alerts_15m": _alerts(15, 5, 1),
+    "failure_alerts_15m_stream": _alerts_closed(15, 5, 1),
+    "error_alerts_5m_low_stream": _alerts_closed(5, 1, ALERT_THRESHOLD_LOW),
     "hourly_events": """
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
        event_type, count(*) AS events

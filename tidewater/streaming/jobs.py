@@ -68,6 +68,16 @@ def read_event_stream(spark: SparkSession, path: str, *, fmt: str = "parquet",
     return r.load(path)
 
 
+def read_table_stream(spark: SparkSession, folder: str, table: str = "events", *,
+                      max_files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet table of ``folder`` (``<table>.parquet`` file or folder) as
+    a file stream: files are picked up once, in arrival order."""
+    r = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", f"{table}.parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(folder)
+
+
 def streaming_alerts(stream: DataFrame, *, event_type: str = "error", size: str = ERROR_RULE[0],
                      slide: str = ERROR_RULE[1], threshold: int = ERROR_RULE[2],
                      watermark: str = "10 minutes") -> DataFrame:
