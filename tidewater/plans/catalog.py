@@ -445,6 +445,17 @@ def error_alerts_5m_low_stream(c: Ctx):
     return _stream_alerts(c, ST.ERROR_RULE[0], ST.ERROR_RULE[1], ALERT_THRESHOLD_LOW)
 
 
+def hourly_events_stream(c: Ctx):
+    """ST3 as a stream: hourly counts per event type, emitted as each hour
+    closes (watermark 10 minutes)."""
+    import uuid
+    from tidewater.session import checkpoint_dir
+    root = f"{checkpoint_dir(c.spark).rstrip('/')}/tidewater-streams/{uuid.uuid4().hex}"
+    stream = ST.streaming_hourly(ST.read_table_stream(c.spark, c.sf_dir, "events"))
+    ST.run_to_table(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return c.spark.read.parquet(f"{root}/out")
+
+
 def product_performance_product(c: Ctx):
     """A7 with the product filter."""
     return Q.product_performance(c.sales, c.products, product_code=LOOKUP_PRODUCT)
@@ -520,7 +531,7 @@ _FNS = [
     product_performance_product, sales_enriched_customer, customer_lookup_batch,
     products_recent, sales_recent, daily_sales_30d, customer_analysis_30d,
     product_analysis_30d, region_analysis_30d, rep_analysis_30d,
-    failure_alerts_15m_stream, error_alerts_5m_low_stream,
+    failure_alerts_15m_stream, error_alerts_5m_low_stream, hourly_events_stream,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _q(f) for f in _FNS}

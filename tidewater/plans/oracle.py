@@ -696,6 +696,12 @@ SELECT product_code, CAST(total_sales AS DOUBLE) AS total_sales, order_count, {d
     "failure_alerts_15m": _alerts(15, 5, 1),
     "failure_alerts_15m_stream": _alerts_closed(15, 5, 1),
     "error_alerts_5m_low_stream": _alerts_closed(5, 1, ALERT_THRESHOLD_LOW),
+    "hourly_events_stream": """
+SELECT * FROM (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+         event_type, count(*) AS events
+  FROM events GROUP BY 1, 2, 3)
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
     "hourly_events": """
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
        event_type, count(*) AS events
