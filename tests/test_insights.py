@@ -114,3 +114,28 @@ def test_all_insights_rows(spark):  # A30
     for t in ("sales_trends", "customer_insights", "product_insights", "regional_insights", "sales_rep_insights"):
         assert t in types
     assert sum(t == "regional_insights.regional_distribution" for t in types) == 2
+
+
+def test_report_fields(spark):  # A12/A16/A19/A21/A23 field names of the JSON rows
+    import json
+    from conftest import bw_rows, ecc_rows
+    from tidewater.operators import rollups as R
+    ecc = ecc_rows(spark, [dict(customer_id="C1", region="EAST", sales_rep="R1", order_date=ts("2001-11-01"))])
+    bw = bw_rows(spark, [dict(customer_id="C2", region="WEST", sales_rep="R2", customer_segment="AUTO",
+                              product_category="BOLT", sales_date=ts("2001-10-20"))])
+    rows = I.all_insights(R.unify_sales(ecc, bw, as_of="2001-11-05"), R.build_customers(ecc, bw, as_of="2001-11-05"),
+                          R.build_products(ecc, bw, as_of="2001-11-05"), as_of="2001-11-05", days=30).collect()
+    got = {r.insight_type: set(json.loads(r.insight_data)) for r in rows if "." not in r.insight_type}
+    assert {"total_sales", "average_daily_sales", "sales_growth_rate", "top_performing_days",
+            "total_unique_customers", "average_daily_customers"} <= got["sales_trends"]
+    assert {"total_customers", "top_customers", "recent_customers", "returning_customers",
+            "customer_retention_rate"} <= got["customer_insights"]
+    assert {"total_products", "top_products", "high_performing_products",
+            "product_diversity_score"} <= got["product_insights"]
+    assert {"total_regions", "top_regions", "average_sales_per_region", "best_performing_region",
+            "best_region_sales"} <= got["regional_insights"]
+    assert {"total_sales_reps", "top_sales_reps", "average_sales_per_rep", "top_performing_rep",
+            "top_rep_sales"} <= got["sales_rep_insights"]
+    parts = {r.insight_type for r in rows if "." in r.insight_type}
+    assert parts == {"customer_insights.segment_analysis", "product_insights.category_analysis",
+                     "regional_insights.regional_distribution", "sales_rep_insights.rep_performance_distribution"}
