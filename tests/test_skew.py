@@ -75,3 +75,11 @@ def test_hot_customer_aggregations(spark, skewed):
     latest = Q.latest_orders_per_customer(sales, prod, limit=3)
     assert latest.where("customer_id = 'HOT'").count() == 3
     assert "WindowGroupLimit" in _plan(latest)
+
+
+def test_batch_lookup_dedupes_hot_ids(spark, skewed):
+    sales, cust, _ = skewed
+    df = Q.customer_lookup(cust, sales.select("customer_id"))
+    assert df.count() == 998
+    plan = _plan(df)
+    assert "HashAggregate(keys=[customer_id" in plan    # ids reduced before the join

@@ -27,10 +27,12 @@ def customer_lookup(customers: DataFrame, customer_id) -> DataFrame:
     """One active customer by id (0 or 1 row), API field names.
 
     ``customer_id`` may also be a DataFrame with a ``customer_id`` column:
-    then it is a batch look-up (left semi join)."""
+    then it is a batch look-up (left semi join).  The ids are deduplicated
+    first (map-side partial aggregation), so an id repeated across a large
+    share of the rows does not land in one join task."""
     c = customers.where(F.col("is_active"))
     if isinstance(customer_id, DataFrame):
-        c = c.join(customer_id.select("customer_id"), "customer_id", "left_semi")
+        c = c.join(customer_id.select("customer_id").distinct(), "customer_id", "left_semi")
     else:
         c = c.where(F.col("customer_id") == F.lit(customer_id))
     return c.select(
@@ -43,7 +45,7 @@ def product_lookup(products: DataFrame, product_code) -> DataFrame:
     """Product details by code (active only); DataFrame of codes = batch."""
     p = products.where(F.col("is_active"))
     if isinstance(product_code, DataFrame):
-        p = p.join(product_code.select("product_code"), "product_code", "left_semi")
+        p = p.join(product_code.select("product_code").distinct(), "product_code", "left_semi")
     else:
         p = p.where(F.col("product_code") == F.lit(product_code))
     return p.select(
