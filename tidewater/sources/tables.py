@@ -170,7 +170,7 @@ def conform_raw(df: DataFrame, kind: str, *, rename: dict | None = None,
             if isinstance(f.dataType, T.StringType):
                 val = raw.cast("string")
             else:
-                val = raw.try_cast(f.dataType) if hasattr(raw, "try_cast") else F.expr(f"try_cast({raw} as {f.dataType.simpleString()})")
+                val = raw.try_cast(f.dataType)
                 errors.append(F.when(raw.isNotNull() & val.isNull(), F.lit(f"bad {f.name}")))
             cols.append((f.name, val))
         else:
