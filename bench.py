@@ -5,7 +5,8 @@ Runs each query of ``HEADLINE`` on the tables in ``$BENCH_SF_DIR``
 JSON line: {"metric", "value" (sum of per-query seconds), "unit", "queries",
 "sf"}.  A query is executed in full through the ``noop`` sink (no collect);
 its time is the median of ``$BENCH_REPS`` runs (default 3) after one
-warm-up run.
+warm-up run.  ``$BENCH_EVENT_LOG`` (a folder) turns on Spark's event log
+for reading stage and task times afterwards.
 """
 
 from __future__ import annotations
@@ -37,7 +38,10 @@ def main() -> None:
     only = [a for a in sys.argv[1:]]
     from tidewater.session import get_session
     from tidewater.plans.catalog import QUERIES
-    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):       # stage/task times for offline reading
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]}
+    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, extra=extra)
     names = only or HEADLINE
     times = {}
     for name in names:
