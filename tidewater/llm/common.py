@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,9 +26,27 @@ BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once per application (what
+    ``--py-files`` does), so that tasks find it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        at = Path(tempfile.mkdtemp(prefix="tidewater-code-")) / "tidewater_code.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(at))
+        _shipped.add(app)
+
+
 def tune(spark: SparkSession) -> None:
     """Session settings the operators rely on: small Arrow batches (texts can
     be long) and run-time splitting of skewed join partitions."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -61,13 +82,13 @@ def bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, step)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], ddl: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], ddl: str | StructType) -> DataFrame:
     """Run a Python function over slices of rows.
 
     ``make()`` is called once per task and returns the function, which gets
     the columns as lists and returns the columns of ``ddl``.
     """
-    schema = schema_of(ddl)
+    schema = schema_of(ddl) if isinstance(ddl, str) else ddl
     arrow = to_arrow_schema(schema)
 
     def run(batches):

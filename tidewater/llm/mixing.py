@@ -147,3 +147,28 @@ def mixed_sizes(docs: DataFrame, **params) -> DataFrame:
     s = m.sources.select(F.col("source").alias("s"), "source_size", "target")
     return (taken(m).join(s, F.col("source").eqNullSafe(F.col("s")))
             .select("doc_id", "source", "size", "source_size", "target", "taken"))
+
+
+def mixed_documents(docs: DataFrame, **params) -> DataFrame:
+    """The documents as often as the mix takes them, all columns.  A document
+    that it takes whole k times and w words more gives k rows, and one with
+    its first w words, joined by blanks."""
+    names = docs.columns
+    seed = params.get("seed", 17)
+    own = Window.partitionBy("doc_id", "source", "key").orderBy("place")
+    got = (taken(mix(docs, **params)).withColumn("n", F.row_number().over(own)).where("taken > 0")
+           .select(*[F.col(c).alias(f"_tw_{c}") for c in ("doc_id", "source", "key", "n")],
+                   F.expr("taken div size").alias("_tw_whole"), F.expr("cast(taken % size as int)").alias("_tw_rest")))
+    got = written(got, "mixtaken")
+    # Rows with one id, source and text are interchangeable: the n-th here is the n-th there.
+    same = Window.partitionBy("doc_id", "source", "_tw_hash").orderBy(F.lit(0))
+    rows = docs.withColumn("_tw_hash", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))).withColumn("_tw_nth", F.row_number().over(same))
+    both = rows.join(got, F.col("doc_id").eqNullSafe(F.col("_tw_doc_id")) & F.col("source").eqNullSafe(F.col("_tw_source"))
+                     & (F.col("_tw_hash") == F.col("_tw_key")) & (F.col("_tw_nth") == F.col("_tw_n")))
+    turns = both.withColumn("_tw_turn", F.explode(F.expr("sequence(1L, _tw_whole + if(_tw_rest > 0, 1L, 0L))")))
+    part = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("_tw_rest")), " ")
+    text = F.when(F.col("_tw_turn") > F.col("_tw_whole"), part).otherwise(F.col("text"))
+    turns = turns.withColumn("text", text)
+    if "n_chars" in names:
+        turns = turns.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return turns.select(*names)
