@@ -27,11 +27,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import map_batches, written
-from tidewater.llm.words import FACTOR, MASK, WordHash, covered, mixed, windows
+from tidewater.llm.words import FACTOR, WordHash, covered, mixed, windows
 
 WINDOW = 20
 GRAM = 8
@@ -85,7 +86,6 @@ def _index(docs: DataFrame) -> DataFrame:
             each = [len(x[0]) for x in found]
             ids = np.array([x if x is not None else 0 for x in rows["doc_id"]], np.int64)
             gone = np.repeat([x is None for x in rows["doc_id"]], each) if each else np.empty(0, bool)
-            import pyarrow as pa
             cat = [np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(4)]
             return {"doc_id": pa.array(np.repeat(ids, each), mask=gone.astype(bool)), "tk": np.repeat(np.array(rows["tk"], np.int32), each),
                     "h": cat[0], "c": cat[1], "start": cat[2].astype(np.int32), "n": cat[3].astype(np.int32)}
@@ -99,11 +99,8 @@ def _frequent(docs: DataFrame) -> DataFrame:
     return written(_index(some).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= FREQUENT).select("h", F.lit(SALTS).alias("salts")), "anchors")
 
 
-ORDER = [F.col("doc_id").asc_nulls_last, F.col("tk").asc, F.col("start").asc]
-
-
 def _order() -> list[Column]:
-    return [f() for f in ORDER]
+    return [F.col("doc_id").asc_nulls_last(), F.col("tk"), F.col("start")]
 
 
 def _ranked(rows: DataFrame, *key: str) -> DataFrame:
