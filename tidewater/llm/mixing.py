@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import prefix_sums, word_count, written
+from tidewater.llm.common import prefix_sums, shuffle_parts, word_count, written
 
 BUCKET_BITS = 12          # a source's documents are ordered within 2**12 hash buckets
 CHUNK = 4096              # points made from one row
@@ -89,7 +89,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     bits = max(1, int(total - 1).bit_length())
     chunks = (spans.withColumn("hi", F.col("lo") + F.col("n_slots"))
               .withColumn("from", F.explode(F.expr(f"sequence(lo, hi - 1, {CHUNK}L)")))
-              .repartition("from"))
+              .repartition(shuffle_parts(sources.sparkSession), "from"))
     slots = (chunks.withColumn("j", F.explode(F.expr(f"sequence(from, least(from + {CHUNK}L, hi) - 1)")))
              .withColumn("rank", F.expr(_rank_expr(bits))))
     return slots.select(_reverse_bits(F.col("j"), bits).alias("slot"), "source",
@@ -119,7 +119,8 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), cap: int = 3, block_words: int =
               .withColumn("block", F.explode(F.expr(f"sequence(place div {n}, (place + size - 1) div {n})")))
               .withColumn("start", F.greatest(F.col("block") * n - F.col("place"), F.lit(0)))
               .withColumn("words", F.least(F.col("place") + F.col("size"), (F.col("block") + 1) * n) - F.col("place") - F.col("start")))
-    return Mix(sources, schedule(sources), placed, pieces)
+    # Written, as an estimate of its size from the few rows it is made of would have it broadcast.
+    return Mix(sources, written(schedule(sources), "mixslots"), placed, pieces)
 
 
 def mixed_stream(m: Mix) -> DataFrame:
