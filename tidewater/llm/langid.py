@@ -59,7 +59,8 @@ def grams(text: str | None) -> np.ndarray | None:
     # One blank between words and at both ends.
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 32) | (code[:-1] != 32)
-    code = np.concatenate([[np.uint64(32)], code[keep], [np.uint64(32)]])
+    code = code[keep]
+    code = np.concatenate([[np.uint64(32)], code[int(code[0] == 32):len(code) - int(code[-1] == 32)], [np.uint64(32)]])
     out = []
     for n in GRAMS:
         key = code[:len(code) - n + 1].copy()

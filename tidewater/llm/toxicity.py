@@ -1,12 +1,13 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-A text is the set of its words (lower case, ASCII punctuation as blanks).  A
-linear model over the words is trained on confirmed toxic documents and on
-unlabelled ones by the non-negative risk: prior * R_p(+) + max(0, R_u(-) -
-prior * R_p(-)); when the bracket falls below zero, a step goes up it
-instead.  The prior is the share of toxic ones among all labelled training
-rows.  Words that fewer than LEAST_DOCS confirmed documents hold get no
-weight; the weights are kept sparse.
+A text is the set of its words (lower case, ASCII punctuation as blanks) and
+of their beginnings.  A linear model over these is trained on confirmed toxic
+documents and on unlabelled ones by the non-negative risk: prior * R_p(+) +
+max(0, R_u(-) - prior * R_p(-)); when the bracket falls below zero, a step
+goes up it instead.  The prior is the share of toxic ones among all labelled
+training rows.  Only features that confirmed documents hold significantly
+more often than unlabelled ones get a weight, which is never negative;
+copies among the documents trained on count once.
 
 At most POSITIVES confirmed and UNLABELLED other documents are used, those
 with the smallest hashes of their ids; none is held out.  The unlabelled
@@ -20,20 +21,24 @@ are not learned from; repeated rows each get a row.
 from __future__ import annotations
 
 import string
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import map_batches
 from tidewater.llm.langid import fold
+from tidewater.llm.words import mixed
 
-POSITIVES, UNLABELLED = 3000, 6000
+POSITIVES, UNLABELLED = 2000, 4000
 LEAST_DOCS = 3
-EPOCHS, BATCH, RATE = 40, 512, 0.05
-SPARSE = 2e-4               # how far each step draws a weight to zero, relative to the rate
+TELLING = 20.0              # log-likelihood ratio (G squared) from which on a feature is used
+STEMS = (4, 5, 6)           # lengths of word beginnings that are features, too
+EPOCHS, BATCH, RATE = 30, 512, 0.05
+CACHE_WORDS = 200_000
 BLANKS = {ord(c): " " for c in string.punctuation}
 
 
@@ -41,15 +46,79 @@ def words(text: str | None) -> set[str]:
     return set((text or "").lower().translate(BLANKS).split())
 
 
+def _own_features(word: str) -> tuple[int, ...]:
+    """Hashes of the word and of its beginnings (marked, so that they are no words)."""
+    return tuple(xxhash.xxh64_intdigest(f) for f in (word, *(word[:n] + "*" for n in STEMS if len(word) > n)))
+
+
+class _Hits(dict):
+    """Features of a word, of ``only`` these if given; emptied when full."""
+
+    def __init__(self, only=None):
+        super().__init__()
+        self.only = only
+
+    def __missing__(self, word):
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        hit = self[word] = tuple(f for f in _own_features(word) if self.only is None or f in self.only)
+        return hit
+
+
+def features(own: set[str], hits: _Hits | None = None) -> np.ndarray:
+    """Sorted distinct feature hashes of a set of words."""
+    found = {f for x in map((_Hits() if hits is None else hits).__getitem__, own) for f in x}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
 @dataclass
 class Linear:
-    weight: dict[str, float] = field(default_factory=dict)
+    weight: dict[int, float] = field(default_factory=dict)
     shift: float = -30.0
 
+    def scorer(self):
+        hits = _Hits(self.weight).__getitem__
+
+        def score(text: str | None) -> float:
+            found = {f for own in filter(None, map(hits, words(text))) for f in own}
+            z = self.shift + sum(self.weight[f] for f in sorted(found))
+            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return score
+
     def score(self, text: str | None) -> float:
-        get = self.weight.get
-        z = self.shift + sum(get(w, 0.0) for w in words(text))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return self.scorer()(text)
+
+
+def without_copies(docs: list[np.ndarray], most: float = 0.5, bands: int = 8, rows: int = 4) -> list[np.ndarray]:
+    """The feature sets without those that share more than ``most`` with one
+    kept before: copies would make every word of theirs look telling.
+    Candidates are sets with equal smallest hashes in all rows of a band."""
+    seeds = np.random.default_rng(1).integers(0, 1 << 63, bands * rows, np.uint64) | np.uint64(1)
+    kept, meet = [], defaultdict(list)
+    for own in docs:
+        if not len(own):
+            continue
+        low = np.array([mixed((own ^ s) * s).min() for s in seeds]).reshape(bands, rows)
+        keys = [(i, x.tobytes()) for i, x in enumerate(low)]
+        near = {k for b in keys for k in meet.get(b, ())}
+        for k in near:
+            common = len(np.intersect1d(own, kept[k], assume_unique=True))
+            if common > most * (len(own) + len(kept[k]) - common):
+                break
+        else:
+            for b in keys:
+                meet[b].append(len(kept))
+            kept.append(own)
+    return kept
+
+
+def _telling(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
+    """G squared of a out of n against b out of m, 0 where a's share is not larger."""
+    def part(x, expected):
+        return x * np.log(np.maximum(x, 1e-12) / np.maximum(expected, 1e-12))
+    p = (a + b) / (n + m)
+    g = 2 * (part(a, n * p) + part(b, m * p) + part(n - a, n * (1 - p)) + part(m - b, m * (1 - p)))
+    return np.where(a / n > b / m, g, 0.0)
 
 
 def _risk_slopes(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
@@ -64,24 +133,25 @@ def _risk_slopes(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarra
     return up + np.where(positive, -prior * slope / n_p, 0)
 
 
-def fit(positive: list[set], unlabelled: list[set], prior: float, seed: int = 11) -> Linear:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 11) -> Linear:
+    """A model from the feature sets of confirmed and unlabelled documents."""
+    positive, unlabelled = without_copies(positive), without_copies(unlabelled)
     if not positive or not unlabelled:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Linear({}, float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
-    df = Counter(w for d in positive for w in d)
-    vocab = {w: i for i, w in enumerate(sorted(w for w, n in df.items() if n >= min(LEAST_DOCS, len(positive))))}
-    docs = [np.array(sorted(vocab[w] for w in d if w in vocab), np.intp) for d in positive + unlabelled]
+    names, a = np.unique(np.concatenate(positive), return_counts=True)
+    names, a = names[a >= LEAST_DOCS], a[a >= LEAST_DOCS].astype(float)
+    at = [np.searchsorted(names, d[np.isin(d, names, assume_unique=True)]) for d in unlabelled]
+    b = np.bincount(np.concatenate(at), minlength=len(names)).astype(float)
+    use = np.flatnonzero(_telling(a, len(positive), b, len(unlabelled)) >= TELLING)
+    names = names[use]
+    docs = [np.searchsorted(names, d[np.isin(d, names, assume_unique=True)]) for d in positive + unlabelled]
     y = np.arange(len(docs)) < len(positive)
-    # Start at the log ratio of document shares, as if unlabelled were the other class.
-    shares = [np.bincount(np.concatenate(part) if part else [], minlength=len(vocab))[:len(vocab)] / max(1, len(part))
-              for part in (docs[:len(positive)], docs[len(positive):])]
-    other = np.maximum(shares[1] - prior * shares[0], 0) / (1 - prior)
-    small = 1 / len(docs)
-    ratio = np.log((shares[0] + small) / (other + small))
-    noise = 3 * np.sqrt(1 / np.maximum(shares[0] * len(positive), 1) + 1 / np.maximum(other * len(unlabelled), 1))
-    theta = np.where(np.abs(ratio) > noise, ratio, 0.0)
-    shift = float(np.log(prior / (1 - prior)))
+    # Start at the log ratio of document shares, the confirmed ones' part taken out of the unlabelled.
+    p, u = a[use] / len(positive), b[use] / len(unlabelled)
+    theta = np.log((p + 1 / len(docs)) / (np.maximum(u - prior * p, 0) / (1 - prior) + 1 / len(docs)))
+    shift = float(np.log(prior / (1 - prior))) - 2.0
     m, v = np.zeros(len(theta) + 1), np.zeros(len(theta) + 1)
     step = 0
     share = int(max(1, BATCH * len(positive) / len(docs)))
@@ -99,23 +169,23 @@ def fit(positive: list[set], unlabelled: list[set], prior: float, seed: int = 11
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
             move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-6)
-            live = theta != 0
-            theta[live] -= move[:-1][live]
-            theta = np.sign(theta) * np.maximum(np.abs(theta) - RATE * SPARSE * 10, 0)
+            theta = np.maximum(theta - move[:-1], 0)
             shift -= float(move[-1])
-    return Linear({w: float(theta[i]) for w, i in vocab.items() if theta[i]}, shift)
+    return Linear({int(w): float(x) for w, x in zip(names, theta) if x}, shift)
 
 
-def _collected(docs: DataFrame, ids: DataFrame, bound: int) -> list[set]:
-    """Word sets of the documents with the given ids (at most ``bound``)."""
+def _collected(docs: DataFrame, ids: DataFrame, bound: int) -> list[np.ndarray]:
+    """Feature sets of the documents with the given ids (at most ``bound``)."""
     def make():
+        hits = _Hits()
+
         def run(rows: dict) -> dict:
-            return {"doc_id": rows["doc_id"], "w": [sorted(words(t)) for t in rows["text"]]}
+            return {"doc_id": rows["doc_id"], "w": [features(words(t), hits).tobytes() for t in rows["text"]]}
         return run
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"))
-    found = map_batches(rows.select("doc_id", "text"), make, "doc_id long, w array<string>")
-    return [set(r["w"]) for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("w")).limit(bound).toLocalIterator()]
+    found = map_batches(rows.select("doc_id", "text"), make, "doc_id long, w binary")
+    return [np.frombuffer(bytes(r["w"]), np.uint64) for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("w")).limit(bound).toLocalIterator()]
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Linear:
@@ -137,8 +207,10 @@ def score(docs: DataFrame, labels: DataFrame | None = None, model: Linear | None
     model = model or train(docs, labels)
 
     def make():
+        score = model.scorer()
+
         def run(rows: dict) -> dict:
-            s = [model.score(t) for t in rows["text"]]
+            s = [score(t) for t in rows["text"]]
             return {"doc_id": rows["doc_id"], "held_out": rows["held_out"], "score": s, "predicted": [int(x >= 0.5) for x in s]}
         return run
 
