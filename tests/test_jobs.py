@@ -19,7 +19,7 @@ def test_nightly_runs(spark, tmp):
     assert first["customers"] == 1 and first["products"] == 1 and first["sales_rows"] > 0
     again = jobs.run_etl(spark, f"{tmp}/raw", f"{tmp}/wh", **run)
     assert again["customers"] == 2                                     # upsert = new version
-    sales = spark.read.parquet(f"{tmp}/wh/sales")
+    sales = K.read_processed(spark, f"{tmp}/wh")[0]
     assert sales.count() == first["sales_rows"]                         # re-run is idempotent
     c1 = K.read_current(spark, f"{tmp}/wh/customers").count()
     assert c1 == spark.read.parquet(f"{tmp}/wh/customers/version=1").count()

@@ -59,9 +59,35 @@ def test_write_sales_replace_window_files(spark, tmp):  # K5 on files
     path = os.path.join(tmp, "sales")
     K.write_sales(sales, path, mode="append")
     window = sales.where("processed_date >= timestamp_ntz'2001-01-08'")
-    K.write_sales(window, path, mode="replace_window")
-    K.write_sales(window, path, mode="replace_window")
-    assert spark.read.parquet(path).count() == 10
+    K.write_sales(window, path, mode="replace_window", start="2001-01-08")
+    K.write_sales(window, path, mode="replace_window", start="2001-01-08")
+    assert K.read_sales(spark, path).count() == 10
+
+
+def test_replace_window_edges(spark, tmp):  # K5: any hour, vanished rows, months
+    at = ["2001-01-30 01:00", "2001-02-03 01:00", "2001-02-03 05:00", "2001-02-04 03:00", "2001-02-06 03:00"]
+    sales = R.unify_sales(ecc_rows(spark, [dict(order_number=f"O{i}", processed_date=ts(x)) for i, x in enumerate(at)]), None, as_of="2001-02-07")
+    for granularity in ("day", "month"):
+        path = os.path.join(tmp, granularity)
+        K.write_sales(sales, path, granularity=granularity)
+        start = "2001-02-03 02:00:00"
+        # O3 is gone (deleted since), O2 and O4 come again.
+        again = sales.where("processed_date >= timestamp_ntz'2001-02-03 02:00:00' AND order_number <> 'O3'")
+        for _ in range(2):
+            K.write_sales(again, path, mode="replace_window", granularity=granularity, start=start)
+            assert sorted(r.order_number for r in K.read_sales(spark, path).collect()) == ["O0", "O1", "O2", "O4"]
+        assert K.write_sales(again.limit(0), path, mode="replace_window", granularity=granularity, start=start) == 0
+        assert sorted(r.order_number for r in K.read_sales(spark, path).collect()) == ["O0", "O1"]
+
+
+def test_failed_writes_block_nothing(spark, tmp):  # K6
+    root = os.path.join(tmp, "t")
+    os.makedirs(f"{root}/version=1/_temporary")
+    assert K.publish(spark.range(4), root) == 2 and K.read_current(spark, root).count() == 4
+    K.write_state(spark, root, {"a": 1})
+    os.makedirs(f"{root}/_state/left.tmp")
+    K.write_state(spark, root, {"a": 2})
+    assert K.read_state(spark, root) == {"a": 2, "number": 2}
 
 
 def test_publish_versions(spark, tmp):  # K6 / K9
@@ -81,8 +107,11 @@ def test_save_processed(spark, tmp):  # K6
     out = K.save_processed(c, p, s, tmp, as_of="2001-01-07")
     K.save_processed(c, p, s, tmp, as_of="2001-01-07")
     assert out["sales_rows"] == 2
-    assert K.read_current(spark, os.path.join(tmp, "customers")).count() == 2
-    assert spark.read.parquet(os.path.join(tmp, "sales")).count() == 2
+    saved, customers, products = K.read_processed(spark, tmp)
+    assert customers.count() == 2 and saved.count() == 2 and products.where("unit_price IS NULL").count() == 0
+    # A run that fails before its state is written changes nothing for readers.
+    K.publish(c.limit(0), os.path.join(tmp, "customers"))
+    assert K.read_processed(spark, tmp)[1].count() == 2
 
 
 def test_write_documents_batches(spark, tmp):  # K8
@@ -104,12 +133,3 @@ def test_insight_rows_json(spark, tmp):  # K7
     got = {r.insight_type: json.loads(r.insight_data) for r in spark.read.parquet(tmp + "/ins").collect()}
     assert got["sales_trends"]["total_sales"] == 10.0
     assert got["regional_insights"]["best_performing_region"] == "EAST"
-
-
-def test_upsert_paths_agree(spark):  # broadcast path == full outer join path
-    old = _customers(spark, "2001-01-01", [dict(customer_id=f"C{i}", region=f"R{i % 3}") for i in range(30)])
-    new = _customers(spark, "2001-02-01", [dict(customer_id=f"C{i}", region="N") for i in range(20, 45)])
-    a = sorted(K.upsert(old, new, "customer_id", K.CUSTOMER_UPDATE, as_of="2001-02-01").collect())
-    b = sorted(K.upsert(old, new, "customer_id", K.CUSTOMER_UPDATE, as_of="2001-02-01",
-                        max_broadcast_rows=0).collect())
-    assert a == b and len(a) == 45

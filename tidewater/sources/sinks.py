@@ -6,11 +6,20 @@ outer join of the current table with the new rows, written as a new
 *version* directory; readers take the newest complete version.  A path is
 never overwritten while it is being read, and a failed write leaves the
 previous version in place (a version counts once its _SUCCESS marker is
-written).
+written); its number is not used again.
+
+Sales are kept as *loads*, each partitioned by processing period and sales
+month.  A small state file names the loads that hold each period; a load
+becomes visible when a new state file is renamed into place.  The processed
+tables of a run (customers, products, sales) are named by one state file, so
+readers see all of a run or nothing.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,10 +64,17 @@ def read_current(spark: SparkSession, root: str, schema=None) -> DataFrame | Non
     return r.parquet(f"{root}/version={v}")
 
 
+def _next_number(spark: SparkSession, root: str, prefix: str) -> int:
+    """One past every directory of that prefix, complete or not."""
+    fs, p, _ = _fs(spark, root)
+    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+    return 1 + max([0, *(int(n.split("=", 1)[1]) for n in names if n.startswith(prefix) and n.split("=", 1)[1].isdigit())])
+
+
 def publish(df: DataFrame, root: str, *, partition_by=None, max_records_per_file=None) -> int:
     """Write ``df`` as the next version of the table at ``root``."""
     spark = df.sparkSession
-    v = (current_version(spark, root) or 0) + 1
+    v = _next_number(spark, root, "version=")
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
@@ -68,15 +84,53 @@ def publish(df: DataFrame, root: str, *, partition_by=None, max_records_per_file
     return v
 
 
+# -------------------------------------------------------------- state files
+
+def read_state(spark: SparkSession, root: str) -> dict | None:
+    """The newest state file under ``root`` (None if there is none)."""
+    fs, p, jvm = _fs(spark, f"{root}/_state")
+    if not fs.exists(p):
+        return None
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+    if not numbers:
+        return None
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(p, f"{max(numbers)}.json"))
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return json.loads(text) | {"number": max(numbers)}
+
+
+def write_state(spark: SparkSession, root: str, state: dict) -> None:
+    """Make ``state`` the newest: written aside, then renamed into place.
+    Raises if another run took the number meanwhile."""
+    now = read_state(spark, root)
+    number = (now["number"] if now else 0) + 1
+    fs, p, jvm = _fs(spark, f"{root}/_state")
+    fs.mkdirs(p)
+    aside = jvm.org.apache.hadoop.fs.Path(p, f"{uuid.uuid4().hex}.tmp")
+    out = fs.create(aside, False)
+    try:
+        out.write(bytearray(json.dumps({k: v for k, v in state.items() if k != "number"}).encode()))
+    finally:
+        out.close()
+    final = jvm.org.apache.hadoop.fs.Path(p, f"{number}.json")
+    if fs.exists(final) or not fs.rename(aside, final):
+        raise RuntimeError(f"another run has written state {number} of {root}")
+
+
 # -------------------------------------------------------------- raw landing
 
 def land_raw(df: DataFrame, path: str, *, fmt: str = "parquet", granularity: str = "day") -> None:
     """K1: append an export to the lake, partitioned by processing day
     (or month) so a later scan with a look-back window prunes whole
     directories."""
-    part = _period(F.col("processed_date"), granularity)
-    (df.withColumn("processed_" + granularity, part)
-       .write.mode("append").partitionBy("processed_" + granularity).format(fmt).save(path))
+    name = "processed_" + granularity
+    (df.withColumn(name, _period(F.col("processed_date"), granularity))
+       .hint("rebalance", name)           # a period's rows meet in as few files as their size allows
+       .write.mode("append").partitionBy(name).format(fmt).save(path))
 
 
 def _period(c, granularity: str):
@@ -90,8 +144,7 @@ def _period(c, granularity: str):
 # ------------------------------------------------------------------ upserts
 
 def upsert(target: DataFrame | None, source: DataFrame, key: str, update_cols, *,
-           as_of, insert_defaults: dict | None = None,
-           max_broadcast_rows: int = 5_000_000) -> DataFrame:
+           as_of, insert_defaults: dict | None = None) -> DataFrame:
     """Keyed MERGE as a DataFrame.
 
     matched      -> ``update_cols`` from the source, ``updated_date = as_of``,
@@ -100,28 +153,15 @@ def upsert(target: DataFrame | None, source: DataFrame, key: str, update_cols, *
                     is_active = true (plus ``insert_defaults``);
     target only  -> kept unchanged.
 
-    Both sides are unique by key.  The source of a nightly run is a delta,
-    far smaller than the table: when its size, checked at run time, is at
-    most ``max_broadcast_rows`` it is broadcast, the target rows stream
-    through a left join without being shuffled, and new keys are found with
-    an anti join against the target's key column alone.  A larger source is
-    merged with one full outer join on the key.
+    Both sides are unique by key: one full outer join on it, whatever the
+    sizes; AQE sizes its partitions at run time.
     """
     cols = target.columns if target is not None else source.columns
     if target is None:
         target = source.sparkSession.createDataFrame([], source.schema)
     src = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns])
     tgt = target.select(*[F.col(c).alias(f"t_{c}") for c in cols])
-    on = F.col(f"t_{key}") == F.col(f"s_{key}")
-    small = source.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    if not small:
-        return _merge_cols(tgt.join(src, on, "full_outer"), target, source, key, update_cols,
-                           as_of, insert_defaults)
-    kept = tgt.join(F.broadcast(src), on, "left")
-    fresh = src.join(target.select(F.col(key).alias(f"t_{key}")), on, "left_anti") \
-               .select(*[F.lit(None).cast(target.schema[c].dataType).alias(f"t_{c}") for c in cols],
-                       *[F.col(f"s_{c}") for c in source.columns])
-    both = kept.unionByName(fresh)
+    both = tgt.join(src, F.col(f"t_{key}") == F.col(f"s_{key}"), "full_outer")
     return _merge_cols(both, target, source, key, update_cols, as_of, insert_defaults)
 
 
@@ -178,41 +218,112 @@ def replace_window(target: DataFrame, new: DataFrame, *, window_col: str = "proc
     return keep.unionByName(new.select(*target.columns))
 
 
-def write_sales(sales: DataFrame, path: str, *, mode: str = "append", granularity: str = "day") -> int:
-    """K5: ``append`` adds the rows (re-running a window duplicates them, as
-    the original load does); ``replace_window`` overwrites only the
-    processing-period partitions present in ``sales`` (dynamic partition
-    overwrite), so re-running a window is idempotent.  Files are partitioned
-    by processing day (or month) and sales month (V3).  Returns the number
-    of rows written, observed during the write."""
+def _period_text(value, granularity: str) -> str:
+    """The partition value of a time, as a directory has it."""
+    day = str(value)[:10]
+    return day if granularity == "day" else day[:7]
+
+
+def read_sales(spark: SparkSession, path: str, state: dict | None = None, *, months_from: str | None = None) -> DataFrame | None:
+    """The sales table of ``state`` (default: the newest one at ``path``),
+    with its partition columns.  ``months_from`` (yyyy-MM) leaves out
+    directories of earlier sales months."""
+    state = state or read_state(spark, path)
+    if not state or not state["periods"]:
+        return None
+    col = "processed_" + state["granularity"]
+    dirs = [f"{path}/load={n}/{col}={p}" for p, loads in state["periods"].items() for n in loads]
+    df = spark.read.option("basePath", path).schema(_sales_file_schema(col)).parquet(*dirs)
+    return df if months_from is None else df.where(F.col("sales_month") >= months_from)
+
+
+def _sales_file_schema(col: str):
+    from pyspark.sql import types as T
+    return T.StructType([*S.SALES.fields, T.StructField("load", T.IntegerType()),
+                         T.StructField(col, T.StringType()), T.StructField("sales_month", T.StringType())])
+
+
+def _stage_sales(sales: DataFrame, path: str, state: dict | None, *, mode: str, granularity: str, start) -> tuple[int, dict]:
+    """Write a load; the rows written and the state that makes it visible."""
     from pyspark.sql import Observation
+    spark = sales.sparkSession
+    if state and state["granularity"] != granularity:
+        raise ValueError(f"the table is partitioned by {state['granularity']}")
     col = "processed_" + granularity
-    df = sales.withColumn(col, _period(F.col("processed_date"), granularity)) \
-              .withColumn("sales_month", F.date_format("sales_date", "yyyy-MM"))
+    new = sales.select(*[f.name for f in S.SALES.fields])
     obs = Observation("sales_rows")
-    w = df.observe(obs, F.count(F.lit(1)).alias("n")).write.partitionBy(col, "sales_month")
-    if mode == "append":
-        w.mode("append").parquet(path)
-    elif mode == "replace_window":
-        w.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
+    new = new.observe(obs, F.count(F.lit(1)).alias("n"))
+    periods = dict(state["periods"]) if state else {}
+    if mode == "replace_window":
+        if start is None:
+            periods = {}
+        else:
+            edge = _period_text(start, granularity)
+            held = periods.get(edge)
+            periods = {p: n for p, n in periods.items() if p < edge or p.startswith("__HIVE")}
+            if held:                        # rows of the first period from before the window
+                before = read_sales(spark, path, {"granularity": granularity, "periods": {edge: held}})
+                new = new.unionByName(before.where(F.col("processed_date") < X.ts_lit(start)).select(*new.columns))
+    elif mode != "append":
         raise ValueError(mode)
-    return int(obs.get["n"])
+    number = _next_number(spark, path, "load=")
+    out = f"{path}/load={number}"
+    (new.withColumn(col, _period(F.col("processed_date"), granularity).cast("string"))
+        .withColumn("sales_month", F.date_format("sales_date", "yyyy-MM"))
+        .hint("rebalance", col, "sales_month")
+        .write.partitionBy(col, "sales_month").parquet(out))
+    fs, p, _ = _fs(spark, out)
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith(col + "="):
+            period = name.split("=", 1)[1]
+            periods[period] = [*periods.get(period, []), number]
+    return int(obs.get["n"]), {"granularity": granularity, "periods": periods}
+
+
+def write_sales(sales: DataFrame, path: str, *, mode: str = "append", granularity: str = "day", start=None) -> int:
+    """K5: ``append`` adds the rows (re-running a window duplicates them, as
+    the original load does); ``replace_window`` replaces the rows processed
+    from ``start`` on (None: all rows) by ``sales``, those of periods without
+    a new row, too, and keeps the earlier rows of the period that ``start``
+    falls in, so re-running a window is idempotent at any hour.  Files are
+    partitioned by processing day (or month) and sales month (V3).  Returns
+    the number of rows of ``sales``, observed during the write."""
+    spark = sales.sparkSession
+    n, state = _stage_sales(sales, path, read_state(spark, path), mode=mode, granularity=granularity, start=start)
+    write_state(spark, path, state)
+    return n
+
+
+def read_processed(spark: SparkSession, root: str, *, months_from: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(sales, customers, products) of the last complete run."""
+    state = read_state(spark, root)
+    if state is None:
+        return None
+    sales = read_sales(spark, f"{root}/sales", state["sales"], months_from=months_from)
+    if sales is None:
+        sales = spark.createDataFrame([], _sales_file_schema("processed_" + state["sales"]["granularity"]))
+    tables = (spark.read.parquet(f"{root}/{t}/version={state[t]}") for t in ("customers", "products"))
+    return sales, *tables
 
 
 def save_processed(customers: DataFrame, products: DataFrame, sales: DataFrame, root: str, *,
-                   as_of, sales_mode: str = "replace_window", granularity: str = "day") -> dict:
-    """K6: upsert customers and products into new versions, load sales.
-    Each table is published atomically.  (Callers skip empty inputs by
-    checking the raw scans, which costs one row read, not an extra job
-    over the aggregates.)"""
+                   as_of, sales_mode: str = "replace_window", granularity: str = "day", start=None) -> dict:
+    """K6: upsert customers and products into new versions and load sales,
+    then publish all three with one state file.  A missing unit price is
+    saved as 0.  (Callers skip empty inputs by checking the raw scans, which
+    costs one row read, not an extra job over the aggregates.)"""
     spark = customers.sparkSession
+    state = read_state(spark, root) or {}
+    priced = lambda df: df.withColumn("unit_price", F.coalesce("unit_price", F.lit(0)).cast(df.schema["unit_price"].dataType))
     out = {}
     for name, df, fn in (("customers", customers, upsert_customers),
-                         ("products", products, upsert_products)):
-        cur = read_current(spark, f"{root}/{name}")
+                         ("products", priced(products), upsert_products)):
+        cur = spark.read.parquet(f"{root}/{name}/version={state[name]}") if name in state else None
         out[name] = publish(fn(cur, df, as_of=as_of), f"{root}/{name}")
-    out["sales_rows"] = write_sales(sales, f"{root}/sales", mode=sales_mode, granularity=granularity)
+    out["sales_rows"], loads = _stage_sales(priced(sales), f"{root}/sales", state.get("sales"), mode=sales_mode,
+                                            granularity=granularity, start=start)
+    write_state(spark, root, {"customers": out["customers"], "products": out["products"], "sales": loads})
     return out
 
 
@@ -223,8 +334,9 @@ def save_insights(rows: DataFrame, path: str) -> None:
 
 # ----------------------------------------------------------------- documents
 
-def document_records(docs: DataFrame) -> DataFrame:
-    """K8 cleaning: timestamps as ISO text, NaN as NULL."""
+def document_records(docs: DataFrame, keep=()) -> DataFrame:
+    """K8 cleaning: timestamps as ISO text, NaN as NULL (``keep``: further
+    columns to pass on)."""
     cols = []
     for f in S.DOCUMENT.fields:
         c = F.col(f.name)
@@ -233,18 +345,19 @@ def document_records(docs: DataFrame) -> DataFrame:
         elif f.dataType == S.DOCUMENT["sales_amount"].dataType:
             c = F.nanvl(c, F.lit(None).cast("double"))
         cols.append(c.alias(f.name))
-    return docs.select(*cols)
+    return docs.select(*cols, *keep)
 
 
-def write_documents(docs: DataFrame, root: str, *, batch_size: int = 1000) -> int:
+def write_documents(docs: DataFrame, root: str, *, batch_size: int | None = None) -> int:
     """Replace the document set (a new version; the previous one
-    stays readable until the new one is complete), at most ``batch_size``
-    documents per file."""
-    return publish(document_records(docs), root, max_records_per_file=batch_size)
+    stays readable until the new one is complete).  Files follow the size of
+    the data; ``batch_size`` limits the documents per file for a consumer
+    that uploads file by file."""
+    return publish(document_records(docs).hint("rebalance"), root, max_records_per_file=batch_size)
 
 
 def rebuild_documents(customers: DataFrame, sales: DataFrame, products: DataFrame, root: str, *,
-                      as_of, days: int | None = 30, batch_size: int = 1000) -> tuple[int, int]:
+                      as_of, days: int | None = 30, batch_size: int | None = None) -> tuple[int, int]:
     """Build the whole document set (one job), publish it as a new
     version and return (version, documents written).  The count is observed
     while writing, not by a second pass.  An empty set publishes an empty

@@ -3,6 +3,7 @@ the scans the consolidation reads."""
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -188,7 +189,7 @@ def conform_raw(df: DataFrame, kind: str, *, rename: dict | None = None,
     res = df.select(*out, err.alias("_errors"))
     keys = S.ECC_SCAN_COLUMNS if kind == "ecc" else S.BW_SCAN_COLUMNS
     res = res.withColumn("id", F.coalesce(F.col("id"), _row_id(*keys))) \
-             .withColumn("validation_errors", F.coalesce(F.col("validation_errors"), F.col("_errors")))
+             .withColumn("validation_errors", F.nullif(F.concat_ws(";", F.nullif(F.col("validation_errors"), F.lit("")), F.col("_errors")), F.lit("")))
     return res.drop("_errors")
 
 
@@ -199,20 +200,78 @@ def _defaults(kind: str, as_of) -> dict:
         "is_active": F.lit(True),
         "is_deleted": F.lit(False),
     }
-    if as_of is not None:
-        d["processed_date"] = X.ts_lit(as_of)
+    # The time of loading, unless the caller fixes it.
+    d["processed_date"] = F.localtimestamp() if as_of is None else X.ts_lit(as_of)
     return d
 
 
-def read_raw_csv(spark: SparkSession, path: str, kind: str, *, rename: dict | None = None,
+def csv_files(spark: SparkSession, path: str) -> list[str]:
+    """Every ``*.csv`` under ``path`` (recursive), or the file itself."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isFile():
+        return [path]
+    found, it = [], fs.listFiles(p, True)
+    while it.hasNext():
+        f = it.next().getPath()
+        if f.getName().endswith(".csv"):
+            found.append(f.toString())
+    return sorted(found)
+
+
+def csv_header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """The column names of one CSV file, in its order (reads one line)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(file)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([(line or "").lstrip("\ufeff")]), ()))
+
+
+def read_raw_csv(spark: SparkSession, path, kind: str, *, rename: dict | None = None,
                  as_of=None) -> DataFrame:
-    """Every ``*.csv`` under ``path`` (recursive), header row, comma,
-    UTF-8.  Columns are read as text and typed by :func:`conform_raw`, so a
-    malformed value never fails the job."""
-    df = (spark.read.option("header", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.csv").option("encoding", "UTF-8")
-          .option("inferSchema", False).csv(path))
-    return conform_raw(df, kind, rename=rename, as_of=as_of)
+    """Every ``*.csv`` under ``path`` (recursive; or a list of files),
+    header row, comma, UTF-8.  Columns go by name: files are read together
+    with those of the same header, and each such set is typed by
+    :func:`conform_raw`, so neither another column order nor a missing
+    column nor a malformed value moves or loses a value."""
+    files = csv_files(spark, path) if isinstance(path, str) else list(path)
+    by_header: dict[tuple, list[str]] = {}
+    for f in files:
+        if header := csv_header(spark, f):
+            by_header.setdefault(header, []).append(f)
+    out = spark.createDataFrame([], _schema_for(kind))
+    for header, own in by_header.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        df = spark.read.option("header", True).option("encoding", "UTF-8").schema(schema).csv(own)
+        out = out.unionByName(conform_raw(df, kind, rename=rename, as_of=as_of))
+    return out
+
+
+# What a raw row must satisfy (V1), in order: (rule, columns or amounts it is about).
+REQUIRED = {"ecc": ("customer_id", "order_number", "order_date", "product_code", "quantity", "unit_price", "total_amount"),
+            "bw": ("customer_id", "product_code", "sales_amount", "sales_quantity", "sales_date")}
+NOT_NEGATIVE = {"ecc": ("quantity", "unit_price", "total_amount"), "bw": ("sales_amount", "sales_quantity")}
+
+
+def validate_raw(raw: DataFrame, kind: str) -> DataFrame:
+    """V1: the rows with every rule they break added to
+    ``validation_errors`` (NULL: valid).  Values that did not cast are named
+    there by :func:`conform_raw` already."""
+    broken = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in REQUIRED[kind]]
+    broken += [F.when(F.col(c) < 0, F.lit(f"negative {c}")) for c in NOT_NEGATIVE[kind]]
+    text = F.concat_ws(";", F.nullif(F.col("validation_errors"), F.lit("")), *broken)
+    return raw.withColumn("validation_errors", F.nullif(text, F.lit("")))
+
+
+def split_valid(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, invalid rows) by :func:`validate_raw`."""
+    checked = validate_raw(raw, kind)
+    return checked.where("validation_errors IS NULL"), checked.where("validation_errors IS NOT NULL")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, kind: str | None = None, *,
