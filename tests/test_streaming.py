@@ -115,3 +115,39 @@ def test_document_refresh_stream(spark, tmp):  # ST4
     ST.refresh_documents(stream, root, ck).awaitTermination()
     got = {r.id: r.content for r in K.read_current(spark, root).collect()}
     assert got == {"a": "A2"}
+
+
+def test_table_folder_stream(spark, tmp):  # ST1-ST3 on a folder of part files
+    ev = spark.read.parquet(EVENTS)
+    ev.repartition(5).write.parquet(os.path.join(tmp, "events.parquet"))
+    stream = ST.streaming_hourly(ST.read_table_stream(spark, tmp))
+    q = stream.writeStream.format("memory").queryName("folder").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(spark.table("folder").collect()) == sorted(ST.hourly_events(ev).collect()) != []
+
+
+def test_csv_ingest_by_name(spark, tmp):  # ST5: headers in another order, no as_of
+    src = os.path.join(tmp, "csv")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write("CustomerID,ProductCode,SalesAmount,SalesQuantity,SalesDate\nC1,P1,10,1,2001-01-01 00:00:00\n")
+    with open(os.path.join(src, "b.csv"), "w") as f:
+        f.write("SalesQuantity,SalesAmount,SalesDate,ProductCode,CustomerID\n2,20,2001-01-02 00:00:00,P2,C2\n")
+    ST.ingest_csv(spark, src, f"{tmp}/raw", f"{tmp}/ck", "bw").awaitTermination()
+    rows = {r.customer_id: (float(r.sales_amount), float(r.sales_quantity), r.processed_date is not None) for r in spark.read.parquet(f"{tmp}/raw").collect()}
+    assert rows == {"C1": (10, 1, True), "C2": (20, 2, True)}
+
+
+def test_late_change_is_not_applied(spark, tmp):  # ST4
+    from tidewater import schemas as S
+    from tidewater.sources import sinks as K
+    cols = [f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in S.DOCUMENT.fields
+            if f.name not in ("id", "timestamp", "content", "metadata")]
+    root, src = os.path.join(tmp, "docs"), os.path.join(tmp, "changes")
+    for i, rows in enumerate([[("a", ts("2001-01-05"), "new", False), ("b", ts("2001-01-05"), "B", None)],
+                              [("a", ts("2001-01-02"), "late", False), ("c", ts("2001-01-02"), "C", False), ("c", ts("2001-01-02"), "C", True)]]):
+        df = spark.createDataFrame(rows, "id string, timestamp timestamp_ntz, content string, is_deleted boolean")
+        df.selectExpr("*", "'' AS metadata", *cols).write.parquet(os.path.join(src, str(i)))
+        stream = spark.readStream.schema(spark.read.parquet(os.path.join(src, "0")).schema).option("recursiveFileLookup", True).parquet(src)
+        ST.refresh_documents(stream, root, os.path.join(tmp, "ck")).awaitTermination()
+    assert {r.id: r.content for r in K.read_current(spark, root).collect()} == {"a": "new", "b": "B"}

@@ -44,6 +44,8 @@ def main(argv=None) -> None:
     g.add_argument("--dest", required=True)
     g.add_argument("--checkpoint", required=True)
     g.add_argument("--kind", choices=["ecc", "bw"], required=True)
+    g.add_argument("--as-of", default=None, help="processing time of the rows (default: now)")
+    g.add_argument("--rename", action="append", default=[], metavar="HEADER=COLUMN", help="for other layouts")
     a = sub.add_parser("alerts", help="sliding-window alert stream over event files")
     a.add_argument("--events", required=True)
     a.add_argument("--out", required=True)
@@ -65,7 +67,8 @@ def main(argv=None) -> None:
         out = jobs.run_documents(spark, args.processed, args.out, as_of=args.as_of, days=args.days)
     elif args.job == "ingest":
         from tidewater.streaming import jobs as st
-        st.ingest_csv(spark, args.src, args.dest, args.checkpoint, args.kind).awaitTermination()
+        st.ingest_csv(spark, args.src, args.dest, args.checkpoint, args.kind, as_of=args.as_of,
+                      rename=dict(x.split("=", 1) for x in args.rename)).awaitTermination()
         out = {"ingested": True}
     else:
         from tidewater.streaming import jobs as st

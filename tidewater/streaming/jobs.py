@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.sources import sinks
-from tidewater.sources.tables import conform_raw
+from tidewater.sources.tables import conform_raw, csv_files, csv_header, read_raw_csv
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -72,10 +72,14 @@ def read_table_stream(spark: SparkSession, folder: str, table: str = "events", *
                       max_files_per_trigger: int | None = None) -> DataFrame:
     """A parquet table of ``folder`` (``<table>.parquet`` file or folder) as
     a file stream: files are picked up once, in arrival order."""
-    r = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", f"{table}.parquet")
+    path = f"{folder.rstrip('/')}/{table}.parquet"
+    fs, p, _ = sinks._fs(spark, path)
+    r = spark.readStream.schema(EVENT_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(folder)
+    if fs.getFileStatus(p).isDirectory():       # a folder of part files
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def streaming_alerts(stream: DataFrame, *, event_type: str = "error", size: str = ERROR_RULE[0],
@@ -112,49 +116,64 @@ def csv_ingest_stream(spark: SparkSession, path: str, kind: str, *, columns=None
                       as_of=None) -> DataFrame:
     """ST5: new CSV export files as a stream, typed into the raw schema.
 
-    A file stream needs its schema up front: ``columns`` is the export's
-    header (all read as text); when omitted it is taken from the header of
-    the files already present.  Names are then mapped by ``conform_raw``."""
+    A file stream needs its schema up front and reads columns by position:
+    ``columns`` is the header that all files share; when omitted it is taken
+    from the files already present, which must agree.  For files with
+    differing headers use :func:`ingest_csv`."""
     if columns is None:
-        columns = (spark.read.option("header", True).option("pathGlobFilter", "*.csv")
-                   .option("recursiveFileLookup", True).csv(path).columns)
+        headers = {csv_header(spark, f) for f in csv_files(spark, path)}
+        if len(headers) != 1:
+            raise ValueError(f"{len(headers)} different headers under {path}")
+        columns = headers.pop()
     text = ", ".join(f"`{c}` string" for c in columns)
     raw = (spark.readStream.option("header", True).option("pathGlobFilter", "*.csv")
            .option("recursiveFileLookup", True).schema(text).csv(path))
     return conform_raw(raw, kind, rename=rename, as_of=as_of)
 
 
-def ingest_csv(spark: SparkSession, src: str, dest: str, checkpoint: str, kind: str, **kw):
+def ingest_csv(spark: SparkSession, src: str, dest: str, checkpoint: str, kind: str, *, rename=None, as_of=None,
+               max_files_per_trigger: int = 1000):
     """ST5 + K1/K2: land new export files as raw parquet, partitioned by
-    processing day.  Returns the started query (availableNow)."""
-    df = csv_ingest_stream(spark, src, kind, **kw) \
-        .withColumn("processed_day", F.to_date("processed_date"))
-    return (df.writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", checkpoint).partitionBy("processed_day")
-              .trigger(availableNow=True).start(dest))
+    processing day.  The stream follows the files, not their rows; each
+    micro-batch reads its new files by the names in their headers.  A batch
+    that is tried again replaces its own directories, so each file lands
+    once.  Returns the started query (availableNow)."""
+    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+             .option("maxFilesPerTrigger", max_files_per_trigger)
+             .schema("path string, modificationTime timestamp, length long, content binary").load(src).select("path"))
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        names = [r["path"] for r in batch.collect()]        # at most max_files_per_trigger
+        if names:
+            (read_raw_csv(batch.sparkSession, names, kind, rename=rename, as_of=as_of)
+             .withColumn("processed_day", F.to_date("processed_date")).withColumn("batch", F.lit(batch_id))
+             .hint("rebalance", "processed_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("processed_day", "batch").parquet(dest))
+
+    return files.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 # ------------------------------------------------------ document refresh
 
 def refresh_documents(changes: DataFrame, doc_root: str, checkpoint: str):
     """ST4: apply a stream of changed documents to the published document
-    set.  Each micro-batch keeps the newest change per id; ids flagged
-    ``is_deleted`` are removed, the rest upserted; the result is published
-    as a new version, so readers never see a half-applied batch."""
-    from tidewater.operators.documents import keep_one_per_id
+    set.  A change counts if its ``timestamp`` is not older than that of the
+    stored document; of changes to one id the newest counts, and of equally
+    new ones a deletion.  ``is_deleted`` (NULL: false) removes the document.
+    The result is published as a new version, so readers never see a
+    half-applied batch."""
 
     def apply(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        cur = sinks.read_current(spark, doc_root)
-        latest = keep_one_per_id(batch)
-        upserts = latest.where(~F.col("is_deleted")).drop("is_deleted")
-        upserts = sinks.document_records(upserts)
-        if cur is None:
-            merged = upserts
-        else:
-            merged = (cur.join(latest.select("id"), "id", "left_anti")
-                         .unionByName(upserts.select(*cur.columns)))
-        sinks.publish(merged, doc_root, max_records_per_file=1000)
+        cur = sinks.read_current(batch.sparkSession, doc_root)
+        gone = F.coalesce(F.col("is_deleted"), F.lit(False))
+        changed = sinks.document_records(batch, keep=("is_deleted",)).withColumn("is_deleted", gone).withColumn("_new", F.lit(1))
+        if cur is not None:
+            changed = changed.unionByName(cur.withColumn("is_deleted", F.lit(False)).withColumn("_new", F.lit(0)))
+        cols = [c for c in changed.columns if c != "id"]
+        order = F.struct("timestamp", "_new", F.col("is_deleted").cast("int"), "content", "metadata")
+        newest = changed.groupBy("id").agg(F.max_by(F.struct(*cols), order).alias("d"))
+        merged = newest.where("NOT d.is_deleted").select("id", *[F.col(f"d.{c}").alias(c) for c in cols if c not in ("is_deleted", "_new")])
+        sinks.publish(merged, doc_root)
 
     return (changes.writeStream.foreachBatch(apply)
                    .option("checkpointLocation", checkpoint)
