@@ -41,6 +41,7 @@ def main() -> None:
     extra = {}
     if os.environ.get("BENCH_EVENT_LOG"):       # stage/task times for offline reading
         extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]}
+    extra["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", "16g")
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, extra=extra)
     names = only or HEADLINE
     times = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,15 +53,11 @@ def get_session(master: str | None = None, app: str = "tidewater",
                 cores: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine's settings.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]`` so tests and the
-    bench run in-process; on a cluster pass nothing and let spark-submit
-    decide.  Give ``input_bytes`` (and ``cores``) to size partitions to the
+    Without ``master`` the submit environment decides (plain Python runs
+    local).  Give ``input_bytes`` (and ``cores``) to size partitions to the
     data (see :func:`sizing`), or ``shuffle_partitions`` directly.
     """
     builder = SparkSession.builder.appName(app)
-    if master is None and not os.environ.get("SPARK_MASTER"):
-        cpus = os.environ.get("BENCH_CPUS", "*")
-        master = f"local[{cpus}]"
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
@@ -68,7 +65,8 @@ def get_session(master: str | None = None, app: str = "tidewater",
         conf.update(sizing(input_bytes, cores or os.cpu_count() or 8))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+    if os.environ.get("SPARK_DRIVER_MEMORY"):
+        conf["spark.driver.memory"] = os.environ["SPARK_DRIVER_MEMORY"]
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -82,27 +80,22 @@ def apply_runtime_conf(spark: SparkSession) -> None:
     """Apply the SQL settings that can change on a live session."""
     for k, v in BASE_CONF.items():
         if k.startswith("spark.sql."):
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # static conf on a shared session: keep theirs
-                pass
+            spark.conf.set(k, v)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts, taken from ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment to shared storage.  Only
-    when it is unset (local tests) is a scratch folder created and set.
+    On a cluster this must be set by the deployment to shared storage; it is
+    an error if it is not.  Only a local session gets a scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tidewater-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # core conf may be read-only on a live session
-            pass
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)   # for DataFrame.checkpoint()
     return d
