@@ -49,29 +49,41 @@ def test_csv_malformed_amount(spark, tmp):  # fixture (c)
 
 
 @pytest.mark.parametrize("p", [0.0, 0.37, 0.8, 1.0])
-def test_exact_quantile_matches_numpy_with_bracketing(spark, p):
+def test_exact_quantile_matches_numpy(spark, p):
     rnd = random.Random(7)
-    vals = [round(rnd.uniform(0, 1000), 2) for _ in range(3000)] + [500.0] * 1000
-    df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(5)
-    q, n = exact_quantile(df, "v", p, max_fetch=200, rel_error=0.01)
-    assert n == len(vals) and q == pytest.approx(float(np.quantile(np.array(vals), p)), abs=1e-9)
+    vals = [round(rnd.uniform(-1000, 1000), 2) for _ in range(3000)] + [500.0] * 1000
+    df = spark.createDataFrame([(f"{v:.2f}",) for v in vals] + [(None,)], "v string").selectExpr("cast(v as decimal(28,2)) v").repartition(5)
+    q = exact_quantile(df, "v", p).first().q
+    assert q == pytest.approx(float(np.quantile(np.array(vals), p)), abs=1e-9)
 
 
 def test_exact_quantile_heavy_repeats(spark):
-    df = spark.createDataFrame([(1.0,)] * 3000 + [(2.0,)] * 10, "v double")
-    q, _ = exact_quantile(df, "v", 0.5, max_fetch=50, rel_error=0.01)
-    assert q == 1.0
+    df = spark.createDataFrame([(1,)] * 3000 + [(2,)] * 10, "v int").selectExpr("cast(v as decimal(10,2)) v")
+    assert exact_quantile(df, "v", 0.5).first().q == 1.0
+    assert exact_quantile(df.limit(0), "v", 0.5).first().q is None and exact_quantile(df.limit(1), "v", 0.5).first().q == 1.0
 
 
 def test_group_rows_splits_hot_key(spark):  # A27 with a hot key
     rows = [("HOT" if i % 3 else None, f"C{i}", "P1", float(i)) for i in range(3000)]
     df = spark.createDataFrame(rows, "region string, customer_id string, product_code string, sales_amount double")
-    g = H.rows_by_region(df, chunk_rows=100)
-    sizes = g.groupBy("region").agg(F.sum(F.size("rows")).alias("n"), F.count("*").alias("chunks")).collect()
-    got = {r.region: (r.n, r.chunks) for r in sizes}
-    assert got["HOT"][0] == 2000 and got["Unknown"][0] == 1000
-    assert got["HOT"][1] >= 15                     # split into ~20 chunks, none holds everything
-    assert g.agg(F.max(F.size("rows"))).first()[0] < 400
+    g = H.rows_by_region(df, parts=16)
+    got = sorted((r.region, x.customer_id, x.product_code, x.sales_amount) for r in g.collect() for x in r.rows)
+    assert got == sorted((r or "Unknown", c, p, a) for r, c, p, a in rows)
+    assert g.agg(F.max(F.size("rows"))).first()[0] < 250
+
+
+def test_csv_columns_go_by_name(spark, tmp):  # S1: other order, missing and own error columns
+    _write(f"{tmp}/n/a.csv", "CustomerID,ProductCode,SalesAmount,SalesQuantity,SalesDate\nC1,P1,10,1,2001-01-01 00:00:00\n")
+    _write(f"{tmp}/n/d/b.csv", "SalesQuantity,SalesDate,CustomerID,SalesAmount,ProductCode,ValidationErrors\n2,2001-01-02 00:00:00,C2,x,P2,own\n")
+    _write(f"{tmp}/n/c.csv", "ProductCode,CustomerID,SalesAmount,SalesQuantity\nP3,C3,30,-3\n")
+    rows = {r.customer_id: r for r in T.read_raw_csv(spark, f"{tmp}/n", "bw").collect()}
+    assert (rows["C1"].product_code, float(rows["C1"].sales_amount), float(rows["C1"].sales_quantity)) == ("P1", 10, 1)
+    assert rows["C2"].sales_amount is None and rows["C2"].validation_errors == "own;bad sales_amount"
+    assert rows["C3"].product_code == "P3" and all(r.processed_date is not None for r in rows.values())
+    good, bad = T.split_valid(T.read_raw_csv(spark, f"{tmp}/n", "bw"), "bw")
+    assert [r.customer_id for r in good.collect()] == ["C1"]
+    assert {r.customer_id: r.validation_errors for r in bad.collect()} == {
+        "C2": "own;bad sales_amount;missing sales_amount", "C3": "missing sales_date;negative sales_quantity"}
 
 
 def test_set_totals_empty(spark):  # A24/A25

@@ -121,12 +121,6 @@ def mean2(x) -> Column:
     return F.bround(F.sum(_c(x)) / F.count(_c(x)), 2)
 
 
-def ratio2(num, den, mode: str = "half_even") -> Column:
-    """Rounded quotient of decimals, NULL when the divisor is 0 or NULL."""
-    q = F.try_divide(_c(num), _c(den))
-    return F.bround(q, 2) if mode == "half_even" else F.round(q, 2)
-
-
 def safe_div(num, den) -> Column:
     return F.try_divide(_c(num), _c(den))
 
@@ -167,7 +161,11 @@ def money_text(x) -> Column:
 
 
 def iso_ts(x) -> Column:
-    return F.date_format(_c(x), "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO text of a time; microseconds only where there are any."""
+    c = _c(x)
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_trunc("SECOND", c.cast("timestamp")) == c.cast("timestamp"), whole) \
+            .otherwise(F.concat(whole, F.date_format(c, ".SSSSSS")))
 
 
 def key_or_unknown(x) -> Column:

@@ -1,100 +1,58 @@
 """Exact linear-interpolation quantile without gathering the column.
 
 ``percentile(x, p)`` keeps every distinct value of a group in one buffer;
-over a global group that is one task holding the whole column.  Here the
-order statistics around rank ``(n-1)·p`` are found by bracketing: an
-approximate quantile pass proposes a narrow value range, one counting pass
-checks that the wanted ranks fall inside it (and widens it if not), and
-only the values inside the range -- a bounded number -- are fetched and
-sorted.  Every pass is an ordinary distributed aggregation.
+over a global group that is one task holding the whole column.  Here a value
+is a whole number of its decimal's smallest unit, and the two order
+statistics about rank ``(n - 1) * p`` are found digit by digit, most
+significant first: count the values per digit among those that share the
+digits found so far, and take the digit in whose running count the rank
+falls.  A level is an ordinary aggregation to at most 2 * 2**BITS rows; the
+whole is one plan, without an action.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-
-def exact_quantile(df: DataFrame, col: str, p: float, *, max_fetch: int = 200_000,
-                   rel_error: float = 1e-4, max_rounds: int = 8) -> tuple[float | None, int]:
-    """Return (quantile, n) with numpy/pandas ``linear`` interpolation on the
-    double values of ``col`` (NULLs ignored).  ``n`` is the non-null count."""
-    v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    v = v.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = v.count()
-        if n == 0:
-            return None, 0
-        h = (n - 1) * p
-        lo = int(math.floor(h))
-        hi = min(lo + 1, n - 1)
-        frac = h - lo
-        a, b = _order_stats(v, lo, hi, n, p, max_fetch, rel_error, max_rounds)
-        return (a if hi == lo else a + (b - a) * frac), n
-    finally:
-        v.unpersist()
-
-
-def _order_stats(v: DataFrame, lo: int, hi: int, n: int, p: float, max_fetch: int,
-                 rel_error: float, max_rounds: int) -> tuple[float, float]:
-    """Values of ranks ``lo`` and ``hi`` (0-based, ascending)."""
-    lower, upper = -math.inf, math.inf      # current bracket, inclusive
-    below, m = 0, n                         # rows under the bracket / inside it
-    slack = 4 * rel_error
-    rounds = 0
-    while m > max_fetch:
-        rounds += 1
-        if rounds > max_rounds:       # heavy repeats: fetch distinct values instead
-            break
-        sub = _between(v, lower, upper)
-        r_lo, r_hi = (lo - below) / max(m - 1, 1), (hi - below) / max(m - 1, 1)
-        c_lo, c_hi = sub.approxQuantile("v", [max(0.0, r_lo - slack), min(1.0, r_hi + slack)], rel_error)
-        stats = sub.agg(
-            F.count_if(F.col("v") < F.lit(c_lo)).alias("below"),
-            F.count_if((F.col("v") >= F.lit(c_lo)) & (F.col("v") <= F.lit(c_hi))).alias("inside"),
-        ).first()
-        nb, ni = below + stats["below"], stats["inside"]
-        hit = nb <= lo and nb + ni >= hi + 1
-        if hit and c_lo == c_hi:          # both ranks sit on one (repeated) value
-            return c_lo, c_lo
-        if hit and ni < m:
-            lower, upper, below, m = c_lo, c_hi, nb, ni
-        elif hit:               # cannot shrink (few distinct values): fetch them grouped
-            break
-        else:                   # proposal missed the ranks: widen
-            slack *= 4
-    # fetch the bracket as (value, count) pairs: repeated values travel once
-    rows = sorted((r["v"], r["n"]) for r in
-                  _between(v, lower, upper).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect())
-    return _rank(rows, lo - below), _rank(rows, hi - below)
-
-
-def _rank(pairs, k: int) -> float:
-    seen = 0
-    for val, cnt in pairs:
-        seen += cnt
-        if k < seen:
-            return val
-    raise IndexError(k)
-
-
-def _between(v: DataFrame, lower: float, upper: float) -> DataFrame:
-    pred = None
-    if lower != -math.inf:
-        pred = F.col("v") >= F.lit(lower)
-    if upper != math.inf:
-        c = F.col("v") <= F.lit(upper)
-        pred = c if pred is None else pred & c
-    return v if pred is None else v.where(pred)
-
-
-def count_above_quantile(df: DataFrame, col: str, p: float) -> tuple[int, int, float | None]:
-    """(values strictly above the quantile, non-null count, quantile)."""
-    q, n = exact_quantile(df, col, p)
-    if q is None:
-        return 0, 0, None
-    above = df.where(F.col(col).cast("double") > F.lit(q)).count()
-    return above, n, q
+from pyspark.sql import types as T
+
+BITS = 16
+LEVELS = 4                  # 64 bits
+
+
+def exact_quantile(df: DataFrame, col: str, p: float) -> DataFrame:
+    """One row, one column ``q``: the quantile with numpy/pandas ``linear``
+    interpolation of a decimal column, as a double (NULLs ignored; NULL
+    without values)."""
+    kind = df.schema[col].dataType
+    if not isinstance(kind, T.DecimalType):
+        raise TypeError(f"{col} is not a decimal column")
+    scale = kind.scale
+    unit = (F.col(col).cast(T.DecimalType(38, scale)) * F.lit(10 ** scale)).cast("long")
+    # The sign bit turned, so that digits order as values do.
+    v = df.where(F.col(col).isNotNull()).select(unit.bitwiseXOR(F.lit(-(1 << 63))).alias("v"))
+    rank = (F.count(F.lit(1)) - 1) * F.lit(float(p))
+    low = F.floor("h").cast("long")
+    goals = (v.agg(rank.alias("h")).where("h >= 0")
+             .select("h", F.explode(F.array(low, F.ceil("h").cast("long"))).alias("rank"))
+             .withColumn("goal", F.when(F.col("rank") == low, 0).otherwise(1)).distinct()
+             .withColumn("left", F.col("rank")).withColumn("prefix", F.lit(0).cast("long")))
+    for level in range(LEVELS):
+        shift = 64 - BITS * (level + 1)
+        digit = F.shiftrightunsigned("v", shift).bitwiseAND(F.lit((1 << BITS) - 1))
+        head = F.shiftrightunsigned("v", shift + BITS) if level else F.lit(0).cast("long")
+        # Goals are two rows at most: a proven bound.
+        counts = (v.select(head.alias("prefix"), digit.alias("digit")).groupBy("prefix", "digit").agg(F.count(F.lit(1)).alias("n"))
+                  if level == 0 else
+                  v.select(head.alias("prefix"), digit.alias("digit"))
+                  .join(F.broadcast(goals.select("prefix").distinct()), "prefix", "left_semi")
+                  .groupBy("prefix", "digit").agg(F.count(F.lit(1)).alias("n")))
+        before = Window.partitionBy("prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        found = counts.join(F.broadcast(goals), "prefix").where((F.col("left") >= F.col("before")) & (F.col("left") < F.col("before") + F.col("n")))
+        goals = found.select("h", "goal", (F.col("left") - F.col("before")).alias("left"),
+                             F.shiftleft("prefix", BITS).bitwiseOR(F.col("digit")).alias("prefix"))
+    value = (F.col("prefix").bitwiseXOR(F.lit(-(1 << 63))).cast(T.DecimalType(38, 0)) / F.lit(10 ** scale)).cast("double")
+    each = goals.select("h", "goal", value.alias("x"))
+    at = each.agg(F.max("h").alias("h"), F.max(F.when(F.col("goal") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("goal") == 1, F.col("x"))).alias("b"))
+    return at.select((F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("h") - F.floor("h"))).alias("q"))

@@ -15,7 +15,6 @@ aggregation levels, as in the original reports.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,8 +126,16 @@ def top_days(scan: DataFrame, k: int = 5) -> DataFrame:
 
 # ----------------------------------------------------------------- customers
 
-def customer_analysis(scan: DataFrame) -> DataFrame:
-    """Per customer; values rounded to cents (half to even)."""
+def customer_analysis(scan: DataFrame, customers: DataFrame | None = None) -> DataFrame:
+    """Per customer; values rounded to cents (half to even).  With
+    ``customers``, the segment is joined to the one row per customer after
+    the aggregation (it depends on the customer alone); without, it is the
+    latest one of the scan."""
+    if customers is not None:
+        per = customer_analysis(scan).drop("segment")
+        out = per.join(customers.select("customer_id", F.col("customer_segment").alias("segment")), "customer_id", "left")
+        return out.select("customer_id", "total_sales", "order_count", "avg_order_value", "total_quantity",
+                          "first_order", "last_order", "segment", "region")
     return scan.groupBy("customer_id").agg(
         F.sum("sales_amount").alias("total_sales"),
         F.count("sales_amount").alias("order_count"),
@@ -167,8 +174,13 @@ def top_customers_report(cust: DataFrame, k: int = 10) -> DataFrame:
 
 # ------------------------------------------------------------------ products
 
-def product_analysis(scan: DataFrame) -> DataFrame:
-    """Per product; values rounded to cents (half to even)."""
+def product_analysis(scan: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """Per product; values rounded to cents (half to even).  With
+    ``products``, the category is joined to the one row per product after
+    the aggregation; without, it is the latest one of the scan."""
+    if products is not None:
+        per = product_analysis(scan).drop("category")
+        return per.join(products.select("product_code", F.col("product_category").alias("category")), "product_code", "left")
     return scan.groupBy("product_code").agg(
         F.sum("sales_amount").alias("total_sales"),
         F.count("sales_amount").alias("order_count"),
@@ -191,12 +203,10 @@ def product_summary(prod: DataFrame, *, p: float = 0.8) -> DataFrame:
     """Product count, products strictly above the ``p`` quantile of
     total sales (exact, linear interpolation) and their share in percent."""
     from tidewater.functions.quantile import exact_quantile
-    q, n = exact_quantile(prod, "total_sales", p)
-    if q is None:
-        q = float("inf")
+    q = exact_quantile(prod, "total_sales", p).scalar()
     return prod.agg(
         F.count(F.lit(1)).alias("total_products"),
-        F.count_if(F.col("total_sales").cast("double") > F.lit(q)).alias("high_performing_products"),
+        F.count_if(F.col("total_sales").cast("double") > q).alias("high_performing_products"),
     ).withColumn("product_diversity_score", X.pct("high_performing_products", "total_products"))
 
 
@@ -269,7 +279,7 @@ def _json_row(df: DataFrame, insight_type: str) -> DataFrame:
     cols = [F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c)
             for c, t in df.dtypes]
     return df.select(F.lit(insight_type).alias("insight_type"),
-                     F.to_json(F.struct(*cols)).alias("insight_data"))
+                     F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("insight_data"))
 
 
 def _with_top(summary: DataFrame, name: str, top: DataFrame) -> DataFrame:
@@ -285,22 +295,22 @@ def all_insights(sales: DataFrame, customers: DataFrame, products: DataFrame, *,
     """The five reports over ONE scan, as insight rows
     (insight_type, insight_data JSON, generated_date, is_active).
 
-    The scan is persisted (memory, spilling to disk) and shared by all
-    reports; use :func:`insight_scan` + :func:`insight_rows` to control its
-    lifetime (``jobs.run_insights`` releases it after writing)."""
-    scan = insight_scan(sales, customers, products, as_of=as_of, days=days) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    return insight_rows(scan, as_of=as_of)
+    Nothing is kept in memory or on executors' disks; equal shuffles of the
+    reports are shared by the planner."""
+    scan = insight_scan(sales, None, None, as_of=as_of, days=days)
+    return insight_rows(scan, as_of=as_of, customers=customers, products=products)
 
 
-def insight_rows(scan: DataFrame, *, as_of) -> DataFrame:
-    """The insight rows of one scan.  Each report's summary (scalars +
+def insight_rows(scan: DataFrame, *, as_of, customers: DataFrame | None = None,
+                 products: DataFrame | None = None) -> DataFrame:
+    """The insight rows of one scan (with the dimensions, if it was made
+    without them).  Each report's summary (scalars +
     top-k lists) is one row; the per-key breakdowns (segments, categories,
     region and rep distributions) are one row per key under
     ``<report>.<part>``, so no list of unbounded length is gathered into a
     single row."""
-    cust = customer_analysis(scan)
-    prod = product_analysis(scan)
+    cust = customer_analysis(scan, customers)
+    prod = product_analysis(scan, products)
     reg = region_analysis(scan)
     rep = rep_analysis(scan)
     trends = _with_top(sales_trends(scan), "top_performing_days", top_days(scan))

@@ -9,6 +9,7 @@ as doubles so that every engine reports the same numbers.
 
 from __future__ import annotations
 
+from functools import cached_property
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,10 +56,23 @@ class Ctx:
         self.sf_dir = sf_dir
         key = (spark.sparkContext.applicationId, id(spark), sf_dir)
         self.t = _TABLES.setdefault(key, T.load_tables(spark, sf_dir))
-        self.path = store.materialize(spark, sf_dir, as_of)
-        self.raw_ecc = store.read(spark, self.path, "raw_ecc")
-        self.raw_bw = store.read(spark, self.path, "raw_bw")
-        self.wh = R.Warehouse(self.raw_ecc, self.raw_bw, as_of=as_of, lookback_days=None)
+
+    @cached_property
+    def path(self):
+        """The store, built by the first query that reads it."""
+        return store.materialize(self.spark, self.sf_dir, self.as_of)
+
+    @cached_property
+    def raw_ecc(self):
+        return store.read(self.spark, self.path, "raw_ecc")
+
+    @cached_property
+    def raw_bw(self):
+        return store.read(self.spark, self.path, "raw_bw")
+
+    @cached_property
+    def wh(self):
+        return R.Warehouse(self.raw_ecc, self.raw_bw, as_of=self.as_of, lookback_days=None)
 
     @property
     def ecc(self):
@@ -242,7 +256,7 @@ def top_days(c: Ctx):
 
 
 def _cust(c: Ctx, days=None):
-    return I.customer_analysis(c.scan(days, products=False))
+    return I.customer_analysis(c.scan(days, customers=False, products=False), c.customers)
 
 
 def customer_analysis(c: Ctx):
@@ -266,7 +280,7 @@ def top10_customers(c: Ctx):
 
 
 def _prod(c: Ctx, days=None):
-    return I.product_analysis(c.scan(days, customers=False))
+    return I.product_analysis(c.scan(days, customers=False, products=False), c.products)
 
 
 def product_analysis(c: Ctx):

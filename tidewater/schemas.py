@@ -132,12 +132,12 @@ INSIGHTS = T.StructType([
 
 # Search document: 15 fields with their roles kept as field metadata.
 DOCUMENT = T.StructType([
-    _f("id", T.StringType(), False, key=True, filterable=True),
+    _f("id", T.StringType(), False, key=True),
     _f("title", T.StringType(), searchable=True),
     _f("content", T.StringType(), searchable=True),
     _f("category", T.StringType(), filterable=True, facetable=True),
     _f("timestamp", TS, filterable=True, sortable=True),
-    _f("metadata", T.StringType(), searchable=True),
+    _f("metadata", T.StringType(), filterable=True),
     _f("customer_id", T.StringType(), filterable=True),
     _f("product_code", T.StringType(), filterable=True),
     _f("region", T.StringType(), filterable=True, facetable=True),
