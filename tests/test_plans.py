@@ -7,6 +7,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from tidewater.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
@@ -20,7 +21,7 @@ def plan(df, mode="formatted"):
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_is_jvm_only_without_pair_joins(spark, name):
     text = plan(E.queries()[name](spark, SF), "simple")
     for node in FORBIDDEN:

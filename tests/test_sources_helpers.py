@@ -69,6 +69,7 @@ def test_group_rows_splits_hot_key(spark):  # A27 with a hot key
     g = H.rows_by_region(df, parts=16)
     got = sorted((r.region, x.customer_id, x.product_code, x.sales_amount) for r in g.collect() for x in r.rows)
     assert got == sorted((r or "Unknown", c, p, a) for r, c, p, a in rows)
+    assert {x.region for r in g.collect() for x in r.rows} == {"HOT", None}     # nested rows keep their own value
     assert g.agg(F.max(F.size("rows"))).first()[0] < 250
 
 

@@ -1,58 +1,38 @@
 """Exact linear-interpolation quantile without gathering the column.
 
 ``percentile(x, p)`` keeps every distinct value of a group in one buffer;
-over a global group that is one task holding the whole column.  Here a value
-is a whole number of its decimal's smallest unit, and the two order
-statistics about rank ``(n - 1) * p`` are found digit by digit, most
-significant first: count the values per digit among those that share the
-digits found so far, and take the digit in whose running count the rank
-falls.  A level is an ordinary aggregation to at most 2 * 2**BITS rows; the
-whole is one plan, without an action.
+over a global group that is one task holding the whole column.  Here an
+approximate quantile, whose rank error is at most one ACCURACY-th of the
+rows, brackets the two order statistics about rank ``(n - 1) * p``; the rows
+under the bracket are counted, and only its values, a few ACCURACY-ths of
+the rows, are ordered.  The whole is one plan, without an action.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BITS = 16
-LEVELS = 4                  # 64 bits
+ACCURACY = 10_000
+MARGIN = 4 / ACCURACY
 
 
 def exact_quantile(df: DataFrame, col: str, p: float) -> DataFrame:
     """One row, one column ``q``: the quantile with numpy/pandas ``linear``
-    interpolation of a decimal column, as a double (NULLs ignored; NULL
-    without values)."""
-    kind = df.schema[col].dataType
-    if not isinstance(kind, T.DecimalType):
-        raise TypeError(f"{col} is not a decimal column")
-    scale = kind.scale
-    unit = (F.col(col).cast(T.DecimalType(38, scale)) * F.lit(10 ** scale)).cast("long")
-    # The sign bit turned, so that digits order as values do.
-    v = df.where(F.col(col).isNotNull()).select(unit.bitwiseXOR(F.lit(-(1 << 63))).alias("v"))
-    rank = (F.count(F.lit(1)) - 1) * F.lit(float(p))
-    low = F.floor("h").cast("long")
-    goals = (v.agg(rank.alias("h")).where("h >= 0")
-             .select("h", F.explode(F.array(low, F.ceil("h").cast("long"))).alias("rank"))
-             .withColumn("goal", F.when(F.col("rank") == low, 0).otherwise(1)).distinct()
-             .withColumn("left", F.col("rank")).withColumn("prefix", F.lit(0).cast("long")))
-    for level in range(LEVELS):
-        shift = 64 - BITS * (level + 1)
-        digit = F.shiftrightunsigned("v", shift).bitwiseAND(F.lit((1 << BITS) - 1))
-        head = F.shiftrightunsigned("v", shift + BITS) if level else F.lit(0).cast("long")
-        # Goals are two rows at most: a proven bound.
-        counts = (v.select(head.alias("prefix"), digit.alias("digit")).groupBy("prefix", "digit").agg(F.count(F.lit(1)).alias("n"))
-                  if level == 0 else
-                  v.select(head.alias("prefix"), digit.alias("digit"))
-                  .join(F.broadcast(goals.select("prefix").distinct()), "prefix", "left_semi")
-                  .groupBy("prefix", "digit").agg(F.count(F.lit(1)).alias("n")))
-        before = Window.partitionBy("prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        found = counts.join(F.broadcast(goals), "prefix").where((F.col("left") >= F.col("before")) & (F.col("left") < F.col("before") + F.col("n")))
-        goals = found.select("h", "goal", (F.col("left") - F.col("before")).alias("left"),
-                             F.shiftleft("prefix", BITS).bitwiseOR(F.col("digit")).alias("prefix"))
-    value = (F.col("prefix").bitwiseXOR(F.lit(-(1 << 63))).cast(T.DecimalType(38, 0)) / F.lit(10 ** scale)).cast("double")
-    each = goals.select("h", "goal", value.alias("x"))
-    at = each.agg(F.max("h").alias("h"), F.max(F.when(F.col("goal") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("goal") == 1, F.col("x"))).alias("b"))
-    return at.select((F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("h") - F.floor("h"))).alias("q"))
+    interpolation, as a double (NULLs ignored; NULL without values)."""
+    v = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v"))
+    edges = F.percentile_approx("v", [max(0.0, p - MARGIN), min(1.0, p + MARGIN)], ACCURACY)
+    rank = (F.col("n") - 1) * F.lit(float(p))
+    stats = v.agg(F.count(F.lit(1)).alias("n"), edges.alias("e"), F.min("v").alias("least"), F.max("v").alias("most"))
+    # The margin is two ranks or more only from so many rows on; of fewer, all are in the bracket.
+    wide = F.col("n") * MARGIN < 4
+    stats = stats.select("n", F.when(wide, F.col("least")).otherwise(F.col("e")[0]).alias("low"),
+                         F.when(wide, F.col("most")).otherwise(F.col("e")[1]).alias("high"), rank.alias("h"))
+    low, high, h = (stats.select(c).scalar() for c in ("low", "high", "h"))
+    value = F.when(F.col("v") >= low, F.col("v"))          # NULL: all values under the bracket
+    counts = v.where(F.col("v") <= high).groupBy(value.alias("x")).agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(Window.orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    at = counts.withColumn("upto", upto).where(F.col("x").isNotNull())
+    pick = lambda r: F.min(F.when(F.col("upto") > r, F.col("x"))).cast("double")
+    ends = at.agg(pick(F.floor(h)).alias("a"), pick(F.ceil(h)).alias("b"))
+    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * (h - F.floor(h))).alias("q"))

@@ -63,13 +63,22 @@ class Ctx:
         return store.materialize(self.spark, self.sf_dir, self.as_of)
 
     @cached_property
-    def raw_ecc(self):
+    def flagged_ecc(self):
+        """Raw rows with the adapter's soft deletes, for the scan queries."""
         return store.read(self.spark, self.path, "raw_ecc")
 
     @cached_property
-    def raw_bw(self):
+    def flagged_bw(self):
         return store.read(self.spark, self.path, "raw_bw")
 
+    @cached_property
+    def raw_ecc(self):
+        return store.all_rows(self.flagged_ecc)
+
+    @cached_property
+    def raw_bw(self):
+        return store.all_rows(self.flagged_bw)
+
     @cached_property
     def wh(self):
         return R.Warehouse(self.raw_ecc, self.raw_bw, as_of=self.as_of, lookback_days=None)
@@ -119,20 +128,20 @@ def _q(fn: Callable[[Ctx], DataFrame]) -> Callable[[SparkSession, str], DataFram
 
 def scan_raw_ecc(c: Ctx):
     """S3/F1 over all history."""
-    return T.scan_raw_ecc(c.raw_ecc, as_of=c.as_of, lookback_days=None)
+    return T.scan_raw_ecc(c.flagged_ecc, as_of=c.as_of, lookback_days=None)
 
 
 def scan_raw_bw(c: Ctx):
-    return T.scan_raw_bw(c.raw_bw, as_of=c.as_of, lookback_days=None)
+    return T.scan_raw_bw(c.flagged_bw, as_of=c.as_of, lookback_days=None)
 
 
 def scan_raw_ecc_recent(c: Ctx):
     """The nightly 7-day window."""
-    return T.scan_raw_ecc(c.raw_ecc, as_of=c.as_of, lookback_days=RAW_LOOKBACK_DAYS)
+    return T.scan_raw_ecc(c.flagged_ecc, as_of=c.as_of, lookback_days=RAW_LOOKBACK_DAYS)
 
 
 def scan_raw_bw_recent(c: Ctx):
-    return T.scan_raw_bw(c.raw_bw, as_of=c.as_of, lookback_days=RAW_LOOKBACK_DAYS)
+    return T.scan_raw_bw(c.flagged_bw, as_of=c.as_of, lookback_days=RAW_LOOKBACK_DAYS)
 
 
 # ----------------------------------------------------------- consolidation
@@ -400,18 +409,38 @@ def unique_keys(c: Ctx):
     return H.unique_keys(_filtered_sales(c))
 
 
+def _nested(groups, key: str):
+    """Every nested row with the key it stands under."""
+    return groups.select(F.col(key).alias("group_key"), F.explode("rows").alias("r")).select("group_key", "r.*")
+
+
 def rows_by_region(c: Ctx):
-    g = H.rows_by_region(Q.sales_enriched(c.sales, c.customers, c.products))
-    return g.groupBy("region").agg(F.sum(F.size("rows")).alias("rows"),
-                                   F.sum(F.aggregate("rows", F.lit(0).cast("decimal(38,2)"),
-                                                     lambda a, r: a + r["sales_amount"])).alias("total_sales"))
+    return _nested(H.rows_by_region(Q.sales_enriched(c.sales, c.customers, c.products)), "region")
 
 
 def rows_by_customer(c: Ctx):
-    g = H.rows_by_customer(Q.sales_enriched(c.sales, c.customers, c.products))
-    return g.groupBy("customer_id").agg(F.sum(F.size("rows")).alias("rows"),
-                                        F.sum(F.aggregate("rows", F.lit(0).cast("decimal(38,2)"),
-                                                          lambda a, r: a + r["sales_amount"])).alias("total_sales"))
+    return _nested(H.rows_by_customer(Q.sales_enriched(c.sales, c.customers, c.products)), "customer_id")
+
+
+def validate_raw(c: Ctx):
+    """V1 over all raw rows: rows per table and broken rule (NULL: valid)."""
+    def of(raw, kind):
+        return T.validate_raw(raw, kind).groupBy("validation_errors").agg(F.count(F.lit(1)).alias("rows")) \
+            .select(F.lit(kind).alias("kind"), "validation_errors", "rows")
+    # A unit price or quantity of 1 as a missing one, and cheap lines as returns, so that there is something to find.
+    ecc = c.raw_ecc.withColumn("quantity", F.nullif(F.col("quantity"), F.lit(1).cast("decimal(18,2)")))
+    bw = c.raw_bw.withColumn("sales_amount", F.when(F.col("sales_amount") < 2000, -F.col("sales_amount")).otherwise(F.col("sales_amount")).cast("decimal(18,2)"))
+    return of(ecc, "ecc").unionByName(of(bw, "bw"))
+
+
+def document_roles(c: Ctx):
+    """The roles of the document fields, with the documents that fill them."""
+    from tidewater import schemas as S
+    docs = D.customer_documents(c.customers)
+    filled = docs.select(*[F.count(F.col(f)).alias(f) for f in S.DOCUMENT_COLUMNS])
+    roles = S.field_roles()
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(",".join(roles[f])).alias("roles"), F.col(f).alias("documents")) for f in S.DOCUMENT_COLUMNS])
+    return filled.select(F.explode(pairs).alias("p")).select("p.*")
 
 
 def display_rows(c: Ctx):
@@ -540,7 +569,7 @@ _FNS = [
     insight_rows, insight_rows_all,
     docs_customers, docs_sales, docs_products, docs_all, doc_facets,
     upsert_customers, upsert_products, replace_window_sales,
-    set_totals, unique_keys, rows_by_region, rows_by_customer, display_rows,
+    set_totals, unique_keys, rows_by_region, rows_by_customer, display_rows, validate_raw, document_roles,
     error_alerts_5m, error_alerts_5m_low, failure_alerts_15m, hourly_events,
     product_performance_product, sales_enriched_customer, customer_lookup_batch,
     products_recent, sales_recent, daily_sales_30d, customer_analysis_30d,

@@ -112,8 +112,8 @@ raw_bw AS (
          l_orderkey % 50 <> 0 AS is_active, l_partkey % 97 = 0 AS is_deleted
   FROM base WHERE l_linestatus = 'F'
 ),
-ecc AS (SELECT * FROM raw_ecc WHERE is_active AND NOT is_deleted AND {where_ecc}),
-bw AS (SELECT * FROM raw_bw WHERE is_active AND NOT is_deleted AND {where_bw})"""
+ecc AS (SELECT * FROM raw_ecc WHERE {where_ecc}),
+bw AS (SELECT * FROM raw_bw WHERE {where_bw})"""
 
 
 def _sales(as_of=AS_OF, ecc="ecc", bw="bw", name="sales") -> str:
@@ -488,10 +488,10 @@ def _recent_wh() -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    "scan_raw_ecc": with_wh("", f"SELECT {ECC_COLS} FROM ecc"),
-    "scan_raw_bw": with_wh("", f"SELECT {BW_COLS} FROM bw"),
-    "scan_raw_ecc_recent": with_wh("", f"SELECT {ECC_COLS} FROM ecc WHERE {lookback('processed_date', RAW_LOOKBACK_DAYS)}"),
-    "scan_raw_bw_recent": with_wh("", f"SELECT {BW_COLS} FROM bw WHERE {lookback('processed_date', RAW_LOOKBACK_DAYS)}"),
+    "scan_raw_ecc": with_wh("", f"SELECT {ECC_COLS} FROM raw_ecc WHERE is_active AND NOT is_deleted"),
+    "scan_raw_bw": with_wh("", f"SELECT {BW_COLS} FROM raw_bw WHERE is_active AND NOT is_deleted"),
+    "scan_raw_ecc_recent": with_wh("", f"SELECT {ECC_COLS} FROM raw_ecc WHERE is_active AND NOT is_deleted AND {lookback('processed_date', RAW_LOOKBACK_DAYS)}"),
+    "scan_raw_bw_recent": with_wh("", f"SELECT {BW_COLS} FROM raw_bw WHERE is_active AND NOT is_deleted AND {lookback('processed_date', RAW_LOOKBACK_DAYS)}"),
     "sales_unified": with_wh("", f"SELECT {SALES_COLS} FROM sales"),
     "customer_rollup_ecc": with_wh("", """
 SELECT customer_id, count(order_number) AS total_orders,
@@ -652,12 +652,25 @@ SELECT count(*) AS rows, coalesce(CAST(sum(s.sales_amount) AS DOUBLE), 0.0) AS t
 SELECT DISTINCT 'customer' AS kind, s.customer_id AS key {ENRICHED_FROM} WHERE s.is_active AND {sales_where(prefix='s.', **FILTER)}
 UNION ALL
 SELECT DISTINCT 'product', s.product_code {ENRICHED_FROM} WHERE s.is_active AND {sales_where(prefix='s.', **FILTER)}"""),
-    "rows_by_region": with_wh("", """
-SELECT coalesce(nullif(region, ''), 'Unknown') AS region, count(*) AS rows, CAST(sum(sales_amount) AS DOUBLE) AS total_sales
-FROM sales WHERE is_active GROUP BY 1"""),
-    "rows_by_customer": with_wh("", """
-SELECT customer_id, count(*) AS rows, CAST(sum(sales_amount) AS DOUBLE) AS total_sales
-FROM sales WHERE is_active GROUP BY 1"""),
+    "rows_by_region": with_wh("", f"""
+SELECT coalesce(nullif(s.region, ''), 'Unknown') AS group_key, {ENRICHED} {ENRICHED_FROM} WHERE s.is_active"""),
+    "rows_by_customer": with_wh("", f"""
+SELECT s.customer_id AS group_key, {ENRICHED} {ENRICHED_FROM} WHERE s.is_active"""),
+    "validate_raw": with_wh("", """
+SELECT 'ecc' AS kind, CASE WHEN quantity = 1 THEN 'missing quantity' END AS validation_errors, count(*) AS rows
+FROM raw_ecc GROUP BY ALL
+UNION ALL
+SELECT 'bw', CASE WHEN 0 < sales_amount AND sales_amount < 2000 THEN 'negative sales_amount' END, count(*)
+FROM raw_bw GROUP BY ALL"""),
+    "document_roles": with_wh("", """
+SELECT field, roles, documents FROM (
+  SELECT unnest(['id', 'title', 'content', 'category', 'timestamp', 'metadata', 'customer_id', 'product_code', 'region',
+                 'sales_rep', 'data_source', 'sales_amount', 'sales_quantity', 'order_number', 'sales_date']) AS field,
+         unnest(['key', 'searchable', 'searchable', 'facetable,filterable', 'filterable,sortable', 'filterable', 'filterable',
+                 'filterable', 'facetable,filterable', 'filterable', 'filterable', 'filterable,sortable', 'filterable,sortable',
+                 'filterable', 'filterable,sortable']) AS roles,
+         unnest([n, n, n, n, n, n, n, 0, r, p, n, n, 0, 0, l]) AS documents
+  FROM (SELECT count(*) AS n, count(region) AS r, count(sales_rep) AS p, count(last_order_date) AS l FROM customers WHERE is_active))"""),
     "display_rows": with_wh("", """
 SELECT customer_id, product_code, order_number, sales_date,
        CASE WHEN sales_amount < 0 THEN '-$' || format('{:,.2f}', -sales_amount) ELSE '$' || format('{:,.2f}', sales_amount) END AS amount_text,

@@ -70,12 +70,9 @@ def store_path(spark: SparkSession, sf_dir: str, as_of: str) -> str:
     return f"{root}/tidewater-store/{source_key(spark, sf_dir, as_of)}"
 
 
-def materialize(spark: SparkSession, sf_dir: str, as_of: str, *, partition_raw_by: str | None = None) -> str:
+def materialize(spark: SparkSession, sf_dir: str, as_of: str) -> str:
     """Build the store for ``sf_dir`` unless a complete one exists; return
-    its path.  ``partition_raw_by="processed_day"`` lays the raw tables out
-    by day for partition pruning of look-back scans (use it when a day holds
-    many files' worth of rows; at small scale plain files sorted by date are
-    faster)."""
+    its path."""
     from tidewater.operators.rollups import Warehouse
     from tidewater.sources.tables import load_tables, raw_from_tpch
     path = store_path(spark, sf_dir, as_of)
@@ -89,14 +86,10 @@ def materialize(spark: SparkSession, sf_dir: str, as_of: str, *, partition_raw_b
         t = load_tables(spark, sf_dir)
         raw_ecc, raw_bw = raw_from_tpch(t)
         for name, df in (("raw_ecc", raw_ecc), ("raw_bw", raw_bw)):
-            if partition_raw_by:
-                df.withColumn("processed_day", F.to_date("processed_date")) \
-                  .write.partitionBy(partition_raw_by).parquet(f"{staging}/{name}")
-            else:
-                _by_range(df, "processed_date").write.parquet(f"{staging}/{name}")
+            _by_range(df, "processed_date").write.parquet(f"{staging}/{name}")
         ecc = _read(spark, f"{staging}/raw_ecc", "raw_ecc")
         bw = _read(spark, f"{staging}/raw_bw", "raw_bw")
-        wh = Warehouse(ecc, bw, as_of=as_of, lookback_days=None)
+        wh = Warehouse(all_rows(ecc), all_rows(bw), as_of=as_of, lookback_days=None)
         _bloom(_by_range(wh.sales, "sales_date").write, "customer_id", "product_code") \
             .parquet(f"{staging}/sales")
         _bloom(wh.customers.repartition("customer_id").write, "customer_id") \
@@ -110,6 +103,12 @@ def materialize(spark: SparkSession, sf_dir: str, as_of: str, *, partition_raw_b
         return path
 
 
+def all_rows(raw: DataFrame) -> DataFrame:
+    """A raw table with every row active: the soft deletes that the adapter
+    derives from the keys are there for the scan queries alone."""
+    return raw.withColumn("is_active", F.lit(True)).withColumn("is_deleted", F.lit(False))
+
+
 def _by_range(df: DataFrame, col: str) -> DataFrame:
     """Files holding sorted ranges of ``col``: parquet min/max statistics
     then let date filters skip whole files and row groups.  A hash of the
@@ -132,8 +131,6 @@ def _bloom(writer, *cols):
 
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
     df = spark.read.parquet(path)
-    if "processed_day" in df.columns:
-        df = df.drop("processed_day")
     return df.select(*[f.name for f in SCHEMAS[table].fields])
 
 
