@@ -37,7 +37,9 @@ def test_token_ids_equal_the_library(rows):
     from tokenizers import Tokenizer
     lib = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     own = packing.encoder(packing.TOKENIZER, packing.RANKS)
-    odd = ["", " ", "a  b\n\n  c\t", "don't we'll I'M", "x<|endoftext|> y", "½ ² ٣ 中文 字 \u00a0\u3000 z", "é\u0301 \U0001f600!!", "\x1c\x85 \u200b", "'s't're 123abc_4", "a" * 300]
+    odd = ["", " ", "a  b\n\n  c\t", "don't we'll I'M", "x<|endoftext|> y", "½ ² ٣ 中文 字 \u00a0\u3000 z", "é\u0301 \U0001f600!!", "\x1c\x85 \u200b", "'s't're 123abc_4", "a" * 300, "word, word. 12. x_, ,", " 't 's", "a\n  b"]
+    rng = np.random.default_rng(2)
+    odd += ["".join(rng.choice(list("ab1,. \n\t\u3000'"), 12, p=[.15, .1, .05, .05, .05, .35, .1, .05, .05, .05])) for _ in range(3000)]
     for t in [r["text"] for r in rows[:120]] + odd:
         assert list(np.frombuffer(own(t), "<u4")) == lib.encode(t, add_special_tokens=False).ids, t[:60]
 
@@ -47,6 +49,7 @@ def test_long_text_in_parts(monkeypatch):
     text = "some words, and  more 12 " * 50
     want = own(text)
     monkeypatch.setattr(packing, "LONG_TEXT", 100)
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 3)
     assert own(text) == want
 
 
