@@ -15,17 +15,17 @@ its id, as the tokenizer library gives it.
 
 from __future__ import annotations
 
+import base64
 import functools
 import itertools
 import json
 import re
 import struct
-import sys
-import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,74 +37,70 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"     # vocabulary and special tokens
 RANKS = "byte_bpe_50k.tiktoken"     # the same vocabulary as ranks
 SHARD_DOCS = 100_000
-CACHE_PIECES = 150_000
+CACHE_CHUNKS = 300_000
 LONG_TEXT = 1 << 20
-
-
-def _classes() -> tuple[str, str]:
-    """Letters and numbers as character classes."""
-    spans: dict[str, list[list[int]]] = {"L": [], "N": []}
-    for cp in range(sys.maxunicode + 1):
-        own = spans.get(unicodedata.category(chr(cp))[0])
-        if own is not None:
-            if own and own[-1][1] == cp - 1:
-                own[-1][1] = cp
-            else:
-                own.append([cp, cp])
-    return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans[k]) for k in "LN")
-
-
-@functools.lru_cache(maxsize=2)
-def splitter() -> re.Pattern:
-    """The tokenizer's word pattern for the standard library's engine."""
-    letter, number = _classes()
-    space = r"\t-\r \x85\xa0  -     　"
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
-
-
-class _Pieces(dict):
-    """Ids (packed) of word pieces; emptied when full."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece):
-        ids = self.encode(piece)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        self[piece] = packed
-        return packed
+SPACE = r"\t-\r \x85\xa0  -     　"
+# The tokenizer's word pattern takes a run of white space but for its last character, and
+# joins a last blank to the next word.  So a text can be cut before every blank but those
+# with white space, or on their right the end, on both sides.
+UNSAFE = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
+SAFE = re.compile(rf"(?<![{SPACE}]) | (?![{SPACE}]|\Z)")
 
 
 class Encoder:
     """Text to packed little-endian ids, equal to the tokenizer library's
-    ``encode(text, add_special_tokens=False)``; frequent pieces are kept."""
+    ``encode(text, add_special_tokens=False)``; chunks met before are kept."""
 
     def __init__(self, tokenizer: str, ranks: str):
-        import base64
-
-        import tiktoken
         with open(public_tokenizers.path(ranks), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        bpe = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        self.encode = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.blank = np.zeros(max(table.values()) + 1, bool)        # ids of tokens that begin with a blank
+        self.blank[[i for token, i in table.items() if token[:1] == b" "]] = True
         with open(public_tokenizers.path(tokenizer), encoding="utf-8") as f:
-            special = {x["content"]: struct.pack("<I", x["id"]) for x in json.load(f)["added_tokens"]}
-        self.special = special
-        self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.pieces = _Pieces(bpe.encode_ordinary)
-        self.split = splitter()
+            self.special = {x["content"]: struct.pack("<I", x["id"]) for x in json.load(f)["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.known: dict[str, bytes] = {}       # packed ids of a blank and a chunk
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.encode(text), "<u4")
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Keep the ids of the chunks.  Those without white space are encoded
+        together: in their ids, only the first of each begins with a blank."""
+        plain = [c for c in chunks if c.split() == [c]]
+        if plain:
+            ids = self._ids(" " + " ".join(plain))
+            first = np.flatnonzero(self.blank[ids]) * 4
+            if len(first) == len(plain):
+                packed = ids.tobytes()
+                self.known.update(zip(plain, map(packed.__getitem__, map(slice, first.tolist(), [*first[1:].tolist(), len(packed)]))))
+        for c in chunks:
+            if c not in self.known:
+                self.known[c] = self._ids(" " + c).tobytes()
+
+    def _known(self, chunks: list[str]) -> bytes:
+        own = set(chunks)
+        new = own.difference(self.known)
+        if len(self.known) + len(new) > CACHE_CHUNKS:
+            self.known.clear()
+            new = own
+        if new:
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, chunks))
 
     def _plain(self, text: str) -> bytes:
-        get = self.pieces.__getitem__
-        if len(text) <= LONG_TEXT:
-            return b"".join(map(get, self.split.findall(text)))
-        found = (m.group() for m in self.split.finditer(text))
-        out = bytearray()
-        while part := b"".join(map(get, itertools.islice(found, 100_000))):
-            out += part
-        return bytes(out)
+        out, at = [], 0
+        while len(text) - at > LONG_TEXT and (m := SAFE.search(text, at + LONG_TEXT)):
+            out.append(self._part(text[at:m.start()], at > 0))
+            at = m.start()
+        return b"".join(out) + self._part(text[at:], at > 0)
+
+    def _part(self, text: str, blank: bool) -> bytes:
+        """Ids of a part of a text; ``blank``: it begins with a blank to cut before."""
+        chunks = SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
+        first = b"" if blank else self._ids(chunks[0]).tobytes()
+        return first + self._known(chunks[1:])
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
