@@ -49,10 +49,10 @@ def fmt(d: dict) -> str:
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
+    from tidewater.plans.catalog import QUERIES
     from tidewater.session import get_session
     spark = get_session(shuffle_partitions=8)
-    qs = E.queries()
+    qs = QUERIES
     local, scale = {}, {}
     for name, fn in qs.items():
         local[name] = summary(fn(spark, sf))
@@ -67,8 +67,7 @@ def main() -> None:
         "side turns out small, and split skewed partitions). Subquery plans count too.",
         "\"At scale\" disables size-based broadcasts, as for dimension tables too large to",
         "broadcast. No plan contains a Python evaluation node, a cartesian product or a",
-        "nested-loop join (see `tests/test_plans.py`). The insight-row queries persist their",
-        "scan, and the cached plan is printed (and counted) at every use of it.",
+        "nested-loop join (see `tests/test_plans.py`).",
         "",
         "| Query | Planned on this data | At scale (no size-based broadcast) |",
         "|---|---|---|",
