@@ -244,3 +244,44 @@ def test_nearest_odd_rows(spark):
     few = spark.createDataFrame(some[:5] + [(20, some[20][1])], "vec_id long, embedding array<double>")
     assert {q: len(x) for q, x in as_lists(ann.nearest(few.where("vec_id % 20 = 0"), few).collect()).items()} == {0: 5, 20: 5}
     assert ann.nearest(few.limit(0), few.limit(0)).count() == 0 and ann.nearest(few.limit(0), few).count() == 0
+
+
+def with_norms(spark, kind):
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect()]
+    rng = np.random.default_rng(2)
+    norms = {"lognormal": np.exp(rng.normal(0, 0.5, len(rows))), "wide": np.exp(rng.normal(0, 1, len(rows))),
+             "one long": np.where(np.arange(len(rows)) == 7, 20.0, 1.0), "two": np.where(np.arange(len(rows)) % 10 == 0, 3.0, 1.0)}[kind]
+    return [(i, (v * f).tolist()) for (i, v), f in zip(rows, norms)]
+
+
+def recall_of(got, want, k=20):
+    return np.mean([len({a for a, _ in got.get(q, [])} & {a for a, _ in want[q]}) / len(want[q]) for q in want])
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "wide", "one long", "two"])
+def test_nearest_unequal_norms(spark, kind):
+    """Production probes; bands of more than 16 rows are hashed."""
+    rows = with_norms(spark, kind)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = as_lists(ann.nearest(df.where("vec_id % 20 = 0"), df, bucket_rows=16).collect())
+    want = plain_nearest(rows, 20)
+    assert set(got) == set(want) and all(len(x) == 20 for x in got.values())
+    assert recall_of(got, want) >= 0.9
+
+
+@pytest.mark.parametrize("n, bucket_rows", [(25, 4096), (40, 4096), (25, 1), (300, 4096)])
+def test_nearest_small_tables(spark, n, bucket_rows):
+    """All neighbours, by rows scored one by one; of 25 rows hashed, as many as there are."""
+    rows = [(i * 10, v) for i, (_, v) in enumerate(with_norms(spark, "one long")[:n])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = as_lists(ann.nearest(df.where("vec_id % 20 = 0"), df, k=24, bucket_rows=bucket_rows).collect())
+    want = plain_nearest(rows, 24)
+    assert {q: [v for v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
+
+
+def test_nearest_repeated_rows(spark):
+    """Rows with one id and vector take one of the k places; other ids of that vector keep theirs."""
+    rows = [(i, [1.0, float(i)]) for i in range(30)] + [(29, [1.0, 29.0])] * 40 + [(100 + i, [1.0, 29.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = as_lists(ann.nearest(df.where("vec_id = 20"), df, k=10).collect())
+    assert [v for v, _ in got[20]] == [29, 100, 101, 102, 103, 104, 28, 27, 26, 25]
