@@ -285,3 +285,13 @@ def test_nearest_repeated_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = as_lists(ann.nearest(df.where("vec_id = 20"), df, k=10).collect())
     assert [v for v, _ in got[20]] == [29, 100, 101, 102, 103, 104, 28, 27, 26, 25]
+
+
+@pytest.mark.parametrize("bucket_rows, axes", [(4, [128, 1]), (2, [128, 2]), (0.2, [128, 32]), (0.06, [128, 128])])
+def test_nearest_joined_polytopes(spark, bucket_rows, axes):
+    """Production probes of the form that large tables take."""
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings")
+    assert ann.shape(64, rows.count(), bucket_rows)[1] == axes
+    got = as_lists(ann.nearest(rows.where("vec_id % 20 = 0"), rows, bucket_rows=bucket_rows).collect())
+    want = plain_nearest([(r["vec_id"], r["embedding"]) for r in rows.collect()], 20)
+    assert all(len(x) == 20 for x in got.values()) and recall_of(got, want) >= 0.9

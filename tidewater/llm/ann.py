@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import written
 
 TABLES = 16
-PROBES = 12              # for tables of one cross-polytope; times (further vertices) ** 0.6
+PROBES = 12              # for tables of one cross-polytope; times (further vertices) ** GROWTH
+GROWTH = 0.8             # measured: holds the recall above 0.9 on spread vectors, where 0.6 lost up to a fifth
 BUCKET_ROWS = 4096
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 1024
@@ -136,7 +137,7 @@ def bands_of(found: list, dim: int, probes: int, bucket_rows: int) -> dict[int,
     for g, n, largest in found:
         if g >= 0 and n > bucket_rows:
             full, axes = shape(dim, n, bucket_rows)
-            wide = probes * np.prod([2.0 * d for d in axes[1:]]) ** 0.6 * max(1.0, largest / usual)
+            wide = probes * np.prod([2.0 * d for d in axes[1:]]) ** GROWTH * max(1.0, largest / usual)
             out[g] = Band(largest, full, axes, max(1, int(np.ceil(min(wide, np.prod([2.0 * d for d in axes]))))))
     return out
 
