@@ -298,3 +298,16 @@ def test_schedule_is_spread(docs):
     assert all(abs(half[s] - n[s] / 2) <= 4 + 0.05 * n[s] for s in n)
     stream = mixing.mixed_stream(m)
     assert stream.agg(F.sum("words")).first()[0] == mixing.taken(m).agg(F.sum("taken")).first()[0]
+
+
+def test_mixing_of_tiny_sources(spark):
+    """Sources around one block get their targets to the word at the production block size."""
+    sizes = {f"s{i:02d}": [1, 60, 64, 100][i // 3 % 4] for i in range(36)}
+    some = make(spark, ["w " * n for n in sizes.values()], list(sizes))
+    m = mixing.mix(some)
+    took = Counter()
+    for r in mixing.mixed_stream(m).collect():
+        took[r["source"]] += r["words"]
+    want = plain_targets(sizes)
+    assert all(abs(took[s] - want[s]) <= 0.5 for s in want)
+    assert Counter({r["source"]: r["taken"] for r in mixing.taken(m).collect() if r["taken"]}) == took

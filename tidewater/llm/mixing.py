@@ -7,7 +7,8 @@ documents of a source, in a shuffled order, form a run of words cut into
 blocks of ``block_words`` words.  The van der Corput points 0, 1/2, 1/4,
 3/4, ... are mapped through the cumulative weights; the k-th point that
 falls to a source takes the source's k-th block, starting over after the
-last.  The rank of a point among its source's is computed from its binary
+last.  A source's last block is cut at the words still due, so every source
+gets its target rounded to whole words.  The rank of a point among its source's is computed from its binary
 digits, so no task ever orders a whole source.
 
 Cases: null text has size 0, documents of size 0 are never taken; a null
@@ -31,10 +32,10 @@ CHUNK = 4096              # points made from one row
 
 @dataclass
 class Mix:
-    """sources: source, source_size, weight, target, n_blocks, n_slots;
-    schedule: slot (place in the mix), source, epoch, block;
+    """sources: source, source_size, weight, target, n_blocks, n_slots, rest (words of the last slot);
+    schedule: slot (place in the mix), source, epoch, block, most (words taken of the block at most);
     docs: doc_id, source, size, key, place (first word in the source's run);
-    pieces: docs with size > 0 cut at blocks: block, start (in the document), words."""
+    pieces: docs with size > 0 cut at blocks: block, start (in the document), words, inside (start in the block)."""
 
     sources: DataFrame
     schedule: DataFrame
@@ -82,8 +83,8 @@ def _rank_expr(bits: int) -> str:
             f"0L, (a, c) -> a + {below('hi')} - {below('lo')})")
 
 
-def schedule(sources: DataFrame) -> DataFrame:
-    """The slots of all sources: slot, source, epoch, block."""
+def schedule(sources: DataFrame, block_words: int) -> DataFrame:
+    """The slots of all sources: slot, source, epoch, block, most."""
     spans = prefix_sums(sources.where("n_slots > 0"), [F.col("place")], {"lo": "n_slots"}, "mixspans")
     total = spans.agg(F.max(F.col("lo") + F.col("n_slots"))).first()[0] or 1
     bits = max(1, int(total - 1).bit_length())
@@ -93,7 +94,8 @@ def schedule(sources: DataFrame) -> DataFrame:
     slots = (chunks.withColumn("j", F.explode(F.expr(f"sequence(from, least(from + {CHUNK}L, hi) - 1)")))
              .withColumn("rank", F.expr(_rank_expr(bits))))
     return slots.select(_reverse_bits(F.col("j"), bits).alias("slot"), "source",
-                        F.expr("rank div n_blocks").alias("epoch"), F.expr("rank % n_blocks").alias("block"))
+                        F.expr("rank div n_blocks").alias("epoch"), F.expr("rank % n_blocks").alias("block"),
+                        F.expr(f"if(rank = n_slots - 1, rest, {block_words}L)").alias("most"))
 
 
 def mix(docs: DataFrame, *, weights=(5, 2, 1), cap: int = 3, block_words: int = 64, seed: int = 17) -> Mix:
@@ -101,9 +103,13 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), cap: int = 3, block_words: int =
                                F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key")), "mixdocs")
     sources = shares(rows, weights, cap)
     blocks = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
-    sources = written(sources.withColumn("n_blocks", blocks).withColumn(
-        "n_slots", F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") / F.col("source_size") * F.col("n_blocks")).cast("long"),
-                                                           F.col("n_blocks") * cap)).otherwise(F.lit(0).cast("long"))), "mixsources")
+    # Whole passes, then blocks up to the words still due, the last of them cut.
+    due = F.least(F.round("target").cast("long"), F.col("source_size") * cap)
+    sources = (sources.withColumn("n_blocks", blocks).withColumn("due", F.when(F.col("source_size") > 0, due).otherwise(F.lit(0).cast("long")))
+               .withColumn("over", F.expr("if(source_size > 0, due % source_size, 0L)")))
+    slots = F.expr(f"if(source_size > 0, due div source_size, 0L) * n_blocks + (over + {block_words - 1}) div {block_words}")
+    rest = F.expr(f"if(over > 0, (over - 1) % {block_words} + 1, {block_words}L)")
+    sources = written(sources.withColumn("n_slots", slots).withColumn("rest", rest).drop("due", "over"), "mixsources")
     # Places: totals per hash bucket, running over a source's 2**BUCKET_BITS buckets, then inside each bucket.
     rows = rows.withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKET_BITS))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -118,9 +124,15 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), cap: int = 3, block_words: int =
     pieces = (placed.where("size > 0")
               .withColumn("block", F.explode(F.expr(f"sequence(place div {n}, (place + size - 1) div {n})")))
               .withColumn("start", F.greatest(F.col("block") * n - F.col("place"), F.lit(0)))
-              .withColumn("words", F.least(F.col("place") + F.col("size"), (F.col("block") + 1) * n) - F.col("place") - F.col("start")))
+              .withColumn("words", F.least(F.col("place") + F.col("size"), (F.col("block") + 1) * n) - F.col("place") - F.col("start"))
+              .withColumn("inside", F.col("place") + F.col("start") - F.col("block") * n))
     # Written, as an estimate of its size from the few rows it is made of would have it broadcast.
-    return Mix(sources, written(schedule(sources), "mixslots"), placed, pieces)
+    return Mix(sources, written(schedule(sources, block_words), "mixslots"), placed, pieces)
+
+
+def _words() -> Column:
+    """Words of a piece that a slot of its block takes."""
+    return F.least(F.col("words"), F.greatest(F.col("most") - F.col("inside"), F.lit(0)))
 
 
 def mixed_stream(m: Mix) -> DataFrame:
@@ -128,15 +140,15 @@ def mixed_stream(m: Mix) -> DataFrame:
     words) of the documents in each slot's block (order by slot, place)."""
     p = m.pieces.withColumnRenamed("source", "s").withColumnRenamed("block", "b")
     return (m.schedule.join(p, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-            .select("slot", "source", "epoch", "doc_id", "place", "start", "words"))
+            .select("slot", "source", "epoch", "doc_id", "place", "start", _words().alias("words")).where("words > 0"))
 
 
 def taken(m: Mix) -> DataFrame:
     """Per document, the words that the mix takes of it, repeats counted."""
-    uses = m.schedule.groupBy("source", "block").agg(F.count("*").alias("uses"))
-    uses = uses.select(F.col("source").alias("s"), F.col("block").alias("b"), "uses")
+    uses = m.schedule.groupBy("source", "block", "most").agg(F.count("*").alias("uses"))
+    uses = uses.select(F.col("source").alias("s"), F.col("block").alias("b"), "most", "uses")
     got = (m.pieces.join(uses, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-           .groupBy("source", "place").agg(F.sum(F.col("words") * F.col("uses")).alias("taken")))
+           .groupBy("source", "place").agg(F.sum(_words() * F.col("uses")).alias("taken")))
     got = got.select(F.col("source").alias("s"), F.col("place").alias("p"), "taken")
     out = m.docs.join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("place") == F.col("p")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "source", "size", "key", "place", F.coalesce("taken", F.lit(0)).alias("taken"))
