@@ -146,6 +146,15 @@ def test_quality_copies_count_once(spark):
     assert all(r["kept"] and r["n_cut_words"] == 0 for r in got)
 
 
+def test_quality_near_copies_count_each(spark):
+    """Near copies above both limits lose their shared lines and are all rejected; below, they stay."""
+    shared = "\n".join(" ".join(f"c{i}d{k}" for k in range(9)) for i in range(4))
+    texts = [f"{shared}\nown ending {chr(97 + i)}" for i in range(20)] + [" ".join(f"{chr(97 + i)}x{chr(97 + k)}" for k in range(12)) for i in range(10)]
+    got = quality.judge(make(spark, texts)).orderBy("doc_id").collect()
+    assert [r["kept"] for r in got] == [False] * 20 + [True] * 10 and all(r["n_cut_words"] == 36 for r in got[:20])
+    assert all(r["kept"] for r in quality.judge(make(spark, texts[1:])).collect())
+
+
 def plain_spans(text):
     out = []
     for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):

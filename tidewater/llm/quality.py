@@ -8,6 +8,10 @@ documents, and in ``min_docs`` at least, are removed; a document is rejected
 when fewer than ``min_words`` words, or less than ``min_left`` of its words,
 are left.
 
+Only exact copies count once.  Near copies count each: a group of them above
+both limits makes its shared lines frequent, and its members, left with too
+few words, are all rejected before any near-duplicate stage could keep one.
+
 Cases: null or empty text has no words and fails the base rules; a null
 source is a host of its own; repeated rows each get a row and count once;
 an empty table gives no rows.
