@@ -10,6 +10,9 @@ earlier ones, that are indexed under its anchors: where a whole block
 occurred earlier, all its windows did.  Only blocks that differ under one
 anchor, which is where factors begin and end, are checked window by window.
 Matches that go on at the next place of the same source make one factor.
+The removed words are exact, but this is no greedy Lempel-Ziv parse: each
+window points to its first occurrence, so a copy of a passage whose beginning
+also stands in an earlier document gives several factors, not the longest.
 
 An anchor, block or window that very many documents share is split: rows are
 ranked within salted parts first, and only the first row of each part meets
