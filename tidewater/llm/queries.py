@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, langid, mixing, neardup, packing, quality, secrets, substrings, toxicity, urlfilter
+from tidewater.llm import ann, langid, mixing, neardup, packing, quality, secrets, substrings, tokenfile, toxicity, urlfilter
 from tidewater.llm.common import table
 
 # The rules of the url query.
@@ -58,6 +58,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenfile.write(table(spark, sf_dir, "documents"), tokenfile.new_folder(spark))
+    return tokenfile.digests(tokenfile.read(spark, folder))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -69,4 +74,5 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
+    "op13_token_output": op13_token_output,
 }
