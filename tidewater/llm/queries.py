@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, langid, mixing, neardup, packing, quality, secrets, substrings, tokenfile, toxicity, urlfilter
-from tidewater.llm.common import table
+from tidewater.llm import ann, langid, mixing, neardup, packing, periodic, quality, secrets, substrings, tokenfile, toxicity, urlfilter
+from tidewater.llm.common import WORD, table
 
 # The rules of the url query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
@@ -58,6 +58,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The contract's input of the run query: in a text whose h % 10 is 0, the
+    words from a on become copies of the p words there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h"),
+                         F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    sized = chosen.select("*", F.when(F.size("w") > 0, F.size("w")).alias("n"), F.expr("h div 10").alias("g"))
+    cut = sized.select("*", F.expr("cast(g % n as int)").alias("a"))
+    dealt = cut.select("*", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)").alias("p"))
+    made = F.expr("array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), cast((n - a + p - 1) div p as int))), 1, n - a)), ' ')")
+    return dealt.select("doc_id", F.when(F.col("n").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find(with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
 def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.write(table(spark, sf_dir, "documents"), tokenfile.new_folder(spark))
     return tokenfile.digests(tokenfile.read(spark, folder))
@@ -74,5 +91,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_token_output": op13_token_output,
 }
