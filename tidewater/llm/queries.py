@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, langid, mixing, neardup, packing, periodic, quality, secrets, substrings, tokenfile, toxicity, urlfilter
+from tidewater.llm import alignment, ann, langid, mixing, neardup, packing, periodic, quality, secrets, substrings, tokenfile, toxicity, urlfilter
 from tidewater.llm.common import WORD, table
 
 # The rules of the url query.
@@ -75,6 +75,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find(with_planted_periods(table(spark, sf_dir, "documents"))))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score(table(spark, sf_dir, "documents"))
+
+
 def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.write(table(spark, sf_dir, "documents"), tokenfile.new_folder(spark))
     return tokenfile.digests(tokenfile.read(spark, folder))
@@ -92,5 +96,6 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_alignment": op12_alignment,
     "op13_token_output": op13_token_output,
 }
