@@ -24,10 +24,14 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -42,22 +46,45 @@ from tidewater.session import checkpoint_dir
 
 TOKENIZER = "word_bpe_49k.json"     # lower case, white space dropped
 END_ID = 2
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 400_000
 CACHE_BYTES = 64                    # longer chunks are encoded each time
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 
+BIG_ENDIAN = sys.byteorder == "big" or array("I").itemsize != 4
+
 ROWS = "doc_id long, part int, start long, n_tokens long, ids array<int>"
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if BIG_ENDIAN else array("I", ids).tobytes()
+
+
+class Parts(dict):
+    """Packed ids of the pieces that the tokenizer cuts a chunk into, by the
+    library's model; emptied when full."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= CACHE_CHUNKS:
+            self.clear()
+        found = self[part] = packed([x.id for x in self.model.tokenize(part)])
+        return found
+
+
 class Encoder:
     """Text to packed little-endian ids, equal to the tokenizer library's
     ``encode(text, add_special_tokens=False)``.
 
     This tokenizer drops white space, and no token crosses it, so the text's
-    ids are those of its chunks; chunks met before are kept.
+    ids are those of its chunks; chunks met before are kept.  A new chunk of
+    printable ASCII is lower-cased and cut by the tokenizer's own pattern,
+    and each piece goes to the library's model; any other goes to the
+    library whole.
     """
 
     def __init__(self, tokenizer: str):
@@ -65,10 +92,31 @@ class Encoder:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(public_tokenizers.path(tokenizer))
         self.known: dict[bytes, bytes] = {}
-
-    def _encoded(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
+        self.parts = Parts(self.library.model)
+        with open(public_tokenizers.path(tokenizer), encoding="utf-8") as f:
+            made = json.load(f)
+        steps = [x["type"] for x in made["normalizer"]["normalizers"]]
+        cut, shown = made["pre_tokenizer"]["pretokenizers"]
+        if steps != ["NFC", "Replace", "Lowercase"] or (cut["type"], shown["type"], shown["use_regex"]) != ("Split", "ByteLevel", False):
+            raise ValueError(f"{tokenizer}: not a tokenizer of lower-case words")
+        # On printable ASCII the classes of letters and digits are these, and the byte-level alphabet is the characters themselves.
+        self.pieces = re.compile(cut["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in made["added_tokens"])).search
+
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        out, others = {}, []
+        for c in chunks:
+            text = c.decode()
+            if not text.isascii() or not text.isprintable() or self.special(text):
+                others.append(c)
+            elif text.isalpha():
+                out[c] = self.parts[text.lower()]
+            else:
+                out[c] = b"".join(map(self.parts.__getitem__, self.pieces(text.lower())))
+        if others:
+            found = self.library.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
+            out.update((c, packed(x.ids)) for c, x in zip(others, found))
+        return out
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]      # at ASCII white space
@@ -77,11 +125,12 @@ class Encoder:
         if len(self.known) + len(new) > CACHE_CHUNKS:
             self.known.clear()
             new = list(own)
-        ids = dict(zip(new, self._encoded(new)))
-        self.known.update((c, x) for c, x in ids.items() if len(c) <= CACHE_BYTES)
-        long = {c: x for c, x in ids.items() if len(c) > CACHE_BYTES}
-        of = self.known.__getitem__ if not long else lambda c: long.get(c) or self.known.get(c) or b""
-        return [b"".join(map(of, chunks)) for chunks in split]
+        self.known.update(self._learn(new))
+        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        for c in new:
+            if len(c) > CACHE_BYTES:
+                del self.known[c]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -110,10 +159,10 @@ def tokenized(docs: DataFrame, *, tokenizer: str = TOKENIZER, end_id: int = END_
         encode, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in bounded(whole):
-                packed = [x + end for x in encode.batch(batch.column("text").to_pylist())]
-                n = np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
+                ids = [x + end for x in encode.batch(batch.column("text").to_pylist())]
+                n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 edges = np.concatenate([[0], np.cumsum(n)])
-                values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + edges[:-1]), pa.array(n),
                     pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), values, type=arrow.field("ids").type)], schema=arrow)
