@@ -1,38 +1,83 @@
-"""Exact linear-interpolation quantile without gathering the column.
-
-``percentile(x, p)`` keeps every distinct value of a group in one buffer;
-over a global group that is one task holding the whole column.  Here an
-approximate quantile, whose rank error is at most one ACCURACY-th of the
-rows, brackets the two order statistics about rank ``(n - 1) * p``; the rows
-under the bracket are counted, and only its values, a few ACCURACY-ths of
-the rows, are ordered.  The whole is one plan, without an action.
+"""Exact quantiles per group by counting, without gathering a column.
+
+``percentile(x, p)`` keeps every distinct value of a group in one buffer,
+and ranking the values needs one task per group.  Here the values, as whole
+numbers of the column's last decimal place, are searched digit by digit:
+each round counts the values per digit of BITS bits below the digits found
+so far and goes on in the digit that holds the wanted rank.  A round shuffles
+counts, and its window sees at most 2^BITS digits of one wanted rank, however
+many rows the group has.  The whole is one plan, without an action.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BITS = 16
+ROUNDS = 4          # BITS * ROUNDS = 64 bits: any two longs apart
+
+
+def whole_number(df: DataFrame, col: str) -> tuple[Column, int]:
+    """A column of whole numbers as longs of its last decimal place, and
+    that place's number of units in 1."""
+    t = df.schema[col].dataType
+    if isinstance(t, T.DecimalType):
+        unit = 10 ** t.scale
+        return (F.col(col) * F.lit(unit)).cast("long"), unit
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.col(col).cast("long"), 1
+    raise ValueError(f"{col}: quantiles are searched in whole numbers and decimals, not {t.simpleString()}")
+
+
+def order_statistics(df: DataFrame, value: Column, ps: list[float], keys: list[str] | tuple = ()) -> DataFrame:
+    """(keys, p, n, low, high): for each group and each of ``ps`` the long
+    values at the ranks floor and ceil of (n - 1) * p, and the rows n that
+    are not NULL.  Groups without a value give no row; NULL keys are a group."""
+    keys = list(keys)
+    rows = df.where(value.isNotNull()).select(*keys, value.alias("_v"))
+    n = F.col("n") - 1
+    targets = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side"), r.cast("long").alias("rank"))
+                                  for p in ps for side, r in ((0, F.floor(n * F.lit(float(p)))), (1, F.ceil(n * F.lit(float(p)))))]))
+    state = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least")).where("n > 0")
+             .select(*keys, "n", "least", targets.alias("_t")).select(*keys, "n", "least", "_t.*", F.lit(0).cast("long").alias("found")))
+    own = ["n", "least", "p", "side", "rank", "found"]
+    for step in range(ROUNDS - 1, -1, -1):
+        shift = BITS * step
+        names = {k: f"_k{i}" for i, k in enumerate(keys)}
+        side = state.select(*[F.col(k).alias(a) for k, a in names.items()], *own)
+        if keys:
+            match = F.lit(True)
+            for k, a in names.items():
+                match = match & F.col(k).eqNullSafe(F.col(a))
+        else:
+            side, match = F.broadcast(side), None       # two rows for each of ps: a proven bound
+        far = F.col("_v") - F.col("least")
+        above = F.lit(0).cast("long") if shift + BITS >= 64 else F.shiftrightunsigned(far, shift + BITS)
+        inside = above == F.col("found")
+        joined = rows.join(side, match & inside if match is not None else inside)
+        digit = F.shiftrightunsigned(far, shift).bitwiseAND((1 << BITS) - 1)
+        counts = joined.groupBy(*keys, *own, digit.alias("digit")).agg(F.count(F.lit(1)).alias("k"))
+        upto = F.sum("k").over(Window.partitionBy(*keys, "p", "side").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
+        state = (counts.withColumn("upto", upto).where((F.col("upto") - F.col("k") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+                 .select(*keys, "n", "least", "p", "side", (F.col("rank") - F.col("upto") + F.col("k")).alias("rank"),
+                         F.shiftleft("found", BITS).bitwiseOR(F.col("digit")).alias("found")))
+    at = lambda side: F.max(F.when(F.col("side") == side, F.col("least") + F.col("found")))
+    return state.groupBy(*keys, "p", "n").agg(at(0).alias("low"), at(1).alias("high"))
+
 
-ACCURACY = 10_000
-MARGIN = 4 / ACCURACY
+def quantiles(df: DataFrame, col: str, ps: list[float], keys: list[str] | tuple = ()) -> DataFrame:
+    """(keys, p, n, q): exact quantiles with numpy/pandas ``linear``
+    interpolation, as doubles (NULL values ignored)."""
+    value, unit = whole_number(df, col)
+    found = order_statistics(df, value, ps, keys)
+    a, b = ((F.col(c) / F.lit(unit)).cast("double") if unit == 1 else F.col(c).cast("double") / F.lit(float(unit)) for c in ("low", "high"))
+    h = (F.col("n") - 1) * F.col("p")
+    return found.select(*keys, "p", "n", (a + (b - a) * (h - F.floor(h))).alias("q"))
 
 
 def exact_quantile(df: DataFrame, col: str, p: float) -> DataFrame:
-    """One row, one column ``q``: the quantile with numpy/pandas ``linear``
-    interpolation, as a double (NULLs ignored; NULL without values)."""
-    v = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v"))
-    edges = F.percentile_approx("v", [max(0.0, p - MARGIN), min(1.0, p + MARGIN)], ACCURACY)
-    rank = (F.col("n") - 1) * F.lit(float(p))
-    stats = v.agg(F.count(F.lit(1)).alias("n"), edges.alias("e"), F.min("v").alias("least"), F.max("v").alias("most"))
-    # The margin is two ranks or more only from so many rows on; of fewer, all are in the bracket.
-    wide = F.col("n") * MARGIN < 4
-    stats = stats.select("n", F.when(wide, F.col("least")).otherwise(F.col("e")[0]).alias("low"),
-                         F.when(wide, F.col("most")).otherwise(F.col("e")[1]).alias("high"), rank.alias("h"))
-    low, high, h = (stats.select(c).scalar() for c in ("low", "high", "h"))
-    value = F.when(F.col("v") >= low, F.col("v"))          # NULL: all values under the bracket
-    counts = v.where(F.col("v") <= high).groupBy(value.alias("x")).agg(F.count(F.lit(1)).alias("k"))
-    upto = F.sum("k").over(Window.orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    at = counts.withColumn("upto", upto).where(F.col("x").isNotNull())
-    pick = lambda r: F.min(F.when(F.col("upto") > r, F.col("x"))).cast("double")
-    ends = at.agg(pick(F.floor(h)).alias("a"), pick(F.ceil(h)).alias("b"))
-    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * (h - F.floor(h))).alias("q"))
+    """One row, one column ``q``: the quantile of the whole column (NULL
+    without values)."""
+    return quantiles(df, col, [p]).agg(F.max("q").alias("q"))

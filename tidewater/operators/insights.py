@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import exprs as X
+from tidewater.operators.cube import Cube
 
 
 def insight_scan(sales: DataFrame, customers: DataFrame | None, products: DataFrame | None, *,
@@ -106,8 +107,12 @@ def sales_trends(scan: DataFrame) -> DataFrame:
     of the daily distinct counts (as reported originally);
     ``distinct_customers`` is the true distinct count."""
     dc = _day_customer(scan)
-    distinct = dc.agg(F.count_distinct("customer_id")).scalar()
-    st = _growth_cols(_day_stats(_daily_from(dc)))
+    return trends_from(_daily_from(dc), dc.agg(F.count_distinct("customer_id")).scalar())
+
+
+def trends_from(daily: DataFrame, distinct) -> DataFrame:
+    """A12 from the daily totals and the number of customers."""
+    st = _growth_cols(_day_stats(daily))
     return st.select(
         F.col("_all").cast("double").alias("total_sales"),
         (F.col("_all").cast("double") / F.col("n_days")).alias("average_daily_sales"),
@@ -120,7 +125,11 @@ def sales_trends(scan: DataFrame) -> DataFrame:
 
 def top_days(scan: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` days with the highest totals (earlier day wins a tie)."""
-    return daily_sales(scan).orderBy(F.col("total_sales").desc(), "sales_day").limit(k) \
+    return top_days_from(daily_sales(scan), k)
+
+
+def top_days_from(daily: DataFrame, k: int = 5) -> DataFrame:
+    return daily.orderBy(F.col("total_sales").desc(), "sales_day").limit(k) \
         .select("sales_day", F.col("total_sales").cast("double").alias("total_sales"))
 
 
@@ -295,42 +304,40 @@ def all_insights(sales: DataFrame, customers: DataFrame, products: DataFrame, *,
     """The five reports over ONE scan, as insight rows
     (insight_type, insight_data JSON, generated_date, is_active).
 
-    Nothing is kept in memory or on executors' disks; equal shuffles of the
-    reports are shared by the planner."""
-    scan = insight_scan(sales, None, None, as_of=as_of, days=days)
-    return insight_rows(scan, as_of=as_of, customers=customers, products=products)
-
-
-def insight_rows(scan: DataFrame, *, as_of, customers: DataFrame | None = None,
-                 products: DataFrame | None = None) -> DataFrame:
-    """The insight rows of one scan (with the dimensions, if it was made
-    without them).  Each report's summary (scalars +
-    top-k lists) is one row; the per-key breakdowns (segments, categories,
-    region and rep distributions) are one row per key under
-    ``<report>.<part>``, so no list of unbounded length is gathered into a
-    single row."""
-    cust = customer_analysis(scan, customers)
-    prod = product_analysis(scan, products)
-    reg = region_analysis(scan)
-    rep = rep_analysis(scan)
-    trends = _with_top(sales_trends(scan), "top_performing_days", top_days(scan))
-    customers_r = _with_top(retention(cust, as_of=as_of), "top_customers", top_customers_report(cust))
-    products_r = _with_top(product_summary(prod), "top_products", top_products_report(prod))
-    regions_r = _with_top(region_summary(reg), "top_regions", top_regions_report(reg))
-    reps_r = _with_top(rep_summary(rep), "top_sales_reps", top_reps_report(rep))
-    parts = [
-        _json_row(trends, "sales_trends"),
-        _json_row(customers_r, "customer_insights"),
-        _json_row(segment_analysis(cust), "customer_insights.segment_analysis"),
-        _json_row(products_r, "product_insights"),
-        _json_row(category_analysis(prod), "product_insights.category_analysis"),
-        _json_row(regions_r, "regional_insights"),
-        _json_row(reg.select("region", "total_sales"), "regional_insights.regional_distribution"),
-        _json_row(reps_r, "sales_rep_insights"),
-        _json_row(rep.select("sales_rep", "total_sales"), "sales_rep_insights.rep_performance_distribution"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    The scan is grouped once (``operators.cube``) and the cube is written
+    when this is called; the rows are planned over it."""
+    return insight_rows(Cube(insight_scan(sales, None, None, as_of=as_of, days=days)), customers, products, as_of=as_of)
+
+
+def report_parts(cube: Cube, customers: DataFrame, products: DataFrame, *, as_of) -> dict[str, DataFrame]:
+    """Every part of the five reports by name, over one cube: the summary of
+    a report (scalars and a top-k list) is one row; the per-key breakdowns
+    (segments, categories, region and rep distributions) are one row per key
+    under ``<report>.<part>``, so no list of unbounded length is gathered
+    into a single row."""
+    daily = cube.daily_sales()
+    cust = cube.customer_analysis(customers)
+    prod = cube.product_analysis(products)
+    reg = cube.region_analysis()
+    rep = cube.rep_analysis()
+    return {
+        "sales_trends": _with_top(trends_from(daily, cube.distinct_customers().scalar()), "top_performing_days", top_days_from(daily)),
+        "customer_insights": _with_top(retention(cust, as_of=as_of), "top_customers", top_customers_report(cust)),
+        "customer_insights.segment_analysis": segment_analysis(cust),
+        "product_insights": _with_top(product_summary(prod), "top_products", top_products_report(prod)),
+        "product_insights.category_analysis": category_analysis(prod),
+        "regional_insights": _with_top(region_summary(reg), "top_regions", top_regions_report(reg)),
+        "regional_insights.regional_distribution": reg.select("region", "total_sales"),
+        "sales_rep_insights": _with_top(rep_summary(rep), "top_sales_reps", top_reps_report(rep)),
+        "sales_rep_insights.rep_performance_distribution": rep.select("sales_rep", "total_sales"),
+    }
+
+
+def insight_rows(cube: Cube, customers: DataFrame, products: DataFrame, *, as_of) -> DataFrame:
+    """The insight rows of one cube."""
+    out = None
+    for name, part in report_parts(cube, customers, products, as_of=as_of).items():
+        rows = _json_row(part, name)
+        out = rows if out is None else out.unionByName(rows)
     return out.select("insight_type", "insight_data",
                       X.ts_lit(as_of).alias("generated_date"), F.lit(True).alias("is_active"))

@@ -15,11 +15,17 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions import quantile as Z
+from tidewater.models import anomalies as MA
+from tidewater.models import forecast as MF
+from tidewater.models import recommend as MR
+from tidewater.models import segments as MS
 from tidewater.operators import documents as D
 from tidewater.operators import helpers as H
 from tidewater.operators import insights as I
 from tidewater.operators import queries as Q
 from tidewater.operators import rollups as R
+from tidewater.operators.cube import Cube
 from tidewater.sources import sinks as K
 from tidewater.sources import tables as T
 from tidewater.streaming import jobs as ST
@@ -340,6 +346,102 @@ def insight_rows_all(c: Ctx):
     return I.all_insights(c.sales, c.customers, c.products, as_of=c.as_of, days=None)
 
 
+def _cube(c: Ctx):
+    return Cube(c.scan(customers=False, products=False))
+
+
+def cube_days(c: Ctx):
+    """A11 read from the shared roll-up of A30; likewise below."""
+    return _cube(c).daily_sales()
+
+
+def cube_customers(c: Ctx):
+    return _cube(c).customer_analysis(c.customers)
+
+
+def cube_products(c: Ctx):
+    return _cube(c).product_analysis(c.products)
+
+
+def cube_regions(c: Ctx):
+    return _cube(c).region_analysis()
+
+
+def cube_reps(c: Ctx):
+    return _cube(c).rep_analysis()
+
+
+def insight_figures(c: Ctx):
+    """Every scalar of the five reports' summaries, over one cube."""
+    parts = I.report_parts(_cube(c), c.customers, c.products, as_of=c.as_of)
+    out = None
+    for name in ("sales_trends", "customer_insights", "product_insights", "regional_insights", "sales_rep_insights"):
+        df = parts[name]
+        figures = [(n, F.col(n).cast("double") if t != "string" else F.lit(None).cast("double"), F.col(n) if t == "string" else F.lit(None).cast("string"))
+                   for n, t in df.dtypes if not t.startswith("array")]
+        rows = df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("report"), F.lit(n).alias("figure"), v.alias("value"), x.alias("text"))
+                                             for n, v, x in figures])).alias("f")).select("f.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# ------------------------------------------------------------------ models
+
+def _plain(c: Ctx):
+    return c.scan(customers=False, products=False)
+
+
+def amount_quantiles(c: Ctx):
+    """F8 per group: exact quantiles of the sale amounts of every region."""
+    return Z.quantiles(_plain(c), "sales_amount", [0.25, 0.5, 0.8, 0.95], ["region"])
+
+
+def sales_anomalies(c: Ctx):
+    """M4: days that stand out from their region's daily totals."""
+    return MA.daily_region_anomalies(_plain(c))
+
+
+def quantity_anomalies(c: Ctx):
+    """M4 with a group per product."""
+    return MA.product_amount_anomalies(_plain(c))
+
+
+def forecast_trend(c: Ctx):
+    """M2: the line through the daily sales of every region."""
+    return MF.trend(MF.daily_series(_plain(c), "region"))
+
+
+def forecast_features(c: Ctx):
+    return MF.lag_features(MF.daily_series(_plain(c), "region"))
+
+
+def forecast_naive(c: Ctx):
+    return MF.naive_scores(MF.daily_series(_plain(c), "region"))
+
+
+def forecast_models(c: Ctx):
+    """M2: linear and forest regressors on rolling origins."""
+    return MF.model_scores(c.spark, MF.daily_series(_plain(c)))
+
+
+def co_purchase(c: Ctx):
+    """M3: products ordered together."""
+    return MR.product_pairs(MR.baskets(c.sales))
+
+
+def recommendations(c: Ctx):
+    return MR.recommendations(MR.baskets(c.sales))
+
+
+def customer_rfm(c: Ctx):
+    """M1: the features of the segments."""
+    return MS.rfm(_plain(c), as_of=c.as_of)
+
+
+def customer_segments(c: Ctx):
+    return MS.customer_segments(_plain(c), as_of=c.as_of)
+
+
 # --------------------------------------------------------------- documents
 
 def docs_customers(c: Ctx):
@@ -566,7 +668,9 @@ _FNS = [
     customer_analysis, segment_analysis, retention, retention_30d, top10_customers,
     product_analysis, category_analysis, product_summary, top10_products,
     region_analysis, region_summary, top5_regions, rep_analysis, rep_summary, top5_reps,
-    insight_rows, insight_rows_all,
+    insight_rows, insight_rows_all, insight_figures, cube_days, cube_customers, cube_products, cube_regions, cube_reps,
+    amount_quantiles, sales_anomalies, quantity_anomalies, forecast_trend, forecast_features, forecast_naive, forecast_models,
+    co_purchase, recommendations, customer_rfm, customer_segments,
     docs_customers, docs_sales, docs_products, docs_all, doc_facets,
     upsert_customers, upsert_products, replace_window_sales,
     set_totals, unique_keys, rows_by_region, rows_by_customer, display_rows, validate_raw, document_roles,

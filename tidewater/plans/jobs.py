@@ -4,7 +4,7 @@ tables:
 * ``run_etl``        raw exports (last ``lookback_days`` of processing) ->
                       customers / products upserted, sales loaded (K6);
 * ``run_insights``   the five reports over the last ``days`` of sales,
-                      appended as insight rows (A30 + K7);
+                      added as the insight rows of that run (A30 + K7);
 * ``run_documents``  the document set rebuilt and published (K11).
 
 Each returns a small status dict (counts observed while writing, no extra
@@ -23,6 +23,7 @@ from tidewater import schemas as S
 from tidewater.functions import exprs as X
 from tidewater.operators import insights as I
 from tidewater.operators import rollups as R
+from tidewater.operators.cube import Cube
 from tidewater.sources import sinks as K
 from tidewater.sources.tables import scan_raw_bw, scan_raw_ecc
 
@@ -81,11 +82,16 @@ def _processed(spark: SparkSession, root: str, as_of=None, days: int | None = No
 
 def run_insights(spark: SparkSession, processed_root: str, insights_path: str, *, as_of,
                  days: int | None = 30) -> dict:
-    """Insight run over one window of the sales."""
+    """Insight run over one window of the sales; a rerun for the same
+    ``as_of`` replaces its rows."""
     sales, customers, products = _processed(spark, processed_root, as_of, days)
     obs = Observation("insights")
-    rows = I.all_insights(sales, customers, products, as_of=as_of, days=days)
-    K.save_insights(rows.observe(obs, F.count(F.lit(1)).alias("n")), insights_path)
+    cube = Cube(I.insight_scan(sales, None, None, as_of=as_of, days=days))
+    try:
+        rows = I.insight_rows(cube, customers, products, as_of=as_of)
+        K.save_insights(rows.observe(obs, F.count(F.lit(1)).alias("n")), insights_path, run=as_of)
+    finally:
+        cube.remove()
     return {"insight_rows": int(obs.get["n"])}
 
 

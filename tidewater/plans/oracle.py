@@ -720,3 +720,105 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1
        event_type, count(*) AS events
 FROM events GROUP BY 1, 2, 3""",
 }
+
+
+# ------------------------------------------------------------------ models
+
+def _robust(rows: str, key: str, value: str, columns: str) -> str:
+    """Rows far from their group's median, in whole units of 0.01."""
+    return f"""
+SELECT {columns}, med / 100 AS median, mad / 100 AS mad, CASE WHEN mad > 0 THEN (c - med) / (1.4826 * mad) END AS score
+FROM (SELECT r.*, CAST({value} * 100 AS DOUBLE) AS c, med FROM {rows} r JOIN
+        (SELECT {key} AS k, quantile_cont(CAST({value} * 100 AS DOUBLE), 0.5) AS med FROM {rows} GROUP BY {key}) m ON r.{key} IS NOT DISTINCT FROM m.k) x
+JOIN (SELECT r.{key} AS k, quantile_cont(abs(CAST({value} * 100 AS DOUBLE) - med), 0.5) AS mad FROM {rows} r JOIN
+        (SELECT {key} AS k, quantile_cont(CAST({value} * 100 AS DOUBLE), 0.5) AS med FROM {rows} GROUP BY {key}) m ON r.{key} IS NOT DISTINCT FROM m.k
+      GROUP BY r.{key}) y ON x.{key} IS NOT DISTINCT FROM y.k
+WHERE abs(c - med) > 3.0 * (1.4826 * mad)"""
+
+
+_DAY_REGION = """,
+day_region AS (SELECT region, CAST(sales_date AS DATE) AS sales_day, sum(sales_amount) AS total_sales FROM scan GROUP BY ALL)"""
+
+_SERIES = """,
+totals AS (SELECT region AS series, CAST(sales_date AS DATE) AS day, sum(sales_amount) AS total FROM scan WHERE region IS NOT NULL GROUP BY ALL),
+span AS (SELECT series, min(day) AS first, max(day) AS last FROM totals GROUP BY series),
+days AS (SELECT series, first, CAST(unnest(generate_series(CAST(first AS TIMESTAMP), CAST(last AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM span),
+series AS (SELECT d.series, d.day, date_diff('day', first, d.day) AS t, coalesce(total, 0) AS total
+           FROM days d LEFT JOIN totals o ON d.series = o.series AND d.day = o.day)"""
+
+_TREND = """
+SELECT series, days, CASE WHEN uu > 0 THEN 2.0::DOUBLE * uy / uu / 100.0::DOUBLE END AS slope,
+       CASE WHEN uu > 0 THEN y / days / 100.0::DOUBLE - (2.0::DOUBLE * uy / uu / 100.0::DOUBLE) * ((days - 1) / 2.0::DOUBLE) END AS intercept,
+       CASE WHEN uu > 0 AND spread > 0 THEN uy * uy / uu * (CAST(days AS DOUBLE) / spread) END AS r2
+FROM (SELECT series, n AS days, CAST(CAST(sum(u * c) AS VARCHAR) AS DOUBLE) AS uy, CAST(CAST(sum(u * u) AS VARCHAR) AS DOUBLE) AS uu,
+             CAST(CAST(sum(c) AS VARCHAR) AS DOUBLE) AS y, CAST(CAST(n * sum(c * c) - sum(c) * sum(c) AS VARCHAR) AS DOUBLE) AS spread
+      FROM (SELECT series, n, CAST(2 * t - (n - 1) AS HUGEINT) AS u, CAST(total * 100 AS HUGEINT) AS c
+            FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM series))
+      GROUP BY series, n)"""
+
+_LAGGED = """
+SELECT series, day, t, CAST(total AS DOUBLE) AS total, dayofweek(day) + 1 AS weekday, CAST(l1 AS DOUBLE) AS lag_1, CAST(l7 AS DOUBLE) AS lag_7,
+       CAST(l28 AS DOUBLE) AS lag_28, CAST(s7 AS DOUBLE) / 7 AS mean_7, CAST(s28 AS DOUBLE) / 28 AS mean_28
+FROM (SELECT *, lag(total, 1) OVER w AS l1, lag(total, 7) OVER w AS l7, lag(total, 28) OVER w AS l28,
+             sum(total) OVER (PARTITION BY series ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS s7,
+             sum(total) OVER (PARTITION BY series ORDER BY day ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS s28
+      FROM series WINDOW w AS (PARTITION BY series ORDER BY day))
+WHERE t >= 28"""
+
+_NAIVE = """
+SELECT series, fold, count(*) AS days, CAST(CAST(sum(off * off) AS VARCHAR) AS DOUBLE) / count(*) / 10000.0::DOUBLE AS mse
+FROM (SELECT g.series, f.fold, CAST((total - guess) * 100 AS HUGEINT) AS off
+      FROM (SELECT *, lag(total, 7) OVER (PARTITION BY series ORDER BY day) AS guess FROM series) g
+      JOIN (SELECT series, last, unnest([1, 2, 3])::BIGINT AS fold FROM span) f ON f.series = g.series
+      WHERE guess IS NOT NULL AND day >= last + CAST(1 - (4 - fold) * 28 AS INTEGER) AND day < last + CAST(1 - (3 - fold) * 28 AS INTEGER))
+GROUP BY series, fold"""
+
+_PAIRS = """,
+items AS (SELECT DISTINCT order_number, product_code FROM sales WHERE is_active AND order_number IS NOT NULL),
+support AS (SELECT product_code, count(*) AS n FROM items GROUP BY product_code),
+pairs AS (SELECT x.product_code AS a, y.product_code AS b, count(*) AS orders
+          FROM items x JOIN items y ON x.order_number = y.order_number AND x.product_code < y.product_code GROUP BY ALL HAVING count(*) >= 2)"""
+
+ORACLE_SQL |= {
+    "amount_quantiles": with_wh(_scan(), """
+SELECT region, p, n, low + (high - low) * ((n - 1) * p - floor((n - 1) * p)) AS q
+FROM (SELECT region, p, count(*) AS n, quantile_disc(CAST(sales_amount AS DOUBLE), 0.0) AS least,
+             list_sort(list(CAST(sales_amount AS DOUBLE))) AS v, v[CAST(floor((count(*) - 1) * p) AS BIGINT) + 1] AS low, v[CAST(ceil((count(*) - 1) * p) AS BIGINT) + 1] AS high
+      FROM scan, (SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.8::DOUBLE, 0.95::DOUBLE]) AS p) WHERE sales_amount IS NOT NULL GROUP BY region, p)"""),
+    "sales_anomalies": with_wh(_scan() + _DAY_REGION, _robust("day_region", "region", "total_sales", "region, sales_day, CAST(total_sales AS DOUBLE) AS total_sales")),
+    "quantity_anomalies": with_wh(_scan(), _robust("scan", "product_code", "sales_quantity", "product_code, customer_id, sales_date, CAST(sales_amount AS DOUBLE) AS sales_amount, CAST(sales_quantity AS DOUBLE) AS sales_quantity")),
+    "forecast_trend": with_wh(_scan() + _SERIES, _TREND),
+    "forecast_features": with_wh(_scan() + _SERIES, _LAGGED),
+    "forecast_naive": with_wh(_scan() + _SERIES, _NAIVE),
+    "co_purchase": with_wh(_PAIRS, "SELECT a, b, orders FROM pairs"),
+    "recommendations": with_wh(_PAIRS, """
+SELECT product_code, rank, recommended, orders, CAST(orders AS DOUBLE) / n AS confidence,
+       CAST(orders * (SELECT count(DISTINCT order_number) FROM items) AS DOUBLE) / CAST(n * m AS DOUBLE) AS lift
+FROM (SELECT e.*, row_number() OVER (PARTITION BY product_code ORDER BY orders DESC, recommended) AS rank
+      FROM (SELECT a AS product_code, b AS recommended, orders FROM pairs UNION ALL SELECT b, a, orders FROM pairs) e)
+JOIN support USING (product_code) JOIN (SELECT product_code AS recommended, n AS m FROM support) USING (recommended)
+WHERE rank <= 3"""),
+    "customer_rfm": with_wh(_scan(), f"""
+SELECT customer_id, date_diff('day', CAST(max(sales_date) AS DATE), CAST({ts(AS_OF)} AS DATE)) AS recency, count(*) AS frequency,
+       CAST(sum(sales_amount) * 100 AS BIGINT) AS money
+FROM scan GROUP BY customer_id"""),
+}
+
+
+def _figures() -> str:
+    """The scalars of the five summaries, one row each."""
+    parts = []
+    for report, name, numbers, texts in (
+            ("sales_trends", "sales_trends", ("total_sales", "average_daily_sales", "sales_growth_rate", "total_unique_customers",
+                                              "average_daily_customers", "distinct_customers", "days"), ()),
+            ("customer_insights", "retention", ("total_customers", "recent_customers", "returning_customers", "customer_retention_rate"), ()),
+            ("product_insights", "product_summary", ("total_products", "high_performing_products", "product_diversity_score"), ()),
+            ("regional_insights", "region_summary", ("total_regions", "average_sales_per_region", "best_region_sales"), ("best_performing_region",)),
+            ("sales_rep_insights", "rep_summary", ("total_sales_reps", "average_sales_per_rep", "top_rep_sales"), ("top_performing_rep",))):
+        parts += [f"SELECT '{report}' AS report, '{n}' AS figure, CAST({n} AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text FROM ({ORACLE_SQL[name]})" for n in numbers]
+        parts += [f"SELECT '{report}', '{n}', NULL, {n} FROM ({ORACLE_SQL[name]})" for n in texts]
+    return " UNION ALL ".join(parts)
+
+
+ORACLE_SQL |= {"insight_figures": _figures(), "cube_days": ORACLE_SQL["daily_sales"], "cube_customers": ORACLE_SQL["customer_analysis"],
+               "cube_products": ORACLE_SQL["product_analysis"], "cube_regions": ORACLE_SQL["region_analysis"], "cube_reps": ORACLE_SQL["rep_analysis"]}

@@ -18,6 +18,7 @@ readers see all of a run or nothing.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,14 +124,19 @@ def write_state(spark: SparkSession, root: str, state: dict) -> None:
 
 # -------------------------------------------------------------- raw landing
 
-def land_raw(df: DataFrame, path: str, *, fmt: str = "parquet", granularity: str = "day") -> None:
+def land_raw(df: DataFrame, path: str, *, fmt: str = "parquet", granularity: str = "day", load=None) -> None:
     """K1: append an export to the lake, partitioned by processing day
     (or month) so a later scan with a look-back window prunes whole
-    directories."""
+    directories.  With ``load`` (the export's name) the rows lie under that
+    name, so an export that is landed again replaces its own rows."""
     name = "processed_" + granularity
-    (df.withColumn(name, _period(F.col("processed_date"), granularity))
-       .hint("rebalance", name)           # a period's rows meet in as few files as their size allows
-       .write.mode("append").partitionBy(name).format(fmt).save(path))
+    w = (df.withColumn(name, _period(F.col("processed_date"), granularity))
+           .hint("rebalance", name)       # a period's rows meet in as few files as their size allows
+           .write.partitionBy(name).format(fmt))
+    if load is None:
+        w.mode("append").save(path)
+    else:
+        w.mode("overwrite").save(f"{path}/load={_run_name(load)}")
 
 
 def _period(c, granularity: str):
@@ -327,9 +333,19 @@ def save_processed(customers: DataFrame, products: DataFrame, sales: DataFrame,
     return out
 
 
-def save_insights(rows: DataFrame, path: str) -> None:
-    """K7: append the insight rows of a run."""
-    rows.write.mode("append").parquet(path)
+def _run_name(run) -> str:
+    """A run or load as a directory name."""
+    return re.sub(r"[^0-9A-Za-z_.-]", "_", str(run))
+
+
+def save_insights(rows: DataFrame, path: str, *, run=None) -> None:
+    """K7: append the insight rows of a run.  With ``run`` (its as-of time)
+    the rows are kept under that name, so a run that is tried again replaces
+    its own rows."""
+    if run is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/run={_run_name(run)}")
 
 
 # ----------------------------------------------------------------- documents

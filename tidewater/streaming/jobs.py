@@ -136,8 +136,9 @@ def ingest_csv(spark: SparkSession, src: str, dest: str, checkpoint: str, kind:
     """ST5 + K1/K2: land new export files as raw parquet, partitioned by
     processing day.  The stream follows the files, not their rows; each
     micro-batch reads its new files by the names in their headers.  A batch
-    that is tried again replaces its own directories, so each file lands
-    once.  Returns the started query (availableNow)."""
+    has a directory of its own and replaces it when it is tried again, on
+    whatever day, so each file lands once.  Returns the started query
+    (availableNow)."""
     files = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
              .option("maxFilesPerTrigger", max_files_per_trigger)
              .schema("path string, modificationTime timestamp, length long, content binary").load(src).select("path"))
@@ -146,9 +147,9 @@ def ingest_csv(spark: SparkSession, src: str, dest: str, checkpoint: str, kind:
         names = [r["path"] for r in batch.collect()]        # at most max_files_per_trigger
         if names:
             (read_raw_csv(batch.sparkSession, names, kind, rename=rename, as_of=as_of)
-             .withColumn("processed_day", F.to_date("processed_date")).withColumn("batch", F.lit(batch_id))
-             .hint("rebalance", "processed_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("processed_day", "batch").parquet(dest))
+             .withColumn("processed_day", F.to_date("processed_date"))
+             .hint("rebalance", "processed_day").write.mode("overwrite").option("partitionOverwriteMode", "static")
+             .partitionBy("processed_day").parquet(f"{dest}/batch={batch_id}"))
 
     return files.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
