@@ -37,34 +37,32 @@ def order_statistics(df: DataFrame, value: Column, ps: list[float], keys: list[s
     are not NULL.  Groups without a value give no row; NULL keys are a group."""
     keys = list(keys)
     rows = df.where(value.isNotNull()).select(*keys, value.alias("_v"))
-    n = F.col("n") - 1
-    targets = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side"), r.cast("long").alias("rank"))
+    far = F.col("_v") - F.col("_least")
+    if not keys:
+        rows = rows.withColumn("_far", F.col("_v") - rows.agg(F.min("_v")).scalar())
+        far = F.col("_far")
+    n = F.col("_n") - 1
+    targets = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("_p"), F.lit(side).alias("_side"), r.cast("long").alias("_rank"))
                                   for p in ps for side, r in ((0, F.floor(n * F.lit(float(p)))), (1, F.ceil(n * F.lit(float(p)))))]))
-    state = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least")).where("n > 0")
-             .select(*keys, "n", "least", targets.alias("_t")).select(*keys, "n", "least", "_t.*", F.lit(0).cast("long").alias("found")))
-    own = ["n", "least", "p", "side", "rank", "found"]
+    state = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least")).where("_n > 0")
+             .select(*keys, "_n", "_least", targets.alias("_t")).select(*keys, "_n", "_least", "_t.*", F.lit(0).cast("long").alias("_found")))
+    own = ["_n", "_least", "_p", "_side", "_rank", "_found"]
     for step in range(ROUNDS - 1, -1, -1):
         shift = BITS * step
-        names = {k: f"_k{i}" for i, k in enumerate(keys)}
+        names = {k: f"_key{i}" for i, k in enumerate(keys)}
         side = state.select(*[F.col(k).alias(a) for k, a in names.items()], *own)
-        if keys:
-            match = F.lit(True)
-            for k, a in names.items():
-                match = match & F.col(k).eqNullSafe(F.col(a))
-        else:
-            side, match = F.broadcast(side), None       # two rows for each of ps: a proven bound
-        far = F.col("_v") - F.col("least")
-        above = F.lit(0).cast("long") if shift + BITS >= 64 else F.shiftrightunsigned(far, shift + BITS)
-        inside = above == F.col("found")
-        joined = rows.join(side, match & inside if match is not None else inside)
+        match = F.shiftrightunsigned(far, min(shift + BITS, 63)) == F.col("_found")      # nothing above the first digit
+        for k, a in names.items():
+            match = match & F.col(k).eqNullSafe(F.col(a))
+        joined = rows.join(side if keys else F.broadcast(side), match)      # without keys, two rows for each of ps
         digit = F.shiftrightunsigned(far, shift).bitwiseAND((1 << BITS) - 1)
-        counts = joined.groupBy(*keys, *own, digit.alias("digit")).agg(F.count(F.lit(1)).alias("k"))
-        upto = F.sum("k").over(Window.partitionBy(*keys, "p", "side").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
-        state = (counts.withColumn("upto", upto).where((F.col("upto") - F.col("k") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-                 .select(*keys, "n", "least", "p", "side", (F.col("rank") - F.col("upto") + F.col("k")).alias("rank"),
-                         F.shiftleft("found", BITS).bitwiseOR(F.col("digit")).alias("found")))
-    at = lambda side: F.max(F.when(F.col("side") == side, F.col("least") + F.col("found")))
-    return state.groupBy(*keys, "p", "n").agg(at(0).alias("low"), at(1).alias("high"))
+        counts = joined.groupBy(*keys, *own, digit.alias("_digit")).agg(F.count(F.lit(1)).alias("_rows"))
+        upto = F.sum("_rows").over(Window.partitionBy(*keys, "_p", "_side").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0))
+        state = (counts.withColumn("_upto", upto).where((F.col("_upto") - F.col("_rows") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
+                 .select(*keys, "_n", "_least", "_p", "_side", (F.col("_rank") - F.col("_upto") + F.col("_rows")).alias("_rank"),
+                         F.shiftleft("_found", BITS).bitwiseOR(F.col("_digit")).alias("_found")))
+    at = lambda side: F.max(F.when(F.col("_side") == side, F.col("_least") + F.col("_found")))
+    return state.groupBy(*keys, F.col("_p").alias("p"), F.col("_n").alias("n")).agg(at(0).alias("low"), at(1).alias("high"))
 
 
 def quantiles(df: DataFrame, col: str, ps: list[float], keys: list[str] | tuple = ()) -> DataFrame:
