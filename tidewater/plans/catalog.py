@@ -26,6 +26,7 @@ from tidewater.operators import insights as I
 from tidewater.operators import queries as Q
 from tidewater.operators import rollups as R
 from tidewater.operators.cube import Cube
+from tidewater.sources import docstore as DS
 from tidewater.sources import sinks as K
 from tidewater.sources import tables as T
 from tidewater.streaming import jobs as ST
@@ -42,6 +43,7 @@ LOOKUP_PRODUCT = "P100"
 UPSERT_SPLIT = "1998-07-01"   # the old table holds rows processed before this day
 TOP_K = 10
 ALERT_THRESHOLD_LOW = 2
+LOST_IDS = 3                  # changes without an id in the document refresh
 
 
 _TABLES: dict = {}
@@ -460,6 +462,41 @@ def docs_all(c: Ctx):
     return D.all_documents(c.customers, c.sales, c.products, as_of=c.as_of, days=INSIGHT_DAYS)
 
 
+def _refreshed(c: Ctx):
+    """A document store of the customers, then three batches of changes."""
+    import uuid
+    from tidewater.session import checkpoint_dir
+    root = f"{checkpoint_dir(c.spark).rstrip('/')}/tidewater-documents/{uuid.uuid4().hex}"
+    customers = D.customer_documents(c.customers).withColumn("is_deleted", F.lit(False))
+    later, earlier = (F.timestamp_add("DAY", F.lit(n), F.col("timestamp")) for n in (1, -1))
+    K.write_documents(customers.drop("is_deleted"), root)
+    batches = {
+        # All products are new.
+        "products": D.product_documents(c.products),
+        # One region gets newer texts, another older ones, which do not count; the few last ids are missing.
+        "texts": customers.where("region = 'ASIA'").withColumns({"title": F.concat("title", F.lit(" (changed)")), "timestamp": later})
+        .unionByName(customers.where("region = 'AFRICA'").withColumns({"title": F.lit("late"), "timestamp": earlier}))
+        .unionByName(customers.orderBy(F.col("id").desc()).limit(LOST_IDS).withColumn("id", F.lit(None).cast("string"))),
+        # A third region's documents are deleted.
+        "deletions": customers.where("region = 'EUROPE'").withColumns({"is_deleted": F.lit(True), "timestamp": later}),
+    }
+    return root, [(name, DS.apply(changes, root, name, buckets=16)) for name, changes in batches.items()]
+
+
+def docs_refreshed(c: Ctx):
+    """ST4: the document set after the batches, merged on read."""
+    return DS.read(c.spark, _refreshed(c)[0])
+
+
+def refresh_batches(c: Ctx):
+    """K8: received and rejected changes per batch; rejected ones as read
+    back from the dead letters."""
+    root, done = _refreshed(c)
+    counts = c.spark.createDataFrame([(n, x["received"]) for n, x in done], "batch string, received long")
+    dead = DS.rejected(c.spark, root).groupBy("batch", "reason").agg(F.count(F.lit(1)).alias("rejected"))
+    return counts.join(dead, "batch", "left").select("batch", "received", "reason", F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
 def doc_facets(c: Ctx):
     return D.facet_counts(docs_all(c))
 
@@ -671,7 +708,7 @@ _FNS = [
     insight_rows, insight_rows_all, insight_figures, cube_days, cube_customers, cube_products, cube_regions, cube_reps,
     amount_quantiles, sales_anomalies, quantity_anomalies, forecast_trend, forecast_features, forecast_naive, forecast_models,
     co_purchase, recommendations, customer_rfm, customer_segments,
-    docs_customers, docs_sales, docs_products, docs_all, doc_facets,
+    docs_customers, docs_sales, docs_products, docs_all, docs_refreshed, refresh_batches, doc_facets,
     upsert_customers, upsert_products, replace_window_sales,
     set_totals, unique_keys, rows_by_region, rows_by_customer, display_rows, validate_raw, document_roles,
     error_alerts_5m, error_alerts_5m_low, failure_alerts_15m, hourly_events,

@@ -804,6 +804,19 @@ SELECT customer_id, date_diff('day', CAST(max(sales_date) AS DATE), CAST({ts(AS_
 FROM scan GROUP BY customer_id"""),
 }
 
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
+ORACLE_SQL |= {
+    "docs_refreshed": with_wh("", f"""
+SELECT id, CASE WHEN region = 'ASIA' AND category = 'Customer' THEN title || ' (changed)' ELSE title END AS title, content, category,
+       CASE WHEN region = 'ASIA' AND category = 'Customer' THEN {_ISO.format('"timestamp" + INTERVAL 1 DAY')} ELSE {_ISO.format('"timestamp"')} END AS "timestamp",
+       metadata, customer_id, product_code, region, sales_rep, data_source, sales_amount, sales_quantity, order_number, {_ISO.format('sales_date')} AS sales_date
+FROM ({DOC_CUSTOMERS} UNION ALL {DOC_PRODUCTS}) WHERE region IS DISTINCT FROM 'EUROPE'"""),
+    "refresh_batches": with_wh("", """
+SELECT 'products' AS batch, (SELECT count(*) FROM products WHERE is_active) AS received, CAST(NULL AS VARCHAR) AS reason, 0::BIGINT AS rejected
+UNION ALL SELECT 'texts', (SELECT count(*) FROM customers WHERE is_active AND region IN ('ASIA', 'AFRICA')) + 3, 'missing id', 3
+UNION ALL SELECT 'deletions', (SELECT count(*) FROM customers WHERE is_active AND region = 'EUROPE'), NULL, 0"""),
+}
+
 
 def _figures() -> str:
     """The scalars of the five summaries, one row each."""

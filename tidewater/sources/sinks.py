@@ -55,7 +55,13 @@ def current_version(spark: SparkSession, root: str) -> int | None:
 
 
 def read_current(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
-    """The newest complete version of a published table (None if none)."""
+    """The newest complete version of a published table (None if none), with
+    the changes applied to it since, if it is a document set with a store
+    (:mod:`tidewater.sources.docstore`)."""
+    from tidewater.sources import docstore
+    state = docstore.state_of(spark, root)
+    if state is not None:
+        return docstore.read(spark, root, state)
     v = current_version(spark, root)
     if v is None:
         return None
@@ -104,6 +110,23 @@ def read_state(spark: SparkSession, root: str) -> dict | None:
     return json.loads(text) | {"number": max(numbers)}
 
 
+def read_states(spark: SparkSession, root: str, last: int) -> list[dict]:
+    """The newest ``last`` states, newest first."""
+    fs, p, jvm = _fs(spark, f"{root}/_state")
+    if not fs.exists(p):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    numbers = sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)[:last]
+    out = []
+    for n in numbers:
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(p, f"{n}.json"))
+        try:
+            out.append(json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")) | {"number": n})
+        finally:
+            stream.close()
+    return out
+
+
 def write_state(spark: SparkSession, root: str, state: dict) -> None:
     """Make ``state`` the newest: written aside, then renamed into place.
     Raises if another run took the number meanwhile."""
@@ -122,6 +145,79 @@ def write_state(spark: SparkSession, root: str, state: dict) -> None:
         raise RuntimeError(f"another run has written state {number} of {root}")
 
 
+# ---------------------------------------------------------------- retention
+
+def _expire_dirs(spark: SparkSession, root: str, prefix: str, keep: set) -> list[str]:
+    """Delete the directories ``<prefix><name>`` of ``root`` whose name is not
+    kept.  Numbered ones above every kept number belong to a run that has not
+    published yet, and stay."""
+    fs, p, _ = _fs(spark, root)
+    if not fs.exists(p) or not keep:
+        return []
+    newest = max((int(k) for k in keep if str(k).isdigit()), default=None)
+    gone = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if not name.startswith(prefix):
+            continue
+        own = name[len(prefix):]
+        if own in {str(k) for k in keep} or (own.isdigit() and (newest is None or int(own) > newest)):
+            continue
+        fs.delete(st.getPath(), True)
+        gone.append(name)
+    return sorted(gone)
+
+
+def _expire_states(spark: SparkSession, root: str, kept: list[dict]) -> None:
+    fs, p, _ = _fs(spark, f"{root}/_state")
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.endswith(".json") and name[:-5].isdigit() and int(name[:-5]) < min(s["number"] for s in kept):
+            fs.delete(st.getPath(), False)
+
+
+def expire_versions(spark: SparkSession, root: str, *, keep: int = 2) -> list[str]:
+    """K9: delete all but the newest ``keep`` complete versions of a
+    published table; readers of those go on."""
+    return _expire_dirs(spark, root, "version=", set(_versions(spark, root)[-keep:]))
+
+
+def expire_processed(spark: SparkSession, root: str, *, keep: int = 2) -> list[str]:
+    """K5/K6: delete the loads and table versions that none of the newest
+    ``keep`` states names; readers of those states go on."""
+    states = read_states(spark, root, keep)
+    if not states:
+        return []
+    loads = {n for s in states for numbers in s["sales"]["periods"].values() for n in numbers}
+    gone = _expire_dirs(spark, f"{root}/sales", "load=", loads)
+    for table in ("customers", "products"):
+        gone += _expire_dirs(spark, f"{root}/{table}", "version=", {s[table] for s in states})
+    _expire_states(spark, root, states)
+    return gone
+
+
+def expire_sales(spark: SparkSession, path: str, *, keep: int = 2) -> list[str]:
+    """K5: the same for a sales table with states of its own."""
+    states = read_states(spark, path, keep)
+    if not states:
+        return []
+    gone = _expire_dirs(spark, path, "load=", {n for s in states for numbers in s["periods"].values() for n in numbers})
+    _expire_states(spark, path, states)
+    return gone
+
+
+def expire_documents(spark: SparkSession, root: str, *, keep: int = 2) -> list[str]:
+    """K8/K9: delete the bases and deltas of a document store that none of
+    its newest ``keep`` states names."""
+    states = [s for s in read_states(spark, root, keep) if "buckets" in s]
+    if not states:
+        return []
+    gone = _expire_dirs(spark, root, "base=", {n for s in states for n in s["base"].values()})
+    gone += _expire_dirs(spark, root, "delta=", {d for s in states for names in s["deltas"].values() for d in names} | {s["batch"] for s in states if s["batch"]})
+    _expire_states(spark, root, states)
+    return gone
+
+
 # -------------------------------------------------------------- raw landing
 
 def land_raw(df: DataFrame, path: str, *, fmt: str = "parquet", granularity: str = "day", load=None) -> None:

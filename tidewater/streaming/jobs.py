@@ -9,10 +9,12 @@ Event timestamps are wall-clock (timestamp_ntz); watermarks need a
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.sources import sinks
+from tidewater.sources import docstore, sinks
 from tidewater.sources.tables import conform_raw, csv_files, csv_header, read_raw_csv
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -156,26 +158,18 @@ def ingest_csv(spark: SparkSession, src: str, dest: str, checkpoint: str, kind:
 
 # ------------------------------------------------------ document refresh
 
-def refresh_documents(changes: DataFrame, doc_root: str, checkpoint: str):
-    """ST4: apply a stream of changed documents to the published document
-    set.  A change counts if its ``timestamp`` is not older than that of the
-    stored document; of changes to one id the newest counts, and of equally
-    new ones a deletion.  ``is_deleted`` (NULL: false) removes the document.
-    The result is published as a new version, so readers never see a
-    half-applied batch."""
+def refresh_documents(changes: DataFrame, doc_root: str, checkpoint: str, **params):
+    """ST4: apply a stream of changed documents to the document set, batch
+    by batch (``sources.docstore.apply``, which takes ``params``): a batch
+    writes the buckets its ids fall in, invalid changes go to the dead
+    letters, and too many of them stop the stream.  Readers
+    (``sinks.read_current``) see a batch whole or not at all."""
 
     def apply(batch: DataFrame, epoch_id: int) -> None:
-        cur = sinks.read_current(batch.sparkSession, doc_root)
-        gone = F.coalesce(F.col("is_deleted"), F.lit(False))
-        changed = sinks.document_records(batch, keep=("is_deleted",)).withColumn("is_deleted", gone).withColumn("_new", F.lit(1))
-        if cur is not None:
-            changed = changed.unionByName(cur.withColumn("is_deleted", F.lit(False)).withColumn("_new", F.lit(0)))
-        cols = [c for c in changed.columns if c != "id"]
-        order = F.struct("timestamp", "_new", F.col("is_deleted").cast("int"), "content", "metadata")
-        newest = changed.groupBy("id").agg(F.max_by(F.struct(*cols), order).alias("d"))
-        merged = newest.where("NOT d.is_deleted").select("id", *[F.col(f"d.{c}").alias(c) for c in cols if c not in ("is_deleted", "_new")])
-        sinks.publish(merged, doc_root)
+        docstore.apply(batch, doc_root, f"{stream}-{epoch_id}", **params)
 
+    # Batches are named by the stream's checkpoint, so a restarted stream repeats its own names only.
+    stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:8]
     return (changes.writeStream.foreachBatch(apply)
                    .option("checkpointLocation", checkpoint)
                    .trigger(availableNow=True).start())
