@@ -97,3 +97,11 @@ def test_toxicity_cases(spark):
     assert all(by[i]["predicted"] == int(i % 3 == 0) for i in range(60)) and by[100]["score"] == by[101]["score"] < 0.5
     assert {r["predicted"] for r in toxicity.score(docs, labels.limit(0)).collect()} == {0}
     assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_of_alike_texts():
+    """Confirmed texts that are near copies of each other still teach."""
+    alike = [f"you utter fool go away and never come back here number{i}" for i in range(20)]
+    plain = [f"the garden number{i} has {i % 7} trees and a path to the water" for i in range(80)]
+    model = toxicity.fit([toxicity.features(toxicity.words(t)) for t in alike], [toxicity.features(toxicity.words(t)) for t in plain + alike[:2]], 0.1)
+    assert model.weight and all(model.score(t) >= 0.5 for t in alike) and all(model.score(t) < 0.5 for t in plain)

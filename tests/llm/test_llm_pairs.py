@@ -295,3 +295,19 @@ def test_nearest_joined_polytopes(spark, bucket_rows, axes):
     got = as_lists(ann.nearest(rows.where("vec_id % 20 = 0"), rows, bucket_rows=bucket_rows).collect())
     want = plain_nearest([(r["vec_id"], r["embedding"]) for r in rows.collect()], 20)
     assert all(len(x) == 20 for x in got.values()) and recall_of(got, want) >= 0.9
+
+
+def test_null_ids_with_alike_hashes(spark):
+    """Rows without an id whose texts share half of their hash stay apart."""
+    import xxhash
+    tune(spark)
+    seen: dict = {}
+    for i in range(400_000):
+        text = " ".join(f"w{i}x{k}" for k in range(24))
+        other = seen.setdefault(xxhash.xxh64_intdigest(text.encode(), seed=42) >> 32, text)
+        if other != text:
+            break
+    assert other != text
+    rows = spark.createDataFrame([(None, other), (None, text), (None, text), (1, "short")], "doc_id long, text string")
+    got = sorted((r["n_words"], r["n_removed"]) for r in substrings.deduplicated(rows).collect())
+    assert got == [(1, 0), (24, 0), (24, 0), (24, 24)]

@@ -132,7 +132,7 @@ def test_quality_counts(docs, rows):
 
 def test_quality_lines(spark):
     own = [" ".join(chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + k) for k in range(12)) for i in range(60)]
-    texts = [f"Subscribe NOW  to page {i}\n{own[i]}" for i in range(30)] + own[30:] + [f"subscribe now to page 7\nsubscribe now to page 1\nshort tail number {own[0][:40]} a b c"] * 3
+    texts = [f"Subscribe NOW  to page {i}\n{own[i]}" for i in range(30)] + own[30:] + [f"subscribe now to page 7\nsubscribe now to page 1\nshort tail number {own[0][:19]}"] * 3
     got = quality.judge(make(spark, texts), max_share=0.2, min_docs=10).orderBy("doc_id").collect()
     assert [r["n_cut_words"] for r in got[:60]] == [5] * 30 + [0] * 30
     assert all(r["kept"] for r in got[:60]) and not any(r["kept"] for r in got[60:])

@@ -44,7 +44,7 @@ SAMPLE = 64          # one of so many documents is looked at to find frequent an
 FREQUENT = 16        # of so many sampled rows on, an anchor is split
 INVERSE = pow(FACTOR, -1, 1 << 64)
 
-Span = "doc_id long, tk int, start int, n int, ref_doc long, ref_start int"
+Span = "doc_id long, tk long, start int, n int, ref_doc long, ref_start int"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -75,8 +75,9 @@ def blocks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def identity() -> list[Column]:
-    """The columns that tell rows apart and order them."""
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("tk")]
+    """The columns that tell rows apart and order them: the id and 64 bits of
+    the text's hash, as ids may be missing or very frequent."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk")]
 
 
 def _index(docs: DataFrame) -> DataFrame:
@@ -90,11 +91,11 @@ def _index(docs: DataFrame) -> DataFrame:
             ids = np.array([x if x is not None else 0 for x in rows["doc_id"]], np.int64)
             gone = np.repeat([x is None for x in rows["doc_id"]], each) if each else np.empty(0, bool)
             cat = [np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(4)]
-            return {"doc_id": pa.array(np.repeat(ids, each), mask=gone.astype(bool)), "tk": np.repeat(np.array(rows["tk"], np.int32), each),
+            return {"doc_id": pa.array(np.repeat(ids, each), mask=gone.astype(bool)), "tk": np.repeat(np.array(rows["tk"], np.int64), each),
                     "h": cat[0], "c": cat[1], "start": cat[2].astype(np.int32), "n": cat[3].astype(np.int32)}
         return run
 
-    return map_batches(docs.select(*identity(), "text"), make, "doc_id long, tk int, h long, c long, start int, n int")
+    return map_batches(docs.select(*identity(), "text"), make, "doc_id long, tk long, h long, c long, start int, n int")
 
 
 def _frequent(docs: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def _windows_of(lists: DataFrame) -> DataFrame:
             return out
         return run
 
-    return map_batches(lists.select("doc_id", "tk", "text", "todo"), make, "doc_id long, tk int, h long, w long, start int, n int")
+    return map_batches(lists.select("doc_id", "tk", "text", "todo"), make, "doc_id long, tk long, h long, w long, start int, n int")
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:

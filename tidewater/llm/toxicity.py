@@ -7,7 +7,9 @@ max(0, R_u(-) - prior * R_p(-)); when the bracket falls below zero, a step
 goes up it instead.  The prior is the share of toxic ones among all labelled
 training rows.  Only features that confirmed documents hold significantly
 more often than unlabelled ones get a weight, which is never negative;
-copies among the documents trained on count once.
+near copies among the documents trained on count once, unless nothing tells
+the remaining ones apart (all confirmed ones resemble each other): then all
+count.
 
 At most POSITIVES confirmed and UNLABELLED other documents are used, those
 with the smallest hashes of their ids; none is held out.  The unlabelled
@@ -89,7 +91,7 @@ class Linear:
         return self.scorer()(text)
 
 
-def without_copies(docs: list[np.ndarray], most: float = 0.5, bands: int = 8, rows: int = 4) -> list[np.ndarray]:
+def without_copies(docs: list[np.ndarray], most: float = 0.8, bands: int = 8, rows: int = 4) -> list[np.ndarray]:
     """The feature sets without those that share more than ``most`` with one
     kept before: copies would make every word of theirs look telling.
     Candidates are sets with equal smallest hashes in all rows of a band."""
@@ -121,6 +123,17 @@ def _telling(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     return np.where(a / n > b / m, g, 0.0)
 
 
+def telling_features(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features that get a weight, with the numbers of confirmed and of
+    unlabelled documents that hold them."""
+    names, a = np.unique(np.concatenate(positive), return_counts=True)
+    names, a = names[a >= LEAST_DOCS], a[a >= LEAST_DOCS].astype(float)
+    at = [np.searchsorted(names, d[np.isin(d, names, assume_unique=True)]) for d in unlabelled]
+    b = np.bincount(np.concatenate(at), minlength=len(names)).astype(float)
+    use = np.flatnonzero(_telling(a, len(positive), b, len(unlabelled)) >= TELLING)
+    return names[use], a[use], b[use]
+
+
 def _risk_slopes(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
     """d risk / d z of a batch under the sigmoid loss l(z) = 1 / (1 + e^z)."""
     s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -135,22 +148,22 @@ def _risk_slopes(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarra
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 11) -> Linear:
     """A model from the feature sets of confirmed and unlabelled documents."""
+    every = positive, unlabelled
     positive, unlabelled = without_copies(positive), without_copies(unlabelled)
     if not positive or not unlabelled:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Linear({}, float(np.log(p / (1 - p))))
+    names, a, b = telling_features(positive, unlabelled)
+    if not len(names):          # the confirmed ones are all alike: what tells them apart are their copies
+        positive, unlabelled = ([d for d in docs if len(d)] for docs in every)
+        names, a, b = telling_features(positive, unlabelled)
     rng = np.random.default_rng(seed)
-    names, a = np.unique(np.concatenate(positive), return_counts=True)
-    names, a = names[a >= LEAST_DOCS], a[a >= LEAST_DOCS].astype(float)
-    at = [np.searchsorted(names, d[np.isin(d, names, assume_unique=True)]) for d in unlabelled]
-    b = np.bincount(np.concatenate(at), minlength=len(names)).astype(float)
-    use = np.flatnonzero(_telling(a, len(positive), b, len(unlabelled)) >= TELLING)
-    names = names[use]
     docs = [np.searchsorted(names, d[np.isin(d, names, assume_unique=True)]) for d in positive + unlabelled]
     y = np.arange(len(docs)) < len(positive)
     # Start at the log ratio of document shares, the confirmed ones' part taken out of the unlabelled.
-    p, u = a[use] / len(positive), b[use] / len(unlabelled)
-    theta = np.log((p + 1 / len(docs)) / (np.maximum(u - prior * p, 0) / (1 - prior) + 1 / len(docs)))
+    p, u = a / len(positive), b / len(unlabelled)
+    # The remainder less its standard deviation: a share that sampling explains is none.
+    theta = np.log((p + 1 / len(docs)) / (np.maximum(u - np.sqrt(u / len(unlabelled)) - prior * p, 0) / (1 - prior) + 1 / len(docs)))
     shift = float(np.log(prior / (1 - prior))) - 2.0
     m, v = np.zeros(len(theta) + 1), np.zeros(len(theta) + 1)
     step = 0
