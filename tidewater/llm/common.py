@@ -129,3 +129,25 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, str], name:
     for k, v in sums.items():
         out = out.withColumn(k, F.col(f"_b_{k}") + F.coalesce(F.sum(v).over(inside), F.lit(0)))
     return out.drop("_pid", *[f"_b_{k}" for k in sums])
+
+
+FILTER_BITS = 24
+
+
+def seen_filter(hashes: DataFrame, name: str) -> Callable[[Column], Column]:
+    """A test on 64-bit hashes that is true for all of ``hashes`` (one
+    column) and for few others: their low FILTER_BITS bits are kept as a
+    table of bits, 2 MB whatever the input.  The more hashes there are, the
+    more others pass; a join after it decides."""
+    spark = hashes.sparkSession
+    h = F.col(hashes.columns[0])
+    words = (hashes.select(F.shiftright(h.bitwiseAND((1 << FILTER_BITS) - 1), 6).alias("w"), h.bitwiseAND(63).cast("int").alias("b"))
+             .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")))
+    dense = spark.range(1 << (FILTER_BITS - 6)).join(words, F.col("id") == F.col("w"), "left")
+    bits = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0)).alias("v")))), lambda x: x["v"]).alias("bits"))
+    table_ = written(bits, name).scalar()
+
+    def seen(c: Column) -> Column:
+        word = F.get(table_, F.shiftright(c.bitwiseAND((1 << FILTER_BITS) - 1), 6).cast("int"))
+        return F.getbit(word, c.bitwiseAND(63).cast("int")) == 1
+    return seen

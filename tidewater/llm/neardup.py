@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import map_batches, written
+from tidewater.llm.common import map_batches, seen_filter, written
 from tidewater.llm.components import components
 from tidewater.llm.words import WordHash, mixed, windows
 
@@ -234,8 +234,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     members = written(rows.join(shared, "k"), "members")
     reps = members.select("node").distinct().join(classes.select("node", "rep.doc_id", "rep.tkey"), "node")
     reps = written(reps.select("node", F.col("doc_id").alias("id"), "tkey"), "reps")
-    # Rows with one id and one hash of the text: any of them has the text.
-    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    # Rows with one id and one hash of the text: any of them has the text.  Few of the others' texts are moved.
+    chosen = seen_filter(reps.select("tkey"), "chosen")
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).where(chosen(F.col("key")))
              .join(reps, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("tkey"))).select("node", "text"))
     texts = written(texts.dropDuplicates(["node"]), "texts")
     links = confirmed(promising(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), classes),
