@@ -19,7 +19,9 @@ ranked within salted parts first, and only the first row of each part meets
 the others.  Frequent anchors are found in a sample of documents; a frequent
 anchor that the sample misses costs time, never a result.
 
-Order: by doc_id (null last), then by hash of the text, then by place.
+Order: by doc_id (null last), then by hash of the text, then by place.  Rows
+are told apart by their id and, where it is missing or repeated, by 64 bits of
+their text's hash.
 Cases: null or empty text has no words; texts shorter than a window lose
 nothing; of rows with one id and text the first stays and the others are
 later copies; an empty table gives no rows.
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import map_batches, written
+from tidewater.llm.common import map_batches, seen_filter, written
 from tidewater.llm.words import FACTOR, WordHash, covered, mixed, windows
 
 WINDOW = 20
@@ -74,10 +76,15 @@ def blocks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return grams[at[first]].view(np.int64), content.view(np.int64), first, count
 
 
-def identity() -> list[Column]:
-    """The columns that tell rows apart and order them: the id and 64 bits of
-    the text's hash, as ids may be missing or very frequent."""
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk")]
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, tk, text): tk tells rows of one id apart and orders them.  It
+    is the hash of the text where the id is missing or may be repeated, else
+    0, so that it takes no room where ids are unique."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
+    again = seen_filter(repeated.select(F.xxhash64("doc_id")), "repeated")
+    tk = F.when(F.col("doc_id").isNull() | again(F.xxhash64("doc_id")), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return rows.select("doc_id", tk.alias("tk"), "text")
 
 
 def _index(docs: DataFrame) -> DataFrame:
@@ -95,7 +102,7 @@ def _index(docs: DataFrame) -> DataFrame:
                     "h": cat[0], "c": cat[1], "start": cat[2].astype(np.int32), "n": cat[3].astype(np.int32)}
         return run
 
-    return map_batches(docs.select(*identity(), "text"), make, "doc_id long, tk long, h long, c long, start int, n int")
+    return map_batches(docs.select("doc_id", "tk", "text"), make, "doc_id long, tk long, h long, c long, start int, n int")
 
 
 def _frequent(docs: DataFrame) -> DataFrame:
@@ -145,7 +152,7 @@ def _windows_of(lists: DataFrame) -> DataFrame:
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """Windows whose words occur earlier, as runs of ``n`` windows from word
+    """Of ``identified`` documents: windows whose words occur earlier, as runs of ``n`` windows from word
     ``start`` with the place they were found at (ref_doc, ref_start)."""
     frequent = _frequent(docs)
     index = (_index(docs).join(frequent, "h", "left")
@@ -165,7 +172,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     spans = spans.unionByName(_as_spans(firsts.where("dup")))
     todo = (firsts.where("NOT dup").groupBy("doc_id", "tk").agg(F.collect_set(F.struct("h", "start", "n")).alias("todo"))
             .withColumnRenamed("doc_id", "id").withColumnRenamed("tk", "key"))
-    texts = docs.select(*identity(), "text")
+    texts = docs.select("doc_id", "tk", "text")
     edge = _windows_of(texts.join(todo, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tk") == F.col("key"))))
     edge = edge.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tk"), F.lit(SALTS)).cast("int"))
     edge = written(_ranked(edge, "h", "w", "salt").withColumn("dup", ~_is_ref()), "edges")
@@ -189,10 +196,11 @@ def factors(spans: list[dict]) -> list[tuple[int, int, int | None, int]]:
 def deduplicated(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, factors (start, words,
     ref_doc, ref_start), and the kept words as ``text`` if asked for."""
+    docs = identified(docs)
     marks = (duplicate_spans(docs).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("spans"))
              .withColumnRenamed("doc_id", "id").withColumnRenamed("tk", "key"))
     marks = written(marks, "marks")
-    rows = docs.select(*identity(), "text").join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tk") == F.col("key")), "left")
+    rows = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tk") == F.col("key")), "left")
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "tk").orderBy(F.lit(0))))
 
     def make():
