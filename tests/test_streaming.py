@@ -3,6 +3,7 @@ from the checkpoint adds nothing."""
 
 import datetime as dt
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -151,3 +152,57 @@ def test_late_change_is_not_applied(spark, tmp):  # ST4
         stream = spark.readStream.schema(spark.read.parquet(os.path.join(src, "0")).schema).option("recursiveFileLookup", True).parquet(src)
         ST.refresh_documents(stream, root, os.path.join(tmp, "ck")).awaitTermination()
     assert {r.id: r.content for r in K.read_current(spark, root).collect()} == {"a": "new", "b": "B"}
+
+
+def test_alert_events_over_batches(spark, tmp):  # ST1/ST2 as states
+    """Events of a stream in several runs are those of all closed windows at
+    once: one fire and one resolve per run of windows."""
+    rng = random.Random(5)
+    minute = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    # Bursts with quiet times between, some across the borders of the batches.
+    times = sorted(m + rng.random() for start in (3, 4, 30, 58, 59, 61, 119, 121, 200, 239, 260) for m in (start, start, start + 1) for _ in range(rng.randrange(1, 3)))
+    src, root, ck = os.path.join(tmp, "src"), os.path.join(tmp, "out"), os.path.join(tmp, "ck")
+    for i, (a, b) in enumerate([(0, 60), (60, 120), (120, 240), (240, 400)]):
+        rows = [(k, minute(t), 1, "error", 1.0, "{}") for k, t in enumerate(times) if a <= t < b] + [(-1, minute(a + 1), 1, "click", 1.0, "{}")]
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, ST.EVENT_SCHEMA).write.mode("append").parquet(src)
+        ST.alert_event_stream(ST.read_event_stream(spark, src), root, ck, threshold=2).awaitTermination()
+        if i == 1:      # a run without new files changes nothing
+            ST.alert_event_stream(ST.read_event_stream(spark, src), root, ck, threshold=2).awaitTermination()
+    got = sorted((r.at, r.kind) for r in ST.read_alert_events(spark, root).collect())
+    closed = max(times) - 10
+    want, firing, seen = [], False, max(e for e in range(0, 400) if e <= closed and any(e - 5 <= t < e for t in times))
+    for end in range(1, seen + 1):
+        high = sum(end - 5 <= t < end for t in times) > 2
+        if high != firing:
+            want.append((minute(end), "fire" if high else "resolve"))
+        firing = high
+    assert got == want and len(got) > 6
+    ev = spark.read.parquet(src)
+    batch = ST.alert_events(ST.window_counts(ev, size="5 minutes", slide="1 minute").where(F.col("window_end") <= F.lit(minute(closed))), slide="1 minute", threshold=2)
+    assert sorted((r.at, r.kind) for r in batch.collect()) == want
+
+
+def test_last_day_counts(spark, tmp):  # ST3 with its bound
+    hour = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h, minutes=5)
+    src, root, ck = os.path.join(tmp, "src"), os.path.join(tmp, "out"), os.path.join(tmp, "ck")
+    for hours in (range(0, 20), range(18, 40), range(39, 61)):
+        spark.createDataFrame([(h, hour(h), 1, t, 1.0, "{}") for h in hours for t in ("a", "b", "b")], ST.EVENT_SCHEMA).write.mode("append").parquet(src)
+        ST.last_day_counts(ST.read_event_stream(spark, src), root, ck, watermark="3 hours").awaitTermination()
+    from tidewater.sources import sinks as K
+    got = {(r.window_start, r.event_type): r.events for r in K.read_current(spark, root).collect()}
+    want = {(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), t): n * (1 + (h == 39)) for h in range(37, 61) for t, n in (("a", 1), ("b", 2))}
+    assert got == want
+    assert len([d for d in os.listdir(root) if d.startswith("version=")]) == 2
+
+
+def test_ingest_retry_on_another_day(spark, tmp):  # ST5
+    """A batch that is tried again after midnight replaces its rows."""
+    src, dest = os.path.join(tmp, "csv"), os.path.join(tmp, "raw")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write("CustomerID,ProductCode,SalesAmount,SalesQuantity,SalesDate\nC1,P1,10,1,2001-01-01 00:00:00\n")
+    for i, day in enumerate(("2001-01-03", "2001-01-04")):      # the first attempt's checkpoint is lost, its rows are not
+        ST.ingest_csv(spark, src, dest, os.path.join(tmp, f"ck{i}"), "bw", as_of=day).awaitTermination()
+    rows = spark.read.parquet(dest).collect()
+    assert [(r.customer_id, str(r.processed_day)) for r in rows] == [("C1", "2001-01-04")]

@@ -498,7 +498,7 @@ def refresh_batches(c: Ctx):
 
 
 def doc_facets(c: Ctx):
-    return D.facet_counts(docs_all(c))
+    return D.all_facets(c.customers, c.sales, c.products, as_of=c.as_of, days=INSIGHT_DAYS)
 
 
 # ------------------------------------------------------------------ sinks
@@ -638,6 +638,33 @@ def hourly_events_stream(c: Ctx):
     return c.spark.read.parquet(f"{root}/out")
 
 
+def last_day_events_stream(c: Ctx):
+    """ST3 with its declared bound: hourly counts of the last 24 hours."""
+    import uuid
+    from tidewater.session import checkpoint_dir
+    root = f"{checkpoint_dir(c.spark).rstrip('/')}/tidewater-streams/{uuid.uuid4().hex}"
+    ST.last_day_counts(ST.read_table_stream(c.spark, c.sf_dir, "events"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return K.read_current(c.spark, f"{root}/out")
+
+
+def error_alert_events(c: Ctx):
+    """ST1 as alert states: one event when the rule begins to hold and one
+    when it ends (threshold 2, see error_alerts_5m_low)."""
+    size, slide, _ = ST.ERROR_RULE
+    return ST.alert_events(ST.window_counts(c.t["events"], size=size, slide=slide), slide=slide, threshold=ALERT_THRESHOLD_LOW)
+
+
+def error_alert_events_stream(c: Ctx):
+    """The same as a stream: events of the windows closed by the watermark."""
+    import uuid
+    from tidewater.session import checkpoint_dir
+    root = f"{checkpoint_dir(c.spark).rstrip('/')}/tidewater-streams/{uuid.uuid4().hex}"
+    size, slide, _ = ST.ERROR_RULE
+    ST.alert_event_stream(ST.read_table_stream(c.spark, c.sf_dir, "events"), f"{root}/out", f"{root}/checkpoint",
+                          size=size, slide=slide, threshold=ALERT_THRESHOLD_LOW).awaitTermination()
+    return ST.read_alert_events(c.spark, f"{root}/out")
+
+
 def product_performance_product(c: Ctx):
     """A7 with the product filter."""
     return Q.product_performance(c.sales, c.products, product_code=LOOKUP_PRODUCT)
@@ -716,6 +743,7 @@ _FNS = [
     products_recent, sales_recent, daily_sales_30d, customer_analysis_30d,
     product_analysis_30d, region_analysis_30d, rep_analysis_30d,
     failure_alerts_15m_stream, error_alerts_5m_low_stream, hourly_events_stream,
+    last_day_events_stream, error_alert_events, error_alert_events_stream,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _q(f) for f in _FNS}

@@ -818,6 +818,29 @@ UNION ALL SELECT 'deletions', (SELECT count(*) FROM customers WHERE is_active AN
 }
 
 
+def _alert_events(size_min: int, slide_min: int, threshold: int, closed: str = "TRUE") -> str:
+    """Runs of windows above the threshold: their first end, and the end of the window after them."""
+    windows = _alerts(size_min, slide_min, 0)
+    return f"""
+WITH w AS (SELECT window_end AS e, events FROM ({windows}) WHERE {closed.format(end='window_end')}),
+h AS (SELECT e, lag(e) OVER (ORDER BY e) AS p, lead(e) OVER (ORDER BY e) AS n FROM w WHERE events > {threshold})
+SELECT 'fire' AS kind, e AS at FROM h WHERE p IS NULL OR p < e - to_minutes({slide_min})
+UNION ALL
+SELECT 'resolve', e + to_minutes({slide_min}) FROM h
+WHERE (n IS NULL OR n > e + to_minutes({slide_min})) AND e + to_minutes({slide_min}) <= (SELECT max(e) FROM w)"""
+
+
+ORACLE_SQL |= {
+    "last_day_events_stream": """
+SELECT * FROM (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS events
+  FROM events GROUP BY 1, 2, 3)
+WHERE window_start > (SELECT time_bucket(INTERVAL 1 HOUR, max(ts)) FROM events) - INTERVAL 24 HOUR""",
+    "error_alert_events": _alert_events(5, 1, ALERT_THRESHOLD_LOW),
+    "error_alert_events_stream": _alert_events(5, 1, ALERT_THRESHOLD_LOW, "{end} <= (SELECT max(ts) FROM events WHERE event_type = 'error') - INTERVAL 10 MINUTE"),
+}
+
+
 def _figures() -> str:
     """The scalars of the five summaries, one row each."""
     parts = []

@@ -14,6 +14,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions import exprs as X
 from tidewater.sources import docstore, sinks
 from tidewater.sources.tables import conform_raw, csv_files, csv_header, read_raw_csv
 
@@ -60,6 +61,36 @@ def hourly_events(events: DataFrame) -> DataFrame:
                                      by=("event_type",)), "event_type")
 
 
+# ------------------------------------------------------------ alert states
+
+def window_counts(events: DataFrame, *, event_type: str = "error", size: str, slide: str) -> DataFrame:
+    """All sliding windows that hold an event of the type, with their counts."""
+    return _flatten(_windowed_counts(events.where(F.col("event_type") == event_type).select("ts"), size, slide))
+
+
+def alert_events(windows: DataFrame, *, slide: str, threshold: int, opened=None, seen=None) -> DataFrame:
+    """(kind, at): ``fire`` at the end of the first window above the
+    threshold, ``resolve`` at the end of the first one after it that is not.
+    A run of windows above it gives one event of each kind, and no resolve
+    before a later window is seen.  ``opened`` is the end of the last window
+    of a run that goes on from before, ``seen`` the latest window end known
+    from before.
+
+    Windows meet their neighbours by an equi-join on the window end."""
+    spark = windows.sparkSession
+    step = F.expr(f"INTERVAL {slide}")
+    high = windows.where(F.col("events") > threshold).select("window_end", F.lit(False).alias("before"))
+    if opened is not None:
+        high = high.unionByName(spark.range(1).select(X.ts_lit(opened).alias("window_end"), F.lit(True).alias("before")))
+    ends = high.select(F.col("window_end").alias("own"))
+    fires = high.where("NOT before").join(ends, F.col("window_end") == F.col("own") + step, "left_anti")
+    known = windows.agg(F.max("window_end")).scalar()
+    if seen is not None:
+        known = F.greatest(known, X.ts_lit(seen))
+    resolves = high.join(ends, F.col("window_end") + step == F.col("own"), "left_anti").select((F.col("window_end") + step).alias("at")).where(F.col("at") <= known)
+    return fires.select(F.lit("fire").alias("kind"), F.col("window_end").alias("at")).unionByName(resolves.select(F.lit("resolve").alias("kind"), "at"))
+
+
 # --------------------------------------------------------------- streaming
 
 def read_event_stream(spark: SparkSession, path: str, *, fmt: str = "parquet",
@@ -102,6 +133,59 @@ def streaming_hourly(stream: DataFrame, *, watermark: str = "10 minutes") -> Dat
     return _flatten(_windowed_counts(e, "1 hour", None, by=("event_type",)), "event_type")
 
 
+def last_day_counts(stream: DataFrame, root: str, checkpoint: str, *, hours: int = 24, watermark: str = "10 minutes"):
+    """ST3 with its bound: a published table of the hourly counts per event
+    type of the last ``hours`` hours.  The windows' state ends with the
+    watermark, older rows leave the table, and the versions before the last
+    two are deleted, so nothing grows with the stream.  A count only grows,
+    so a batch that is tried again changes nothing."""
+    e = stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type").withWatermark("ts", watermark)
+    counts = _flatten(_windowed_counts(e, "1 hour", None, by=("event_type",)), "event_type")
+
+    def publish(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        held = sinks.read_current(spark, root)
+        rows = batch if held is None else batch.unionByName(held.select(*batch.columns))
+        rows = rows.groupBy("window_start", "window_end", "event_type").agg(F.max("events").alias("events"))
+        newest = rows.agg(F.max("window_start")).scalar()
+        sinks.publish(rows.where(F.col("window_start") > newest - F.expr(f"INTERVAL {hours} HOURS")), root)
+        sinks.expire_versions(spark, root, keep=2)
+
+    return counts.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def alert_event_stream(stream: DataFrame, root: str, checkpoint: str, *, event_type: str = "error", size: str = ERROR_RULE[0],
+                       slide: str = ERROR_RULE[1], threshold: int = ERROR_RULE[2], watermark: str = "10 minutes"):
+    """ST1/ST2 as alert states: the events of :func:`alert_events` from the
+    windows closed by the watermark, late rows within it included.  A state
+    file holds the open run and the latest window end; a batch writes its
+    own folder of events, so a batch that is tried again replaces them."""
+    e = stream.where(F.col("event_type") == event_type).select(F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
+    windows = _flatten(_windowed_counts(e, size, slide))
+
+    def step(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        state = sinks.read_state(spark, root) or {"opened": None, "seen": None, "epoch": -1}
+        if state["epoch"] >= epoch_id:
+            return
+        rows = batch.groupBy("window_start", "window_end").agg(F.max("events").alias("events"))
+        events = alert_events(rows, slide=slide, threshold=threshold, opened=state["opened"], seen=state["seen"])
+        events.coalesce(1).write.mode("overwrite").parquet(f"{root}/events/batch={epoch_id}")
+        last = rows.agg(F.max("window_end").cast("string").alias("seen"),
+                        F.max(F.when(F.col("events") > threshold, F.col("window_end"))).cast("string").alias("high")).first()
+        done = read_alert_events(spark, root).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()
+        n = {r["kind"]: r["n"] for r in done}
+        goes_on = n.get("fire", 0) > n.get("resolve", 0)
+        sinks.write_state(spark, root, {"opened": (last["high"] or state["opened"]) if goes_on else None, "seen": last["seen"] or state["seen"], "epoch": epoch_id})
+
+    return windows.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_alert_events(spark: SparkSession, root: str) -> DataFrame:
+    """All events written so far."""
+    return spark.read.schema("kind string, at timestamp_ntz, batch int").parquet(f"{root}/events").select("kind", "at")
+
+
 def run_to_table(df: DataFrame, path: str, checkpoint: str, *, mode: str = "append",
                  fmt: str = "parquet", available_now: bool = True):
     """Start a streaming query that writes ``df`` to files.  With
