@@ -231,6 +231,23 @@ def test_nearest_recall(spark, monkeypatch, bucket_rows):
     assert all(abs(s - truth[q] @ truth[v]) < 1e-12 for q in got for v, s in got[q])
 
 
+def test_nearest_hashes_given_tables(spark, monkeypatch):
+    """With the query's own parameters all rows of the given tables go
+    through the hash tables, and the recall holds."""
+    from tidewater.llm.queries import QUERIES
+    seen = []
+    real = ann._codes
+    monkeypatch.setattr(ann, "_codes", lambda rows, bands, query: seen.append((query, rows.count())) or real(rows, bands, query))
+    for sf in ("sf0.01", "sf0.1"):
+        rows = table(spark, f"/root/testdata/{sf}", "embeddings")
+        got = as_lists(QUERIES["op4_nearest"](spark, f"/root/testdata/{sf}").collect())
+        want = plain_nearest([(r["vec_id"], r["embedding"]) for r in rows.collect()], 20)
+        assert set(got) == set(want) and all(len(x) == 20 for x in got.values())
+        assert recall_of(got, want) >= 0.9
+        n = rows.count()
+        assert seen[-2:] == [(False, n), (True, len(want))]
+
+
 def test_nearest_odd_rows(spark):
     tune(spark)
     rng = np.random.default_rng(1)

@@ -13,8 +13,9 @@ the buckets of their ``probes`` best vertices in each table (more for larger
 tables, and for bands longer than the median, whose vectors are near at wider
 angles); candidates are scored exactly on the original vectors.
 
-Bands of at most ``bucket_rows`` rows are not hashed: every query is scored
-against them.  Queries that found fewer than k are scored against all rows.
+Bands of at most LEAST_BAND rows (``bucket_rows``, if that is given) are not
+hashed: every query is scored against them.  Queries that found fewer than k
+are scored against all rows.
 
 A bucket is cut into blocks of candidates and of queries; each pair of blocks
 is a group of rows of its own, so no task holds more than one query block.
@@ -43,6 +44,7 @@ TABLES = 16
 PROBES = 12              # for tables of one cross-polytope; times (further vertices) ** GROWTH
 GROWTH = 0.8             # measured: holds the recall above 0.9 on spread vectors, where 0.6 lost up to a fifth
 BUCKET_ROWS = 4096
+LEAST_BAND = 16          # rows of a band that cost no more to score than to hash
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 1024
 RATIO = 1.25
@@ -125,8 +127,9 @@ class Band:
     probes: int
 
 
-def bands_of(found: list, dim: int, probes: int, bucket_rows: int) -> dict[int, Band]:
-    """The bands to hash, from (g, rows, largest norm) of each band."""
+def bands_of(found: list, dim: int, probes: int, bucket_rows: int, least: int) -> dict[int, Band]:
+    """The bands to hash, from (g, rows, largest norm) of each band: those of
+    more than ``least`` rows."""
     found = sorted(found, reverse=True)        # the shortest first
     half, seen = sum(n for _, n, _ in found) / 2, 0
     for _, n, usual in found:
@@ -135,7 +138,7 @@ def bands_of(found: list, dim: int, probes: int, bucket_rows: int) -> dict[int,
             break
     out = {}
     for g, n, largest in found:
-        if g >= 0 and n > bucket_rows:
+        if g >= 0 and n > least:
             full, axes = shape(dim, n, bucket_rows)
             wide = probes * np.prod([2.0 * d for d in axes[1:]]) ** GROWTH * max(1.0, largest / usual)
             out[g] = Band(largest, full, axes, max(1, int(np.ceil(min(wide, np.prod([2.0 * d for d in axes]))))))
@@ -206,7 +209,7 @@ class _Best:
 
 
 def nearest(queries: DataFrame, rows: DataFrame, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-            probes: int = PROBES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+            probes: int = PROBES, bucket_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query."""
     spark = rows.sparkSession
     points = usable(rows, id_col, vec_col)
@@ -227,7 +230,7 @@ def nearest(queries: DataFrame, rows: DataFrame, *, k: int = 20, id_col: str = "
     points = points.select("id", "v", "norm", F.when(fits, F.greatest(band, F.lit(0))).otherwise(F.lit(-1)).cast("int").alias("g"))
     # At most some thousand bands: the range of doubles.
     found = [tuple(r) for r in points.groupBy("g").agg(F.count("*"), F.max("norm")).collect()]
-    bands = bands_of(found, dim, probes, bucket_rows)
+    bands = bands_of(found, dim, probes, bucket_rows or BUCKET_ROWS, LEAST_BAND if bucket_rows is None else bucket_rows)
     asked = usable(queries, id_col, vec_col).where(F.size("v") == dim).dropDuplicates(["id"])
     few = sum(n for g, n, _ in found if g not in bands)
     groups = [_all_pairs(asked, points.where(~F.col("g").isin(list(bands))), few)] if few else []
