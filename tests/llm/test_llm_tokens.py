@@ -45,9 +45,10 @@ def test_chunks_equal_whole_texts(library, monkeypatch):
     rng = np.random.default_rng(3)
     odd += ["".join(rng.choice(list("abZ1,. \n\t　'́é"), 14)) for _ in range(1500)]
     want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
-    assert own.batch(odd) == want
+    assert [own(t.encode()) for t in odd] == want
     monkeypatch.setattr(tokenfile, "CACHE_CHUNKS", 5)
-    assert [own.batch([t])[0] for t in odd] == want and own.batch([None]) == [b""]
+    monkeypatch.setattr(tokenfile, "CACHE_PARTS", 5)
+    assert [own(t.encode()) for t in odd] == want and own(None) == b""
 
 
 def test_odd_rows(spark, library, tmp):

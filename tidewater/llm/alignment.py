@@ -45,8 +45,8 @@ from tidewater.llm.packing import SPACE
 
 RANKS_A = "byte_bpe_50k.tiktoken"
 MODEL_B = "piece_bpe_32k.model"
-BATCH_TEXT = 4 << 20        # bytes of text aligned at once; one text at least
-CACHE_CHUNKS = 500_000
+BATCH_TEXT = 2 << 20        # bytes of text aligned at once; one text at least
+CACHE_CHUNKS = 300_000
 CACHE_CHARS = 64            # longer chunks are encoded each time
 B_BITS = 32                 # a pair of ids is a << B_BITS | b
 NEAR = 8                    # ends tried one by one on either side of the middle
@@ -108,9 +108,20 @@ class Tokenizers:
         for c, ids in zip(chunks, self.library_b.encode(chunks, num_threads=1)):
             yield c, np.array(ids if c else [self.blank_b], "<u4").tobytes()
 
-    def _same(self, chunk: str) -> bool:
-        want = (" " + chunk).encode()
-        return want == self.joined(self.bytes_a, [self.known_a[chunk]]) == self.joined(self.bytes_b, [self.known_b[chunk]])
+    def _lossy(self, chunks: list[str]) -> list[str]:
+        """Those of the chunks that either side does not give back.  If all of
+        them together have their bytes and each its length, none is lossy."""
+        want = [(" " + c).encode() for c in chunks]
+        whole, lengths = b"".join(want), np.array(list(map(len, want)), np.int64)
+        lossy: set[str] = set()
+        for known, table, size in ((self.known_a, self.bytes_a, self.size_a), (self.known_b, self.bytes_b, self.size_b)):
+            packed = [known[c] for c in chunks]
+            ids = np.frombuffer(b"".join(packed), "<u4")
+            ends = np.concatenate([[0], np.cumsum(size[ids])])
+            to = np.cumsum([len(x) // 4 for x in packed])
+            if self.joined(table, packed) != whole or (np.diff(ends[to], prepend=0) != lengths).any():
+                lossy.update(c for c, x, w in zip(chunks, packed, want) if self.joined(table, [x]) != w)
+        return list(lossy)
 
     def joined(self, table: list[bytes], packed: list[bytes]) -> bytes:
         return b"".join(map(table.__getitem__, np.frombuffer(b"".join(packed), "<u4").tolist()))
@@ -125,7 +136,8 @@ class Tokenizers:
             new = list(own)
         self.known_a.update(self._a(new))
         self.known_b.update(self._b(new))
-        self.bad.update(c for c in new if not self._same(c))
+        if new:
+            self.bad.update(self._lossy(new))
         out = []
         for text, chunks in zip(texts, split):
             a, b = (b"".join(map(k.__getitem__, chunks)) for k in (self.known_a, self.known_b))

@@ -173,15 +173,20 @@ def find(docs: DataFrame, *, min_length: int = MIN_LENGTH) -> DataFrame:
         hashed = WordHash()
         for whole in batches:
             for batch in bounded(whole):
-                texts = [(t or "").encode().split() for t in batch.column("text").to_pylist()]     # at ASCII white space
-                found = [search(words, hashed, min_length) for words in texts]
+                found, counts, kept = [], [], []
+                for text in batch.column("text").cast(pa.binary()).to_pylist():
+                    words = (text or b"").split()       # at ASCII white space
+                    runs = search(words, hashed, min_length)
+                    found.append(runs)
+                    counts.append(len(words))
+                    kept.append(b" ".join(kept_words(words, runs)))
                 table = np.concatenate(found) if found else np.empty((0, 3), np.int64)
                 edges = np.concatenate([[0], np.cumsum([len(r) for r in found])]).astype(np.int32)
                 values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(table[:, k])) for k in range(3)], fields=list(runs_type.value_type))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), pa.array([len(w) for w in texts], pa.int64()),
+                    batch.column("doc_id"), pa.array(counts, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(edges), values, type=runs_type),
-                    pa.array([b" ".join(kept_words(w, r)) for w, r in zip(texts, found)], pa.binary()).cast(pa.string())], schema=arrow)
+                    pa.array(kept, pa.binary()).cast(pa.string())], schema=arrow)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, schema)
 

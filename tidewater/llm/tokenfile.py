@@ -46,7 +46,7 @@ from tidewater.session import checkpoint_dir
 
 TOKENIZER = "word_bpe_49k.json"     # lower case, white space dropped
 END_ID = 2
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS, CACHE_PARTS = 300_000, 800_000
 CACHE_BYTES = 64                    # longer chunks are encoded each time
 
 ROW_GROUP_BYTES = 32 << 20
@@ -70,12 +70,27 @@ class Parts(dict):
         self.model = model
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE_CHUNKS:
+        if len(self) >= CACHE_PARTS:
             self.clear()
         found = self[part] = packed([x.id for x in self.model.tokenize(part)])
         return found
 
 
+class Chunks(dict):
+    """Packed ids of chunks between white space; emptied when full."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self.encode(chunk)
+        if len(chunk) <= CACHE_BYTES:
+            if len(self) >= CACHE_CHUNKS:
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 class Encoder:
     """Text to packed little-endian ids, equal to the tokenizer library's
     ``encode(text, add_special_tokens=False)``.
@@ -91,7 +106,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-        self.known: dict[bytes, bytes] = {}
+        self.known = Chunks(self._encoded)
         self.parts = Parts(self.library.model)
         with open(public_tokenizers.path(tokenizer), encoding="utf-8") as f:
             made = json.load(f)
@@ -103,34 +118,16 @@ class Encoder:
         self.pieces = re.compile(cut["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
         self.special = re.compile("|".join(re.escape(x["content"]) for x in made["added_tokens"])).search
 
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        out, others = {}, []
-        for c in chunks:
-            text = c.decode()
-            if not text.isascii() or not text.isprintable() or self.special(text):
-                others.append(c)
-            elif text.isalpha():
-                out[c] = self.parts[text.lower()]
-            else:
-                out[c] = b"".join(map(self.parts.__getitem__, self.pieces(text.lower())))
-        if others:
-            found = self.library.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
-            out.update((c, packed(x.ids)) for c, x in zip(others, found))
-        return out
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]      # at ASCII white space
-        own = set().union(*split)
-        new = [c for c in own if c not in self.known]
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known.clear()
-            new = list(own)
-        self.known.update(self._learn(new))
-        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
-        for c in new:
-            if len(c) > CACHE_BYTES:
-                del self.known[c]
-        return out
+    def _encoded(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if not text.isascii() or not text.isprintable() or self.special(text):
+            return packed(self.library.encode(text, add_special_tokens=False).ids)
+        if text.isalpha():
+            return self.parts[text.lower()]
+        return b"".join(map(self.parts.__getitem__, self.pieces(text.lower())))
+
+    def __call__(self, text: bytes | None) -> bytes:
+        return b"".join(map(self.known.__getitem__, text.split())) if text else b""       # at ASCII white space
 
 
 @functools.lru_cache(maxsize=2)
@@ -159,7 +156,7 @@ def tokenized(docs: DataFrame, *, tokenizer: str = TOKENIZER, end_id: int = END_
         encode, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in bounded(whole):
-                ids = [x + end for x in encode.batch(batch.column("text").to_pylist())]
+                ids = [encode(t) + end for t in batch.column("text").cast(pa.binary()).to_pylist()]
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 edges = np.concatenate([[0], np.cumsum(n)])
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
