@@ -44,8 +44,10 @@ def order_statistics(df: DataFrame, value: Column, ps: list[float], keys: list[s
     n = F.col("_n") - 1
     targets = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("_p"), F.lit(side).alias("_side"), r.cast("long").alias("_rank"))
                                   for p in ps for side, r in ((0, F.floor(n * F.lit(float(p)))), (1, F.ceil(n * F.lit(float(p)))))]))
+    # Always 0, but no literal: the first round is a hash join as the others are.
+    nothing = F.least(F.lit(0).cast("long"), F.col("_n")).alias("_found")
     state = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least")).where("_n > 0")
-             .select(*keys, "_n", "_least", targets.alias("_t")).select(*keys, "_n", "_least", "_t.*", F.lit(0).cast("long").alias("_found")))
+             .select(*keys, "_n", "_least", targets.alias("_t")).select(*keys, "_n", "_least", "_t.*", nothing))
     own = ["_n", "_least", "_p", "_side", "_rank", "_found"]
     for step in range(ROUNDS - 1, -1, -1):
         shift = BITS * step
