@@ -43,6 +43,8 @@ def test_chunks_equal_whole_texts(library, monkeypatch):
     odd = ["", " ", "a  b\n\n  c\t", "don't we'll I'M", "x<|endoftext|> y <|startoftext|>z", "½ ² ٣ 中文 字  　 z", "é ́x ́", "\x1c\x85 ​\x0b\x0c a",
            "ΑΣ Σ ΌΣΟΣ İ ẞ", "'s't're 123abc_4", "a" * 300, "\U0001f600!!", "b" * 80 + " " + "b" * 80]
     rng = np.random.default_rng(3)
+    odd += ["ÀÉÎÕÜ ÇŠŽa ßẞ İx ŉa ſb ×÷ æŒ'S Ÿ2 ªº µ²½", "É's Ül. ñ|>", "".join(map(chr, range(0xA1, 0x250))), " ".join(map(chr, range(0xA1, 0x250)))]
+    odd += ["".join(rng.choice([*"aZ1.' ", *map(chr, range(0xC0, 0x180))], 10)) for _ in range(1500)]
     odd += ["".join(rng.choice(list("abZ1,. \n\t　'́é"), 14)) for _ in range(1500)]
     want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
     assert [own(t.encode()) for t in odd] == want

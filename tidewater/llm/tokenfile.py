@@ -53,6 +53,9 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 
+# Letters of one code point each in either case; without those that lower-casing changes otherwise.
+LATIN = "À-ÖØ-öø-įı-ňŊ-ž"
+
 BIG_ENDIAN = sys.byteorder == "big" or array("I").itemsize != 4
 
 ROWS = "doc_id long, part int, start long, n_tokens long, ids array<int>"
@@ -67,12 +70,16 @@ class Parts(dict):
     library's model; emptied when full."""
 
     def __init__(self, model):
+        from tokenizers.pre_tokenizers import ByteLevel
         self.model = model
+        self.shown = ByteLevel(add_prefix_space=False, use_regex=False)
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= CACHE_PARTS:
             self.clear()
-        found = self[part] = packed([x.id for x in self.model.tokenize(part)])
+        # The model takes bytes as characters; printable ASCII stands for itself.
+        bytewise = part if part.isascii() else self.shown.pre_tokenize_str(part)[0][0]
+        found = self[part] = packed([x.id for x in self.model.tokenize(bytewise)])
         return found
 
 
@@ -97,9 +104,9 @@ class Encoder:
 
     This tokenizer drops white space, and no token crosses it, so the text's
     ids are those of its chunks; chunks met before are kept.  A new chunk of
-    printable ASCII is lower-cased and cut by the tokenizer's own pattern,
-    and each piece goes to the library's model; any other goes to the
-    library whole.
+    printable ASCII and LATIN letters, which normalisation leaves as they
+    are, is lower-cased and cut by the tokenizer's own pattern, and each
+    piece goes to the library's model; any other goes to the library whole.
     """
 
     def __init__(self, tokenizer: str):
@@ -114,16 +121,19 @@ class Encoder:
         cut, shown = made["pre_tokenizer"]["pretokenizers"]
         if steps != ["NFC", "Replace", "Lowercase"] or (cut["type"], shown["type"], shown["use_regex"]) != ("Split", "ByteLevel", False):
             raise ValueError(f"{tokenizer}: not a tokenizer of lower-case words")
-        # On printable ASCII the classes of letters and digits are these, and the byte-level alphabet is the characters themselves.
-        self.pieces = re.compile(cut["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+        # Among these characters the classes of letters and digits are these.
+        self.pieces = re.compile(cut["pattern"]["Regex"].replace(r"\p{L}", "a-z" + LATIN).replace(r"\p{N}", "0-9")).findall
+        self.plain = re.compile(f"[!-~{LATIN}]*").fullmatch
         self.special = re.compile("|".join(re.escape(x["content"]) for x in made["added_tokens"])).search
 
     def _encoded(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if not text.isascii() or not text.isprintable() or self.special(text):
+        if not self.plain(text):
             return packed(self.library.encode(text, add_special_tokens=False).ids)
         if text.isalpha():
             return self.parts[text.lower()]
+        if self.special(text):
+            return packed(self.library.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.parts.__getitem__, self.pieces(text.lower())))
 
     def __call__(self, text: bytes | None) -> bytes:
