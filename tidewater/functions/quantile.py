@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BITS = 16
-ROUNDS = 4          # BITS * ROUNDS = 64 bits: any two longs apart
+BITS = 21
+ROUNDS = 3          # 63 bits: any distance that a long holds
 
 
 def whole_number(df: DataFrame, col: str) -> tuple[Column, int]:
