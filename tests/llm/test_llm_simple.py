@@ -187,10 +187,10 @@ def test_secret_network():
     for _ in range(300):
         v = hexa(40) if rng.random() < 0.5 else "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOP234567"), 16))
         t = f"{prose()} token = \"{v}\" {prose()}"
-        pos.append(secrets.surroundings(t, t.index(v), t.index(v) + len(v)))
+        pos += (secrets.surroundings(t, t.index(v), t.index(v) + len(v)))
         v = f"mail{rng.integers(99)}.example.com.{word()}" if rng.random() < 0.5 else "".join(rng.choice(list("0123456789"), 16))
         t = f"{prose()} {v} {prose()}"
-        neg.append(secrets.surroundings(t, t.index(v), t.index(v) + len(v)))
+        neg += (secrets.surroundings(t, t.index(v), t.index(v) + len(v)))
     net = secrets.fit(pos, neg)
     assert net.threshold <= 1
     v = hexa(30)
@@ -199,6 +199,48 @@ def test_secret_network():
     assert secrets.redacted_text(plain, secrets.spans_of([plain], net)[0]) == plain.replace(v, secrets.MARK)
 
 
+def planted(rng, n):
+    """Texts that each hold one secret no base rule knows, and what it is."""
+    upper, mixed = list("0123456789ABCDEF"), list("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789")
+    out = []
+    for i in range(n):
+        v = "".join(rng.choice(upper, 40)) if i % 2 else "ghp_" + "".join(rng.choice(mixed, 36))
+        out.append((f"erou the key {v} ander {i} 10.2.{i}.7 an ete.{i:02d}@mail{i}.example.com", v))
+    return out
+
+
+def test_planted_secrets(spark):
+    rng = np.random.default_rng(4)
+    hexa = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    key = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789"), n))
+    known = [f'reon token = "{hexa(40) if i % 2 else key(36)}" ander' for i in range(120)]
+    clean = [f"ander {rng.integers(10**15, 10**16)} the.{i:02d}@mail{i % 10}.example.com or 10.{i}.{i % 7}.{i % 5} tionBlee" for i in range(400)]
+    new = planted(rng, 60)
+    net = secrets.train(make(spark, known + clean + [t for t, _ in new[:10]]))
+    assert net.recall >= secrets.RECALL
+    got = secrets.spans_of([t for t, _ in new], net)
+    hits = sum((t.index(v), t.index(v) + len(v), 3) in s for (t, v), s in zip(new, got))
+    assert hits >= 0.9 * len(new)
+    assert sum(map(len, got)) - hits <= 0.05 * len(new) and sum(map(len, secrets.spans_of(clean, net))) <= 0.01 * len(clean)
+
+
+def test_secret_values_are_read_whole():
+    text = "a " + "b1" * 100 + " z"
+    pieces = secrets.surroundings(text, 2, 202)
+    step = secrets.VALUE - secrets.OVERLAP
+    inner = [p[secrets.SIDE:secrets.SIDE + secrets.VALUE].rstrip("\0") for p in pieces]
+    assert all(len(p) == 2 * secrets.SIDE + secrets.VALUE for p in pieces)
+    assert inner[0] + "".join(p[secrets.OVERLAP:] for p in inner[1:]) == text[2:202] and len(pieces) == -(-(200 - secrets.OVERLAP) // step)
+    assert len(secrets.surroundings("x" * 44, 0, 44)) == len(secrets.surroundings("", 0, 0)) == 1
+
+
+def test_few_findings_still_train():
+    pos = secrets.surroundings('token = "0a1b2c3d4e5f60718293a4b5c6d7e8f9"', 9, 41)
+    neg = secrets.surroundings("or 4107636997782755 an", 3, 19)
+    net = secrets.fit(pos, neg)
+    assert net.threshold < 1 and net.precision == net.recall == 1
+
+
 def test_network_gradient():
     rng = np.random.default_rng(3)
     net = secrets.fit([], [])
