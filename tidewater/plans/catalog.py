@@ -31,7 +31,7 @@ from tidewater.sources import sinks as K
 from tidewater.sources import tables as T
 from tidewater.streaming import jobs as ST
 from tidewater.functions import exprs as X
-from tidewater.plans import store
+from tidewater.plans import api, store
 
 # Parameters of the registered queries.
 AS_OF = "2001-11-05"          # one day after the last ship date in the driver data
@@ -720,6 +720,56 @@ def rep_analysis_30d(c: Ctx):
     return I.rep_analysis(c.scan(INSIGHT_DAYS, customers=False, products=False))
 
 
+# ------------------------------------------- the client catalogue (§2.13, P5)
+
+PERIOD = dict(start_date=FILTER["start"], end_date=FILTER["end"])
+
+
+def _records(c: Ctx, name: str, **params) -> DataFrame:
+    """A catalogue call as its clients see it: the JSON records, each field
+    read back out of the text (times stay ISO text, amounts are numbers)."""
+    t = api.Tables(c.sales, c.customers, c.products, c.as_of)
+    shape = {n: "string" if d.startswith("timestamp") else "double" if d.startswith("decimal") else d for n, d in api.CATALOGUE[name](t, **params).dtypes}
+    ddl = ", ".join(f"{n} {d}" for n, d in shape.items())
+    # Records that are no JSON objects of these fields fail the query.
+    return api.call(t, name, **params).select(F.from_json("json", ddl, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def api_customer_info(c: Ctx):
+    """GetCustomerInfo."""
+    return _records(c, "GetCustomerInfo", customer_id=LOOKUP_CUSTOMER)
+
+
+def api_customer_orders(c: Ctx):
+    """GetCustomerOrders."""
+    return _records(c, "GetCustomerOrders", customer_id=LOOKUP_CUSTOMER, limit=50)
+
+
+def api_sales_data(c: Ctx):
+    """GetSalesData of a region and period."""
+    return _records(c, "GetSalesData", region=FILTER["region"], **PERIOD)
+
+
+def api_top_customers(c: Ctx):
+    """GetTopCustomers of a period."""
+    return _records(c, "GetTopCustomers", limit=TOP_K, **PERIOD)
+
+
+def api_product_performance(c: Ctx):
+    """GetProductPerformance."""
+    return _records(c, "GetProductPerformance")
+
+
+def api_regional_sales(c: Ctx):
+    """GetRegionalSales of a period."""
+    return _records(c, "GetRegionalSales", **PERIOD)
+
+
+def api_rep_performance(c: Ctx):
+    """GetSalesRepPerformance of a period."""
+    return _records(c, "GetSalesRepPerformance", **PERIOD)
+
+
 _FNS = [
     scan_raw_ecc, scan_raw_bw, scan_raw_ecc_recent, scan_raw_bw_recent,
     sales_unified, customer_rollup_ecc, customer_rollup_bw, customers, customers_recent,
@@ -744,6 +794,7 @@ _FNS = [
     product_analysis_30d, region_analysis_30d, rep_analysis_30d,
     failure_alerts_15m_stream, error_alerts_5m_low_stream, hourly_events_stream,
     last_day_events_stream, error_alert_events, error_alert_events_stream,
+    api_customer_info, api_customer_orders, api_sales_data, api_top_customers, api_product_performance, api_regional_sales, api_rep_performance,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _q(f) for f in _FNS}

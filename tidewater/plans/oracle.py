@@ -858,3 +858,20 @@ def _figures() -> str:
 
 ORACLE_SQL |= {"insight_figures": _figures(), "cube_days": ORACLE_SQL["daily_sales"], "cube_customers": ORACLE_SQL["customer_analysis"],
                "cube_products": ORACLE_SQL["product_analysis"], "cube_regions": ORACLE_SQL["region_analysis"], "cube_reps": ORACLE_SQL["rep_analysis"]}
+
+
+def _record(name: str, *times: str) -> str:
+    """A query's rows with their times as the ISO text of the API's records."""
+    iso = ", ".join(f"strftime({t}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN date_trunc('second', {t}) = {t} THEN '' ELSE strftime({t}, '.%f') END AS {t}" for t in times)
+    return f"SELECT * REPLACE ({iso}) FROM ({ORACLE_SQL[name]})" if times else ORACLE_SQL[name]
+
+
+ORACLE_SQL |= {
+    "api_customer_info": _record("customer_lookup", "last_order_date", "created_date", "updated_date"),
+    "api_customer_orders": _record("customer_orders", "sales_date"),
+    "api_sales_data": _record("sales_enriched_filtered", "sales_date"),
+    "api_top_customers": _record("top_customers_filtered", "last_order_date"),
+    "api_product_performance": _record("product_performance", "first_sale_date", "last_sale_date"),
+    "api_regional_sales": _record("regional_sales_filtered"),
+    "api_rep_performance": _record("rep_performance_filtered"),
+}
