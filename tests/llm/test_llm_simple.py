@@ -224,6 +224,27 @@ def test_planted_secrets(spark):
     assert sum(map(len, got)) - hits <= 0.05 * len(new) and sum(map(len, secrets.spans_of(clean, net))) <= 0.01 * len(clean)
 
 
+def test_secrets_learn_from_every_finding(spark, monkeypatch):
+    """No finding is left out: parts of a few findings each, all dealt once, agree on a network that tells."""
+    rng = np.random.default_rng(6)
+    hexa = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    texts = [f'reon token = "{hexa(40)}" ander' for _ in range(1700)] + [f"ander {rng.integers(10**15, 10**16)} or 10.{i}.2.7x" for i in range(1700)]
+    seen = []
+    real = secrets._fit
+
+    def spy(run, parts, positives, negatives, seed=5):
+        counts = run(lambda part, found: [(t, 1) for _, t in found])
+        seen.append((parts, positives, negatives, counts[1][0], counts[0][0]))
+        return real(run, parts, positives, negatives, seed)
+
+    monkeypatch.setattr(secrets, "_fit", spy)
+    monkeypatch.setattr(secrets, "PART", 1024)
+    net = secrets.train(make(spark, texts))
+    parts, positives, negatives, dealt_pos, dealt_neg = seen[0]
+    assert parts > 1 and positives == dealt_pos == 1700 and negatives == dealt_neg >= 1700
+    assert net.recall >= secrets.RECALL and net.precision >= 0.98 and 0.5 <= net.threshold <= 1
+
+
 def test_secret_values_are_read_whole():
     text = "a " + "b1" * 100 + " z"
     pieces = secrets.surroundings(text, 2, 202)

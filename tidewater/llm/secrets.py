@@ -6,16 +6,21 @@ CANDIDATE characters that meets no base finding and is no plain word: it
 holds a digit, or a capital after a small letter.  It is read whole: a value
 longer than VALUE in overlapping pieces, each with the context of the value,
 and the best piece counts.  The network (character embedding, one
-convolution, maximum and mean over places, one output) is trained in numpy
-on a bounded sample of labelled findings: values found by the base rules
-against other candidates, the positives again in the surroundings of a
-negative, so that the value itself must tell, every second one in capitals.
+convolution, maximum and mean over places, one output) learns from every
+distinct labelled finding: values found by the base rules against other
+candidates, each positive again in the surroundings of a negative, every
+second one in capitals, and that negative in the positive's, so that the
+value itself must tell.  The findings are
+dealt into parts of about PART by their hash.  In each of EPOCHS rounds every
+part trains in numpy from the shared weights on its own findings, and the
+weights are averaged, as they are over the later half of a part's own epochs; only weights and counts reach the driver.
 Candidates are labelled negative although some are secrets that no rule
 knows: those that a first fit gives DOUBT or more, its best share NOISE at
-most, are left out of a second fit.  Scores are calibrated on a validation part by Platt's
-method; the threshold lies halfway between the highest that keeps RECALL of
-its positives and the lowest, from 0.5 up, that is as precise there.  The
-network carries the recall and the precision reached.
+most, are left out of a second fit.  A quarter of each part is held out.  All
+held-out scores, counted in steps of 1 / GRID, calibrate the network by
+Platt's method; the threshold lies halfway between the highest that keeps
+RECALL of the held-out positives and the lowest, from 0.5 up, that is as
+precise there.  The network carries the recall and the precision reached.
 
 Cases: null text has no findings; without any base finding or any other
 candidate there is nothing to learn from and the base findings stand alone; with
@@ -27,13 +32,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import map_batches, written
+from tidewater.llm.common import map_batches, shuffle_parts, written
 
 # The base rules (kinds in their order).
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -46,11 +52,13 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
 NO_WORD = re.compile(r"[0-9]|[a-z][A-Z]")
 SIDE, VALUE = 20, 44            # characters of context on each side, and of a piece of the value
 OVERLAP = 12                    # characters that neighbouring pieces share
-SAMPLE = 1500                   # labelled findings of each class to train on, at most
+PART = 2048                     # labelled findings that are trained on together, about
 VALIDATE = 8
 RECALL, NOISE, DOUBT = 0.98, 0.02, 0.1
 EPOCHS, BATCH, FILTERS, WIDTH, EMBED = 10, 64, 24, 5, 10
-LEAST_STEPS = 200               # more epochs where a sample is small
+LEAST_STEPS = 200               # more epochs where there are few findings
+GRID, FARTHEST = 1024, 32       # raw scores are counted in steps of 1 / GRID, as far as this from 0
+FIXED = 1 << 32                 # weights are summed as whole numbers of 1 / FIXED, so that their order does not matter
 CHARS = 97                      # printable ASCII, anything else, nothing
 MARK = "[secret]"
 
@@ -122,8 +130,14 @@ class Network:
         parts = [self.forward(encoded(windows[i:i + 256]))[3] for i in range(0, len(windows), 256)]
         return np.concatenate(parts) if parts else np.empty(0, np.float32)
 
+    def probability(self, raw: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * raw.astype(float) + self.scale[1], -50, 50)))
+
     def score(self, windows: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.raw(windows).astype(float) + self.scale[1], -50, 50)))
+        return self.probability(self.raw(windows))
+
+    def copy(self) -> Network:
+        return Network(*[w.copy() for w in self.weights()])
 
 
 def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -142,15 +156,35 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     return [dembed, np.tensordot(flat, dact, ([0, 1], [0, 1])), dact.sum(axis=(0, 1)), pooled.T @ dz, np.array([dz.sum()], np.float32)]
 
 
+# What learning works on: run(fn) calls fn(part, findings) for each part's
+# (window, label) findings; fn returns (key, whole number) pairs, and run the
+# sum and the number of the values of each key.
+Run = Callable[[Callable[[int, list], list]], dict]
+
+
 def fit(positive: list[str], negative: list[str], seed: int = 5) -> Network:
-    """A trained, calibrated network; an unfitted one that passes nothing if
-    a class has no example."""
-    if not positive or not negative:
+    """A network trained and calibrated on one part; an unfitted one that
+    passes nothing if a class has no example."""
+    found = [(w, 1) for w in positive] + [(w, 0) for w in negative]
+    return _fit(lambda fn: {k: (v, 1) for k, v in fn(0, found)}, 1, len(positive), len(negative), seed)
+
+
+def _fit(run: Run, parts: int, positives: int, negatives: int, seed: int = 5) -> Network:
+    if not positives or not negatives:
         return _new(np.random.default_rng(seed))
-    first = _fit_once(positive, negative, seed)
-    scores = first.score(negative)
-    doubtful = {i for i in np.argsort(-scores, kind="stable")[:int(NOISE * len(negative))].tolist() if scores[i] >= DOUBT}
-    return _fit_once(positive, [n for i, n in enumerate(negative) if i not in doubtful], seed) if doubtful else first
+    first = _fit_once(run, parts, positives, negatives, seed)
+    score, _, count = _table(run(lambda part, found: _counts(first.raw([w for w, t in found if not t]), 0)))
+    above = count[::-1].cumsum()[::-1]
+    doubtful = (above <= int(NOISE * negatives)) & (first.probability(score) >= DOUBT)
+    if not doubtful.any():
+        return first
+    cut = score[doubtful][0]
+
+    def rest(found: list) -> list:
+        away = iter(_on_grid(first.raw([w for w, t in found if not t])) >= cut)
+        return [(w, t) for w, t in found if t or not next(away)]
+
+    return _fit_once(lambda fn: run(lambda part, found: fn(part, rest(found))), parts, positives, negatives - int(above[doubtful][0]), seed)
 
 
 def _new(rng: np.random.Generator) -> Network:
@@ -158,56 +192,129 @@ def _new(rng: np.random.Generator) -> Network:
     return Network(f32(CHARS, EMBED), f32(WIDTH * (EMBED + 1), FILTERS) / 2, np.zeros(FILTERS, np.float32), f32(2 * FILTERS), np.zeros(1, np.float32))
 
 
-def _fit_once(positive: list[str], negative: list[str], seed: int) -> Network:
-    rng = np.random.default_rng(seed)
-    net = _new(rng)
-    swapped = []
-    for i, p in enumerate(positive):
-        n = negative[int(rng.integers(len(negative)))]
-        value = p[SIDE:SIDE + VALUE]
-        swapped.append(n[:SIDE] + (value.upper() if i % 2 else value) + n[SIDE + VALUE:])
-    windows = positive + swapped + negative
-    y = np.array([1.0] * (len(positive) + len(swapped)) + [0.0] * len(negative), np.float32)
-    x = encoded(windows)
-    parts = []          # a quarter of each class is held out
+def _examples(part: int, found: list, few: set, seed: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Windows and labels of a part, and which of them to train and to check
+    on: a quarter of each class is held out, unless the class has few."""
+    rng = np.random.default_rng([seed, part])
+    windows, y = [w for w, _ in found], np.array([t for _, t in found], np.float32)
+    held = np.zeros(len(y), bool)
     for label in (1, 0):
         own = rng.permutation(np.flatnonzero(y == label))
-        parts.append((own[len(own) // 4:], own[:len(own) // 4]) if len(own) >= VALIDATE else (own, own))
-    train_rows, check = (np.concatenate(z) for z in zip(*parts))
+        held[own[(np.arange(len(own)) + part) % 4 == 0]] = True
+    sides = {side: np.flatnonzero((y == 0) & (held == side)) for side in (True, False)}
+    swapped, labels, side_of = [], [], []
+    for i, p in enumerate(np.flatnonzero(y == 1)):
+        own = sides[bool(held[p])] if len(sides[bool(held[p])]) else sides[not held[p]]
+        if len(own):
+            n = windows[own[rng.integers(len(own))]]
+            value = windows[p][SIDE:SIDE + VALUE]
+            swapped += [n[:SIDE] + (value.upper() if i % 2 else value) + n[SIDE + VALUE:],
+                        windows[p][:SIDE] + n[SIDE:SIDE + VALUE] + windows[p][SIDE + VALUE:]]
+            labels += [1, 0]
+            side_of += [held[p]] * 2
+    y = np.concatenate([y, np.array(labels, np.float32)])
+    held = np.concatenate([held, np.array(side_of, bool)])
+    both = np.isin(y, list(few))
+    return windows + swapped, y, ~held | both, held | both
+
+
+def _passes(net: Network, x: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+    """Train ``net`` in place by Adam; it ends with the mean of the weights
+    of the later half of the epochs."""
     m = [np.zeros_like(w) for w in net.weights()]
     v = [np.zeros_like(w) for w in net.weights()]
+    later = [np.zeros(w.shape) for w in net.weights()]
     step = 0
-    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(train_rows)))
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(train_rows), max(1, len(train_rows) // BATCH)):
+    for epoch in range(epochs):
+        for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
             step += 1
             for w, g, a, b in zip(net.weights(), _gradients(net, x[part], y[part]), m, v):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
                 w -= (0.004 * (a / (1 - 0.9 ** step)) / (np.sqrt(b / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
-    t = y[check]
-    z = net.raw([windows[i] for i in check]).astype(float)
-    net.scale = _platt(z, t)
-    s = 1 / (1 + np.exp(-np.clip(net.scale[0] * z + net.scale[1], -50, 50)))
-    # Halfway between the highest threshold that keeps the recall and the lowest, from 0.5 up, that is as precise.
-    kept = np.sort(s[t == 1])[::-1]
-    cut = kept[int(np.ceil(RECALL * len(kept))) - 1]
-    precise = t[s >= cut].mean()
-    lowest = min(c for c in {cut, 0.5, *s[s > 0.5]} if c <= cut and t[s >= c].mean() >= precise)
-    net.threshold = float((cut + lowest) / 2)
-    net.recall, net.precision = float((kept >= net.threshold).mean()), float(t[s >= net.threshold].mean())
+        if epoch >= epochs // 2:
+            for w, total in zip(net.weights(), later):
+                total += w
+    for w, total in zip(net.weights(), later):
+        w[...] = total / (epochs - epochs // 2)
+
+
+def _fit_once(run: Run, parts: int, positives: int, negatives: int, seed: int) -> Network:
+    net = _new(np.random.default_rng(seed))
+    few = {float(label) for label, n in ((1, 2 * positives), (0, negatives)) if n < VALIDATE}
+    mean_part = max(1, (3 * positives + negatives) * 3 // 4 // parts)
+    rounds = 1 if parts == 1 else EPOCHS
+    epochs = -(-max(EPOCHS, -(-LEAST_STEPS * BATCH // mean_part)) // rounds)
+    for turn in range(rounds):
+        def trained(part: int, found: list) -> list:
+            windows, y, use, _ = _examples(part, found, few, seed)
+            if not use.any():
+                return []
+            own = net.copy()
+            _passes(own, encoded(windows)[use], y[use], epochs, np.random.default_rng([seed, part, turn]))
+            return list(enumerate(np.rint(np.concatenate([w.ravel() for w in own.weights()]).astype(float) * FIXED).astype(np.int64).tolist()))
+
+        sums = run(trained)
+        flat = np.array([sums[i][0] / sums[i][1] / FIXED for i in range(len(sums))], np.float32)
+        ends = np.cumsum([w.size for w in net.weights()])[:-1]
+        net = Network(*[own.reshape(w.shape) for w, own in zip(net.weights(), np.split(flat, ends))])
+
+    def checked(part: int, found: list, every: bool = False) -> list:
+        windows, y, _, use = _examples(part, found, few, seed)
+        z = net.raw([w for w, u in zip(windows, use) if u or every])
+        t = y if every else y[use]
+        return _counts(z[t == 1], 1) + _counts(z[t == 0], 0)
+
+    table = _table(run(checked))
+    if not (table[1].any() and table[2].any()):     # thinly spread: a class has none held out
+        table = _table(run(lambda part, found: checked(part, found, True)))
+    _calibrate(net, *table)
     return net
 
 
-def _platt(z: np.ndarray, t: np.ndarray) -> tuple[float, float]:
+def _on_grid(z: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(z.astype(float), -FARTHEST, FARTHEST) * GRID) / GRID
+
+
+def _counts(z: np.ndarray, label: int) -> list:
+    """(key, rows) of raw scores: twice the place on the grid, and the label."""
+    at, n = np.unique(np.rint(_on_grid(z) * GRID).astype(np.int64), return_counts=True)
+    return list(zip((2 * at + label).tolist(), n.tolist()))
+
+
+def _table(sums: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Raw scores in ascending order, with their positives and negatives."""
+    places = sorted({k // 2 for k in sums})
+    pos, neg = (np.array([sums.get(2 * k + t, (0, 0))[0] for k in places], np.int64) for t in (1, 0))
+    return np.array(places, float) / GRID, pos, neg
+
+
+def _calibrate(net: Network, z: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+    net.scale = _platt(z, pos, neg)
+    s = net.probability(z)
+    hits, passed = pos[::-1].cumsum()[::-1], (pos + neg)[::-1].cumsum()[::-1]      # at or above each score
+    # Halfway between the highest threshold that keeps the recall and the lowest, from 0.5 up, that is as precise.
+    top = int(np.flatnonzero(hits >= int(np.ceil(RECALL * hits[0])))[-1])
+    precise = hits * passed[top] >= hits[top] * passed
+    half = int(np.searchsorted(s, 0.5))
+    if half <= top and precise[half]:
+        lowest = 0.5
+    else:
+        lowest = min(s[i] for i in range(top + 1) if i == top or (s[i] > 0.5 and precise[i]))
+    net.threshold = float((s[top] + lowest) / 2)
+    at = int(np.searchsorted(s, net.threshold))
+    net.recall, net.precision = float(hits[at] / hits[0]), float(hits[at] / passed[at])
+
+
+def _platt(z: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
     """Slope and shift that make 1 / (1 + exp(-(a z + b))) a probability, with smoothed targets."""
-    pos, neg = t.sum(), len(t) - t.sum()
-    goal = np.where(t == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    n = pos + neg
+    goal = pos * (pos.sum() + 1) / (pos.sum() + 2) + neg / (neg.sum() + 2)
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - goal) * z).sum(), (p - goal).sum()])
+        w = n * (p * (1 - p) + 1e-6)
+        g = np.array([((n * p - goal) * z).sum(), (n * p - goal).sum()])
         h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
         da, db = np.linalg.solve(h, g)
         a, b = a - np.clip(da, -1, 1), b - np.clip(db, -1, 1)
@@ -232,12 +339,26 @@ def labelled(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), make, "win string, label int")
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Network:
-    """Fit on at most ``sample`` distinct findings of each class, those with the smallest hashes."""
-    seen = written(labelled(docs), "findings").distinct()
-    def some(label):
-        return [r["win"] for r in seen.where(F.col("label") == label).orderBy(F.xxhash64("win"), "win").limit(sample).collect()]
-    return fit(some(1), some(0))
+def train(docs: DataFrame) -> Network:
+    """Fit on every distinct finding of the documents."""
+    spark = docs.sparkSession
+    seen = written(labelled(docs).distinct(), "findings")
+    n = {r["label"]: r["n"] for r in seen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = max(1, sum(n.values()) // PART)
+    dealt = written(seen.groupBy(F.pmod(F.xxhash64("win"), F.lit(parts)).alias("part"))
+                    .agg(F.array_sort(F.collect_list(F.struct("win", "label"))).alias("found"))
+                    .repartition(min(parts, shuffle_parts(spark)), "part"), "findings-dealt")
+
+    def run(fn) -> dict:
+        def make():
+            def each(rows: dict) -> dict:
+                pairs = [p for part, found in zip(rows["part"], rows["found"]) for p in fn(part, [(f["win"], f["label"]) for f in found])]
+                return {"k": [k for k, _ in pairs], "v": [v for _, v in pairs]}
+            return each
+        sums = map_batches(dealt, make, "k long, v long").groupBy("k").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
+        return {r["k"]: (r["v"], r["n"]) for r in sums.collect()}
+
+    return _fit(run, parts, n.get(1, 0), n.get(0, 0))
 
 
 def spans_of(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int]]]:
