@@ -170,7 +170,7 @@ def alert_event_stream(stream: DataFrame, root: str, checkpoint: str, *, event_t
             return
         rows = batch.groupBy("window_start", "window_end").agg(F.max("events").alias("events"))
         events = alert_events(rows, slide=slide, threshold=threshold, opened=state["opened"], seen=state["seen"])
-        events.coalesce(1).write.mode("overwrite").parquet(f"{root}/events/batch={epoch_id}")
+        events.write.mode("overwrite").parquet(f"{root}/events/batch={epoch_id}")
         last = rows.agg(F.max("window_end").cast("string").alias("seen"),
                         F.max(F.when(F.col("events") > threshold, F.col("window_end"))).cast("string").alias("high")).first()
         done = read_alert_events(spark, root).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()
