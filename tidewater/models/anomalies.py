@@ -12,24 +12,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.quantile import order_statistics, whole_number
+from tidewater.functions.quantile import BITS, ROUNDS, order_statistics, span_bits, whole_number
 
 SCALE = 1.4826      # fixed value: the standard deviation of a normal distribution over its median absolute deviation
 LIMIT = 3.0
 
 
-def with_robust_scores(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+def with_robust_scores(df: DataFrame, value: str, keys: list[str], *, measured: bool = False) -> DataFrame:
     """The rows with a value, with their group's ``median``, ``mad`` and the
     robust score (value - median) / (SCALE * mad), NULL where mad is 0.
-    NULL keys are a group of their own."""
+    NULL keys are a group of their own.  ``measured``: a first scan finds how
+    far the values lie apart, which saves rounds over all rows."""
     if not keys:
         raise ValueError("name the columns of a group")
     whole, unit = whole_number(df, value)
     rows = df.where(F.col(value).isNotNull())
-    middle = order_statistics(rows, whole, [0.5], keys).select(*keys, (F.col("low") + F.col("high")).alias("_twice"))
+    most = BITS * ROUNDS
+    bits = span_bits(rows, whole) if measured else most
+    middle = order_statistics(rows, whole, [0.5], keys, bits=bits).select(*keys, (F.col("low") + F.col("high")).alias("_twice"))
     rows = _by_group(rows, middle, keys)
     off = 2 * whole - F.col("_twice")
-    spread = order_statistics(rows, F.abs(off), [0.5], keys).select(*keys, (F.col("low") + F.col("high")).alias("_four"))
+    # Twice a distance from the middle is at most twice the largest distance.
+    spread = order_statistics(rows, F.abs(off), [0.5], keys, bits=min(most, bits + 1)).select(*keys, (F.col("low") + F.col("high")).alias("_four"))
     rows = _by_group(rows, spread, keys)
     # In units of the last place: deviation off / 2, median absolute deviation _four / 4.
     mad = F.col("_four") / F.lit(4.0)
@@ -50,10 +54,10 @@ def _by_group(rows: DataFrame, figures: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(named, match).drop(*[f"_g{i}" for i in range(len(keys))])
 
 
-def anomalies(df: DataFrame, value: str, keys: list[str], *, limit: float = LIMIT) -> DataFrame:
+def anomalies(df: DataFrame, value: str, keys: list[str], *, limit: float = LIMIT, measured: bool = False) -> DataFrame:
     """The rows further than ``limit`` robust standard deviations from their
     group's median; where mad is 0, all that differ from the median."""
-    scored = with_robust_scores(df, value, keys)
+    scored = with_robust_scores(df, value, keys, measured=measured)
     return scored.where(F.col("_far") > F.lit(limit) * (F.lit(SCALE) * F.col("_mad"))).drop("_far", "_mad")
 
 
@@ -66,4 +70,4 @@ def daily_region_anomalies(scan: DataFrame, *, limit: float = LIMIT) -> DataFram
 def product_amount_anomalies(scan: DataFrame, *, limit: float = LIMIT) -> DataFrame:
     """Sales whose quantity stands out among those of their product."""
     rows = scan.select("product_code", "customer_id", "sales_date", "sales_amount", "sales_quantity")
-    return anomalies(rows, "sales_quantity", ["product_code"], limit=limit)
+    return anomalies(rows, "sales_quantity", ["product_code"], limit=limit, measured=True)
