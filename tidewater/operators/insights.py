@@ -64,18 +64,19 @@ def _daily_from(dc: DataFrame) -> DataFrame:
         F.count("customer_id").alias("unique_customers"))
 
 
-def _day_stats(daily: DataFrame) -> DataFrame:
+def _day_stats(daily: DataFrame, *more) -> DataFrame:
     """One aggregate over the day rows numbered in date order: day count,
-    totals and the first-half sum.  The day rows are one per calendar day,
-    so the single ordered window partition holds a bounded number of rows."""
-    h = daily.select("total_sales", "unique_customers",
+    totals, the first-half sum and any ``more``.  The day rows are one per
+    calendar day, so the single ordered window partition holds a bounded
+    number of rows."""
+    h = daily.select("*",
                      F.row_number().over(Window.orderBy("sales_day")).alias("rn"),
                      F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
     return h.agg(
         F.count(F.lit(1)).alias("n_days"),
         F.sum("total_sales").alias("_all"),
         F.sum(F.when(F.col("rn") <= F.floor(F.col("n") / 2), F.col("total_sales"))).alias("_s1"),
-        F.sum("unique_customers").alias("_uniq"))
+        F.sum("unique_customers").alias("_uniq"), *more)
 
 
 def growth(daily: DataFrame) -> DataFrame:
@@ -105,14 +106,23 @@ def _growth_cols(df: DataFrame) -> DataFrame:
 def sales_trends(scan: DataFrame) -> DataFrame:
     """One row of trend figures.  ``total_unique_customers`` is the sum
     of the daily distinct counts (as reported originally);
-    ``distinct_customers`` is the true distinct count."""
-    dc = _day_customer(scan)
-    return trends_from(_daily_from(dc), dc.agg(F.count_distinct("customer_id")).scalar())
-
-
-def trends_from(daily: DataFrame, distinct) -> DataFrame:
-    """A12 from the daily totals and the number of customers."""
-    st = _growth_cols(_day_stats(daily))
+    ``distinct_customers`` is the true distinct count.  Days and customers
+    are two grouping sets of the (day, customer) rows, so that the scan is
+    read once; the customers then become one row beside those of the days."""
+    dc = _day_customer(scan).withColumn("customer", F.col("customer_id"))
+    both = dc.groupingSets([["sales_day"], ["customer_id"]], "sales_day", "customer_id").agg(
+        (F.grouping_id() == 1).alias("is_day"), F.sum("amount").alias("total_sales"), F.count("customer").alias("unique_customers"))
+    rows = both.groupBy("is_day", "sales_day").agg(
+        F.max("total_sales").alias("total_sales"), F.max("unique_customers").alias("unique_customers"),
+        F.count("customer_id").alias("customers"))
+    daily = rows.withColumn("customers", F.sum("customers").over(Window.partitionBy())).where("is_day")
+    return trends_from(daily, F.coalesce(F.col("_customers"), F.lit(0).cast("long")), F.max("customers").alias("_customers"))
+
+
+def trends_from(daily: DataFrame, distinct, *more) -> DataFrame:
+    """A12 from the daily totals and the number of customers, which may be
+    one of ``more`` aggregates of the day rows."""
+    st = _growth_cols(_day_stats(daily, *more))
     return st.select(
         F.col("_all").cast("double").alias("total_sales"),
         (F.col("_all").cast("double") / F.col("n_days")).alias("average_daily_sales"),
