@@ -33,7 +33,8 @@ SETS = {
     "region_rep": ("region", "sales_rep"),
     "rep_customer": ("sales_rep", "customer_id"),
 }
-SPLIT = str(16 << 20)
+SPLIT = str(4 << 20)
+SPREAD = 4                      # the groups of a cube are several times the bytes of its scan
 MONEY_SUM = "decimal(28,2)"     # the type of a sum of prices, so that means round as those of the flat analyses
 
 
@@ -66,17 +67,20 @@ class Cube:
         cube = report_cube(scan)
         self.schema = cube.schema
         # Written where the groups are, without another shuffle: a file per set and task, all open at once, so without a sort.
-        # A task holds up to five groups per row it reads, so it reads SPLIT bytes at most.
+        # A task holds up to five groups per row it reads, in its hash map and again in the sort of its shuffle, so it reads
+        # SPLIT bytes at most (row groups of the store are no larger); the groups go to SPREAD times the usual partitions.
         conf = self.spark.conf
-        own = {"spark.sql.maxConcurrentOutputFileWriters": str(len(SETS)), "spark.sql.files.maxPartitionBytes": SPLIT}
-        before = {k: conf.get(k) for k in own}
+        parts = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+        own = {"spark.sql.maxConcurrentOutputFileWriters": str(len(SETS)), "spark.sql.files.maxPartitionBytes": SPLIT,
+               parts: str(SPREAD * int(conf.get(parts, None) or conf.get("spark.sql.shuffle.partitions")))}
+        before = {k: conf.get(k, None) for k in own}
         try:
             for k, v in own.items():
                 conf.set(k, v)
             cube.write.partitionBy("part").parquet(self.path)
         finally:
             for k, v in before.items():
-                conf.set(k, v)
+                conf.set(k, v) if v is not None else conf.unset(k)
 
     def part(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path).where(F.col("part") == name).drop("part")

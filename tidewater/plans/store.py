@@ -35,7 +35,8 @@ from tidewater.session import checkpoint_dir
 TABLES = ("lines", "sales", "customers", "products")
 SCHEMAS = {"sales": S.SALES, "customers": S.CUSTOMERS, "products": S.PRODUCTS}
 RAW = ("raw_ecc", "raw_bw")         # read from the lines
-ROW_GROUP = str(16 << 20)           # bytes: what dates and splits are cut to
+ROW_GROUP = str(4 << 20)            # bytes: what dates and splits are cut to
+KEYS = {"sales": "200000", "customers": "50000", "products": "50000"}   # what a row group's bloom filter is made for
 _LOCK = threading.Lock()
 _READ_CACHE: dict = {}
 
@@ -105,11 +106,11 @@ def _build(spark: SparkSession, path: str, sf_dir: str, as_of: str, table: str)
         ecc, bw = (all_rows(read(spark, path, raw)) for raw in RAW)
         wh = Warehouse(ecc, bw, as_of=as_of, lookback_days=None)
         if table == "sales":
-            _bloom(_by_date(wh.sales, "sales_date").write.option("parquet.block.size", ROW_GROUP), "customer_id", "product_code").parquet(staging)
+            _bloom(table, _by_date(wh.sales, "sales_date").write.option("parquet.block.size", ROW_GROUP), "customer_id", "product_code").parquet(staging)
         elif table == "customers":
-            _bloom(wh.customers.repartition("customer_id").write, "customer_id").parquet(staging)
+            _bloom(table, wh.customers.repartition("customer_id").write, "customer_id").parquet(staging)
         else:
-            _bloom(wh.products.repartition("product_code").write, "product_code").parquet(staging)
+            _bloom(table, wh.products.repartition("product_code").write, "product_code").parquet(staging)
     fs, p, jvm = _fs(spark, staging)
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
     fs.mkdirs(done.getParent())
@@ -132,12 +133,13 @@ def _by_date(df: DataFrame, *cols: str) -> DataFrame:
     return df.sortWithinPartitions(*cols)
 
 
-def _bloom(writer, *cols):
+def _bloom(table, writer, *cols):
     """Parquet bloom filters on key columns: an equality filter on a key
     (point look-ups, one customer's orders) skips every row group that
-    cannot hold the key, although the files are sorted by date."""
+    cannot hold the key, although the files are sorted by date.  A filter is
+    as large as KEYS ask for; more keys in a row group only skip less."""
     for c in cols:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", KEYS[table])
     return writer
 
 
